@@ -231,8 +231,12 @@ def answer_sections(output: Column) -> Column:
 
 def answer_labels(sections: Column) -> Column:
     """Codes of the second section; null unless there are exactly two."""
-    codes = F.split(F.element_at(sections, 2), f",{WS}*", -1)
-    return F.when(F.size(sections) == 2, F.filter(codes, lambda c: ~c.isin(NO_CODE)))
+
+    def codes(found: Column) -> Column:
+        split = F.split(F.element_at(found, 2), f",{WS}*", -1)
+        return F.when(F.size(found) == 2, F.filter(split, lambda c: ~c.isin(NO_CODE)))
+
+    return let(sections, codes)
 
 
 def fill_template(template: str, **values: Column) -> Column:

@@ -13,14 +13,15 @@ from labelspark.plans.joins import salted_join
 
 def build_corpus(tokenised: DataFrame, tag_names: Sequence[str], tag_part: str = "DISO") -> DataFrame:
     """tokens, ner_tags → raw_text, text, has_diso; rows with empty text go."""
-    raw = T.tokens_to_text(F.col("tokens"))
-    built = tokenised.select(
-        *[c for c in tokenised.columns if c not in {"tokens", "ner_tags"}],
-        raw.alias("raw_text"),
-        T.clean_text(raw).alias("text"),
+    kept = [c for c in tokenised.columns if c not in {"tokens", "ner_tags"}]
+    raw = tokenised.select(*kept, "ner_tags", T.tokens_to_text(F.col("tokens")).alias("raw_text"))
+    # cleaning never empties a text, so the cheap test on the raw text will do
+    return drop_empty_text(raw, "raw_text").select(
+        *kept,
+        "raw_text",
+        T.clean_text(F.col("raw_text")).alias("text"),
         T.any_tag_contains(F.col("ner_tags"), tag_names, tag_part).alias("has_diso"),
     )
-    return drop_empty_text(built)
 
 
 def drop_empty_text(df: DataFrame, column: str = "text") -> DataFrame:
@@ -107,10 +108,16 @@ def not_yet_done(inputs: DataFrame, done: DataFrame, text: str = "text", spread_
 
 
 def parse_answers(df: DataFrame, output: str = "output") -> tuple[DataFrame, DataFrame]:
-    """(accepted with labels, rejected): an answer needs exactly two sections."""
-    parsed = df.withColumn("labels", T.answer_labels(T.answer_sections(F.col(output))))
-    accepted = parsed.filter(F.col("labels").isNotNull()).drop("output", "raw_text", "gen_configs")
-    return accepted, parsed.filter(F.col("labels").isNull()).drop("labels")
+    """(accepted with labels, rejected): an answer needs exactly two sections.
+
+    Accepted rows come out of a generator that yields nothing for the others, so
+    an answer is parsed once and not again for the filter.
+    """
+    labels = T.answer_labels(T.answer_sections(F.col(output)))
+    one = T.let(labels, lambda found: F.when(found.isNotNull(), F.array(found)))
+    accepted = df.select(*[c for c in df.columns if c != "labels"], F.explode(one).alias("labels"))
+    accepted = accepted.drop(output, "raw_text", "gen_configs")
+    return accepted, df.filter(F.size(T.answer_sections(F.col(output))) != 2)
 
 
 def mark_generated(df: DataFrame) -> DataFrame:

@@ -63,47 +63,55 @@ def first_rows(df: DataFrame, n: int, order_by: str = "ord") -> DataFrame:
     return number_rows(df, [order_by], "_pos").filter(F.col("_pos") < n).drop("_pos")
 
 
-def nth_key(df: DataFrame, key: str, tie: str, n: Callable[[Column], Column]) -> DataFrame:
-    """The n-th smallest (key, tie) as one row; ``n`` maps the row count to n.
+Size = Callable[[Column], Column]
 
-    Pass one counts rows per key prefix. Pass two ranks only the rows of the
-    single bucket the answer lies in, 1/65536 of the data for a hash key.
+
+def nth_keys(df: DataFrame, key: str, tie: str, ns: Sequence[Size]) -> Column:
+    """The n-th smallest (key, tie) for each n, as a struct c0, c1, … of structs.
+
+    Each n is a function of the row count. Pass one counts rows per key prefix.
+    Pass two ranks only the rows of the buckets the answers lie in, 1/65536 of
+    the data each for a hash key.
     """
     bucket = F.substring(F.col(key), 1, BUCKET_DIGITS)
     counts = df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
-    edge = (
-        counts.withColumn("_upto", F.sum("_n").over(W.orderBy("_bucket")))
-        .withColumn("_want", n(F.sum("_n").over(W.partitionBy())))
-        .filter((F.col("_upto") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_upto")))
-        .select("_bucket", (F.col("_want") - F.col("_upto") + F.col("_n")).alias("_skip"))
+    running = counts.withColumn("_upto", F.sum("_n").over(W.orderBy("_bucket"))).withColumn(
+        "_total", F.sum("_n").over(W.partitionBy())
     )
-    # edge holds one row at most
-    return (
+    wants = F.array(*[F.struct(F.lit(i).alias("i"), n(F.col("_total")).cast("bigint").alias("want")) for i, n in enumerate(ns)])
+    edges = (
+        running.select("_bucket", "_n", "_upto", F.explode(wants).alias("_w"))
+        .filter((F.col("_upto") - F.col("_n") < F.col("_w.want")) & (F.col("_w.want") <= F.col("_upto")))
+        .select("_bucket", F.col("_w.i").alias("_i"), (F.col("_w.want") - F.col("_upto") + F.col("_n")).alias("_skip"))
+    )
+    # edges holds one row per n at most
+    place = F.row_number().over(W.partitionBy("_i", "_bucket").orderBy(key, tie))
+    found = (
         df.select(key, tie, bucket.alias("_bucket"))
-        .join(F.broadcast(edge), "_bucket")
-        .withColumn("_rn", F.row_number().over(W.partitionBy("_bucket").orderBy(key, tie)))
+        .join(F.broadcast(edges), "_bucket")
+        .withColumn("_rn", place)
         .filter(F.col("_rn") == F.col("_skip"))
-        .select(F.struct(F.col(key).alias("key"), F.col(tie).alias("tie")).alias("cut"))
     )
+    me = F.struct(F.col(key).alias("key"), F.col(tie).alias("tie"))
+    cuts = [F.max(F.when(F.col("_i") == i, me)).alias(f"c{i}") for i in range(len(ns))]
+    return found.agg(*cuts).select(F.struct(*[f"c{i}" for i in range(len(ns))]).alias("cuts")).scalar()
 
 
-def cut_by_hash(
-    df: DataFrame, row_id: str, seed: str, cuts: Sequence[tuple[str, Callable[[Column], Column]]], rest: str
-) -> DataFrame:
+def cut_by_hash(df: DataFrame, row_id: str, seed: str, cuts: Sequence[tuple[str, Size]], rest: str) -> DataFrame:
     """Assign ``split``: rows in hash order fill each cut in turn, then ``rest``.
 
     Each cut gives the *cumulative* size wanted as a function of the row count.
     Sizes are exact; the rows themselves are never shuffled, only compared with
-    the one-row boundaries.
+    the boundaries. ``df`` is read three times (twice for ``row_id`` only): pass
+    a stored table.
     """
     keyed = df.withColumn("_key", hash_hex(seed, row_id))
-    slim = keyed.select("_key", row_id)
+    boundaries = nth_keys(keyed.select("_key", row_id), "_key", row_id, [size for _, size in cuts])
     me = F.struct(F.col("_key").alias("key"), F.col(row_id).alias("tie"))
     split = F.lit(rest)
-    for name, size in reversed(list(cuts)):
-        boundary = nth_key(slim, "_key", row_id, size).scalar()
-        split = F.when(me <= boundary, F.lit(name)).otherwise(split)
-    return keyed.withColumn("split", split).drop("_key")
+    for i, (name, _) in reversed(list(enumerate(cuts))):
+        split = F.when(me <= F.col(f"_cuts.c{i}"), F.lit(name)).otherwise(split)
+    return keyed.withColumn("_cuts", boundaries).withColumn("split", split).drop("_key", "_cuts")
 
 
 def exact_quantiles(df: DataFrame, value: str, quantiles: dict[str, float], by: Sequence[str],

@@ -443,8 +443,8 @@ def split_exact_three(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def split_fraction(spark: SparkSession, sf: str) -> DataFrame:
-    rows = C.with_labels_only(D.order_labels(spark, sf))
-    return R.split_fraction(rows.drop("split"), "row_id", "9").select("row_id", "split")
+    rows = settle(C.with_labels_only(D.order_labels(spark, sf)).select("row_id"))
+    return R.split_fraction(rows, "row_id", "9")
 
 
 @query
@@ -512,7 +512,7 @@ def stub_stem(word: Column) -> Column:
 
 @query
 def stem_terms(spark: SparkSession, sf: str) -> DataFrame:
-    counts = X.term_counts(_docs(spark, sf), T.word_tokens(F.lower("text")), "row_id")
+    counts = settle(X.term_counts(_docs(spark, sf), T.word_tokens(F.lower("text")), "row_id"), "terms")
     return X.stem_terms(counts, stub_stem, "row_id")
 
 
@@ -614,7 +614,8 @@ def code_lookup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def prompt_fill(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.order_labels(spark, sf).withColumn("text", F.concat("source", F.lit(" {labels}")))
+    rows = D.with_source(D.order_labels(spark, sf), spark, sf)
+    rows = rows.withColumn("text", F.concat("source", F.lit(" {labels}")))
     prompts = Q.verification_prompts(rows, "row_id", D.brand_dictionary(spark, sf), VERIFYING_TEMPLATE)
     return prompts.select("row_id", "pre_query_str")
 
@@ -679,14 +680,20 @@ def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     words = _docs(spark, sf).select(F.explode(T.word_tokens(F.lower("text"))).alias("word"))
-    grams = words.select(F.explode(X.char_ngrams(F.col("word"))).alias("gram"))
-    return grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # distinct words first: a frequent word is opened once, with its count
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
+    grams = counts.select("m", F.explode(X.char_ngrams(F.col("word"))).alias("gram"))
+    return grams.groupBy("gram").agg(F.sum("m").alias("n"))
 
 
 @query
 def hashed_ngrams(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and n-grams per hash bucket."""
     grams = X.gram_rows(_docs(spark, sf), T.word_tokens(F.lower("text")), "row_id", n=2)
-    return X.hashed_counts(grams, "row_id")
+    counts = X.hashed_counts(grams, "row_id")
+    return counts.groupBy(F.col("bucket").cast("bigint").alias("bucket")).agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n")
+    )
 
 
 # --- weights and losses ----------------------------------------------------
@@ -946,7 +953,8 @@ def _ready(spark: SparkSession, sf: str):
 def _ovr(spark: SparkSession, sf: str, kind: str, c: float) -> DataFrame:
     from labelspark.operators.models import evaluate_splits
 
-    _, model, ready = flows.classical_model(_ready(spark, sf), T.word_tokens(F.col("text")), DOC_LABELS, kind, c, 2**14)
+    words = T.word_tokens(F.col("text"))
+    _, model, ready = flows.classical_model(_ready(spark, sf), words, DOC_LABELS, kind, c, 2**14, max_iter=20)
     return rounded_metrics(evaluate_splits(model, ready), "split")
 
 

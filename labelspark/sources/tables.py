@@ -20,41 +20,39 @@ def split_of(row_id: str) -> Column:
     return F.when(digit < 8, "train").when(digit == 8, "validation").otherwise("test")
 
 
+def _brand_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), "l_partkey")
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+
+
 def order_labels_long(spark: SparkSession, sf_dir: str, with_parts: bool = False) -> DataFrame:
-    """(row_id, source, split, label), each pair once: the brands of an order.
+    """(row_id, split, label), each pair once: the brands of an order.
 
     ``with_parts`` adds one rare label per part key.
     """
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    joined = items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     label = F.col("p_brand")
     if with_parts:
-        names = F.array(F.col("p_brand"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")))
-        label = F.explode(names)
-    pairs = joined.select(F.col("l_orderkey").alias("row_id"), label.alias("label")).distinct()
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("source")
-    )
-    return pairs.join(orders, "row_id").select("row_id", "source", split_of("row_id").alias("split"), "label")
+        label = F.explode(F.array(label, F.concat(F.lit("P"), F.col("l_partkey").cast("string"))))
+    pairs = _brand_lines(spark, sf_dir).select("row_id", label.alias("label")).distinct()
+    return pairs.select("row_id", split_of("row_id").alias("split"), "label")
 
 
 def order_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, source, split, labels): sorted brands per order.
+    """(row_id, split, labels): sorted brands per order.
 
     The set is built map-side and holds at most one entry per brand.
     """
-    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    sets = (
-        items.join(parts, F.col("l_partkey") == F.col("p_partkey"))
-        .groupBy(F.col("l_orderkey").alias("row_id"))
-        .agg(F.array_sort(F.collect_set("p_brand")).alias("labels"))
-    )
+    sets = _brand_lines(spark, sf_dir).groupBy("row_id").agg(F.array_sort(F.collect_set("p_brand")).alias("labels"))
+    return sets.select("row_id", split_of("row_id").alias("split"), "labels")
+
+
+def with_source(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Add ``source``: the priority of the order."""
     orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("row_id"), F.col("o_orderpriority").alias("source")
     )
-    return sets.join(orders, "row_id").select("row_id", "source", split_of("row_id").alias("split"), "labels")
+    return df.join(orders, "row_id")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
