@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from labelspark.plans.joins import hot_salted_join, salted_join
 from labelspark.plans.order import number_rows, number_rows_within
+from labelspark.session import settle
 
 # Bucket borders and the largest label list that is kept.
 HEAD_FROM = 100
@@ -165,7 +166,8 @@ def upsample(df: DataFrame, row_id: str, labels: str = "labels", target: int | N
     ``target`` defaults to the largest label count. Adds ``copy`` from 1.
     """
     long = df.select(row_id, F.explode(labels).alias("label"))
-    counts = label_counts(long)
+    # one row per label, used for the target, for hot labels and as the lookup
+    counts = settle(label_counts(long), "label-counts")
     goal = F.lit(target) if target is not None else counts.agg(F.max("n")).scalar()
     rarest = (
         hot_salted_join(long, counts, "label", "n", [row_id]).groupBy(row_id).agg(F.min("n").alias("_min"))

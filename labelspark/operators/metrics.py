@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelspark.functions.scores import safe_ratio, thresholds_met
 from labelspark.plans.order import exact_quantiles
+from labelspark.session import settle
 
 # The searched thresholds are START + i*STEP below one.
 GRID_START = 0.01
@@ -130,7 +131,7 @@ def best_by_f1(results: DataFrame, parameter: str, *by: str) -> DataFrame:
     return best.select(*by, "_best.*")
 
 
-def most_frequent_baseline(train: DataFrame, rows: DataFrame, row_id: str, n_classes: Column, max_k: int = 50,
+def most_frequent_baseline(train: DataFrame, rows: DataFrame, n_classes: Column, max_k: int = 50,
                            labels: str = "labels") -> DataFrame:
     """Predict the k most frequent train labels for every row, k = 0..max_k.
 
@@ -142,10 +143,13 @@ def most_frequent_baseline(train: DataFrame, rows: DataFrame, row_id: str, n_cla
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("neg"), F.col("label").alias("label"))))
     ranks = ranked.agg(order.alias("_top")).select(F.posexplode("_top").alias("_pos", "_entry"))
     ranks = ranks.select((F.col("_pos") + 1).alias("rank"), F.col("_entry.label").alias("label"))
-    pairs = rows.select(F.explode(F.array_distinct(labels)).alias("label"))
-    seen = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("hits"))
-    n_rows = rows.agg(F.count(F.lit(1))).scalar()
-    positives = rows.agg(F.coalesce(F.sum(F.size(F.array_distinct(labels))), F.lit(0))).scalar()
+    # one pass: hits per label, and under the null label the number of rows
+    marked = F.concat(F.array_distinct(labels), F.array(F.lit(None).cast("string")))
+    seen = settle(
+        rows.select(F.explode(marked).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("hits")), "hits"
+    )
+    n_rows = seen.filter("label IS NULL").agg(F.coalesce(F.sum("hits"), F.lit(0))).scalar()
+    positives = seen.filter("label IS NOT NULL").agg(F.coalesce(F.sum("hits"), F.lit(0))).scalar()
     found = F.broadcast(ranks).join(seen, "label", "left").select(
         "rank", F.coalesce("hits", F.lit(0)).alias("hits")
     )

@@ -52,6 +52,7 @@ def hot_salted_join(
 
     Only hot keys are copied, so a long tail of rare keys is shuffled once.
     ``weight`` is a right column holding (about) the number of left rows per key.
+    ``right`` is read three times: pass a stored table.
     """
     total = right.agg(F.sum(weight)).scalar()
     right_n = right.withColumn(

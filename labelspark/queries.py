@@ -264,7 +264,7 @@ def topk_baseline(spark: SparkSession, sf: str) -> DataFrame:
     train = P.explode_labels(rows.filter("split = 'train'"))
     classes = D.table(spark, sf, "part").agg(F.count_distinct("p_brand").alias("c")).scalar()
     return rounded_metrics(
-        M.most_frequent_baseline(train, rows.filter("split = 'validation'"), "row_id", classes), "k"
+        M.most_frequent_baseline(train, rows.filter("split = 'validation'"), classes), "k"
     )
 
 
@@ -702,9 +702,9 @@ def hashed_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 def _positives(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per class; every position of a score vector is a class."""
     rows = D.logits(spark, sf)
-    last = (F.size("logits") - 1).cast("bigint")
-    classes = rows.select(F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("label_id")).distinct()
-    return WE.class_positives(classes, rows.select(F.explode("truth_ids").alias("label_id")))
+    last = rows.agg((F.max(F.size("logits")) - 1).cast("bigint").alias("last"))
+    classes = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("label_id"))
+    return settle(WE.class_positives(classes, rows.select(F.explode("truth_ids").alias("label_id"))), "positives")
 
 
 def _rows(spark: SparkSession, sf: str) -> Column:

@@ -43,9 +43,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{shared_folder(spark)}/labelspark-{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_folder(spark)}/labelspark-{purpose}-{uuid.uuid4().hex}"
+    """A path in the scratch folder that nothing else uses."""
+    return f"{scratch_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete this application's settled tables, once no result needs them."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settle(df: DataFrame, purpose: str = "table") -> DataFrame:

@@ -96,7 +96,7 @@ def test_empty_denominators(spark, truth, pred):
 def test_frequent_baseline(spark):
     train = spark.createDataFrame([("A",), ("A",), ("B",), ("C",)], "label string")
     rows = spark.createDataFrame([(1, ["A", "A"]), (2, ["B", "D"]), (3, [])], "row_id int, labels array<string>")
-    got = {r["k"]: r for r in M.most_frequent_baseline(train, rows, "row_id", F.lit(4), max_k=5).collect()}
+    got = {r["k"]: r for r in M.most_frequent_baseline(train, rows, F.lit(4), max_k=5).collect()}
     truth = np.array([[1, 0, 0, 0], [0, 1, 0, 1], [0, 0, 0, 0]])
     assert set(got) == set(range(6))
     for k in got:
