@@ -16,6 +16,8 @@ HEAD_FROM = 100
 MEDIUM_FROM = 20
 MAX_LABELS = 20
 UNLABELLED = "-1"
+# Most copies of one row made in one place.
+COPY_BLOCK = 10_000
 
 
 def explode_labels(df: DataFrame, *keep: str, labels: str = "labels") -> DataFrame:
@@ -32,7 +34,8 @@ def label_shares(counts: DataFrame, *by: str) -> DataFrame:
     """Counts divided by their sum, per group if asked."""
     if by:
         totals = counts.groupBy(*by).agg(F.sum("n").alias("_total"))
-        joined = counts.join(totals, list(by))
+        # a group may hold most labels: spread it
+        joined = salted_join(counts, totals, by, ["label"])
         return joined.withColumn("freq", F.col("n").cast("double") / F.col("_total")).drop("_total")
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("freq", F.col("n").cast("double") / total)
@@ -163,18 +166,26 @@ def valid_label_rows(df: DataFrame, valid: DataFrame, row_id: str, labels: str =
 def upsample(df: DataFrame, row_id: str, labels: str = "labels", target: int | None = None) -> DataFrame:
     """Repeat each row floor(target / count of its rarest label) times, once at least.
 
-    ``target`` defaults to the largest label count. Adds ``copy`` from 1.
+    ``target`` defaults to the largest label count. Adds ``copy`` from 1. Rows
+    repeated more than COPY_BLOCK times are cut into blocks that are spread over
+    tasks before they are opened, so one row with a very rare label is not one
+    task's work.
     """
     long = df.select(row_id, F.explode(labels).alias("label"))
     # one row per label, used for the target, for hot labels and as the lookup
     counts = settle(label_counts(long), "label-counts")
     goal = F.lit(target) if target is not None else counts.agg(F.max("n")).scalar()
-    rarest = (
-        hot_salted_join(long, counts, "label", "n", [row_id]).groupBy(row_id).agg(F.min("n").alias("_min"))
+    rarest = hot_salted_join(long, counts, "label", "n", [row_id]).groupBy(row_id).agg(F.min("n").alias("_min"))
+    repeats = rarest.select(row_id, F.floor(goal / F.col("_min")).alias("_copies")).filter("_copies > 1")
+    repeats = settle(repeats, "copies")
+    joined = df.join(repeats, row_id, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
+    few = joined.filter(F.col("_copies") <= COPY_BLOCK).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies")))
     )
-    copies = F.greatest(F.floor(F.coalesce(goal / F.col("_min"), F.lit(1.0))), F.lit(1)).cast("int")
-    return (
-        df.join(rarest, row_id, "left")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-        .drop("_min")
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_copies") - 1) / COPY_BLOCK)))
+    many = df.join(repeats.filter(F.col("_copies") > COPY_BLOCK), row_id).withColumn("_block", blocks)
+    last = F.least((F.col("_block") + 1) * COPY_BLOCK, F.col("_copies"))
+    many = many.repartition(row_id, "_block").withColumn(
+        "copy", F.explode(F.sequence(F.col("_block") * COPY_BLOCK + 1, last))
     )
+    return few.drop("_copies").unionByName(many.drop("_copies", "_block"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.functions.hashing import hash_hex
-from labelspark.plans.order import cut_by_hash, first_rows, number_rows
+from labelspark.plans.order import TOP_N_LIMIT, cut_by_hash, first_rows, number_rows
 
 # Default split sizes and the rows between two checkpoints.
 HELD_OUT = 0.2
@@ -41,7 +41,7 @@ def shuffled(df: DataFrame, row_id: str, seed: str = "0", n: int | None = None)
     keyed = df.withColumn("_key", hash_hex(seed, row_id))
     if n is None:
         return keyed.orderBy("_key", row_id).drop("_key")
-    if n <= TEST_ROWS * 100:
+    if n <= TOP_N_LIMIT:
         return keyed.orderBy("_key", row_id).limit(n).drop("_key")
     return (
         cut_by_hash(df, row_id, seed, [("in", lambda total: F.least(F.lit(n), total))], rest="out")

@@ -17,8 +17,8 @@ MAX_LABELS = 5
 N_CRITERIA = 3
 # Draws tried per wanted label in one round; later rounds finish the rest.
 DRAWS_PER_LABEL = 4
-# Cells the unit interval is divided into to find a draw's code by equality.
-CELLS = 4096
+# Fewest cells the unit interval is divided into to find a draw's code by equality.
+MIN_CELLS = 4096
 
 
 def code_intervals(freqs: DataFrame) -> DataFrame:
@@ -42,13 +42,14 @@ def code_intervals(freqs: DataFrame) -> DataFrame:
     )
 
 
-def _codes_at(draws: DataFrame, intervals: DataFrame) -> DataFrame:
+def _codes_at(draws: DataFrame, intervals: DataFrame, cells: int) -> DataFrame:
     """Attach the code whose interval holds ``u``.
 
     Each interval is listed under every cell it touches, so the lookup is an
-    equality join. Draws are uniform over cells whatever the code weights are.
+    equality join. Draws are uniform over cells whatever the code weights are,
+    and with as many cells as codes a draw meets two candidates on average.
     """
-    cell = lambda c: F.least(F.floor(F.col(c) * CELLS).cast("int"), F.lit(CELLS - 1))
+    cell = lambda c: F.least(F.floor(F.col(c) * cells).cast("int"), F.lit(cells - 1))
     listed = intervals.withColumn("_cell", F.explode(F.sequence(cell("low"), cell("high"))))
     return (
         draws.withColumn("_cell", cell("u"))
@@ -78,7 +79,7 @@ def sample_codes(rows: DataFrame, row_id: str, freqs: DataFrame, seed: str = "0"
     while True:
         draws = todo.withColumn("draw", F.explode(F.sequence(F.lit(first), F.lit(first + per_round - 1))))
         draws = draws.withColumn("u", hash_unit(hash_hex(seed, F.col(row_id), F.col("draw"))))
-        found = _codes_at(draws, intervals).select(row_id, "_want", "code", "draw")
+        found = _codes_at(draws, intervals, max(MIN_CELLS, available)).select(row_id, "_want", "code", "draw")
         if seen is not None:
             found = found.unionByName(seen.join(todo.select(row_id), row_id, "left_semi"))
         firsts = found.groupBy(row_id, "_want", "code").agg(F.min("draw").alias("draw"))

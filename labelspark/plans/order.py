@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from labelspark.functions.hashing import hash_hex
+from labelspark.plans.joins import salted_join
 from labelspark.session import settle
 
 # Prefix of a hash key used as its coarse bucket: 16**4 buckets of equal size.
@@ -48,9 +49,8 @@ def number_rows_within(
     """Dense 1-based rank inside each group, for groups too big for one task."""
     numbered = number_rows(df, [group, *order_by], "_pos")
     first = numbered.groupBy(group).agg(F.min("_pos").alias("_first"))
-    # one row per group next to pre-aggregated rows; Spark picks the strategy
     return (
-        numbered.join(first, group)
+        salted_join(numbered, first, [group], ["_pos"])
         .withColumn(name, F.col("_pos") - F.col("_first") + 1)
         .drop("_pos", "_first")
     )

@@ -995,3 +995,20 @@ def param_grid(spark: SparkSession, sf: str) -> DataFrame:
         out = scored if out is None else out.unionByName(scored)
     return rounded_metrics(M.best_by_f1(out, "c"), "c", "split")
 
+
+
+@query
+def ratio_search(spark: SparkSession, sf: str) -> DataFrame:
+    """English documents added to the other languages' training rows."""
+    from labelspark.operators.models import tfidf_features
+
+    prepared = _ready(spark, sf).withColumn("_terms", T.word_tokens(F.col("text")))
+    features = tfidf_features("_terms", 2**14).fit(prepared.filter("split = 'train'"))
+    ready = settle(features.transform(prepared).select("row_id", "split", "labels", "features"), "features")
+    english = F.array_contains("labels", "en")
+    train = ready.filter("split = 'train'")
+    out = flows.ratio_search(
+        train.filter(~english), train.filter(english), ready.filter("split = 'validation'"),
+        ["quality", "toxic"], "row_id", 10.0, max_iter=10,
+    )
+    return rounded_metrics(out, "multiplier")

@@ -82,6 +82,14 @@ def test_upsample(rows, rows_of):
     assert dict(rows_of(L.upsample(rows, "row_id", target=1).groupBy("row_id").count())) == {i: 1 for i in range(5)}
 
 
+def test_upsample_in_blocks(rows, rows_of, monkeypatch):
+    monkeypatch.setattr(L, "COPY_BLOCK", 7)
+    out = L.upsample(rows, "row_id", target=100)
+    copies = dict(rows_of(out.groupBy("row_id").agg(F.count_distinct("copy"))))
+    assert copies == {0: 50, 1: 100, 2: 20, 3: 1, 4: 100} and out.count() == 271
+    assert out.agg(F.min("copy"), F.max("copy")).first()[:] == (1, 100)
+
+
 def brute_pairs(rows, compat):
     from collections import Counter
     from itertools import combinations

@@ -10,7 +10,7 @@ from conftest import SF
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 # only learned coefficients and an engine-specific hash have no SQL
-WITHOUT_SQL = {"hashed_ngrams", "ovr_lr", "ovr_svm", "ngram_classifier", "param_grid"}
+WITHOUT_SQL = {"hashed_ngrams", "ovr_lr", "ovr_svm", "ngram_classifier", "param_grid", "ratio_search"}
 
 
 @pytest.fixture(scope="module")

@@ -81,10 +81,10 @@ def test_append_and_record(spark, tmp_path, rows_of):
 
 
 def test_tokenised_dictionary_template(spark, tmp_path, rows_of):
-    put(tmp_path / "emea" / "train.json", [json.dumps({"tokens": ["a", "b"], "ner_tags": [0, 1]})])
-    put(tmp_path / "emea" / "test.json", [json.dumps({"tokens": [], "ner_tags": []})])
-    df = readers.read_tokenised(spark, str(tmp_path), ["emea"], ["train", "test"])
-    assert rows_of(df) == [("emea", "test", [], []), ("emea", "train", ["a", "b"], [0, 1])]
+    put(tmp_path / "first" / "train.json", [json.dumps({"tokens": ["a", "b"], "ner_tags": [0, 1]})])
+    put(tmp_path / "first" / "test.json", [json.dumps({"tokens": [], "ner_tags": []})])
+    df = readers.read_tokenised(spark, str(tmp_path), ["first"], ["train", "test"])
+    assert rows_of(df) == [("first", "test", [], []), ("first", "train", ["a", "b"], [0, 1])]
     codes = put(tmp_path / "codes.jsonl", ['{"code": "B", "description": "beta"}', '{"code": "A", "description": "alpha"}'])
     assert rows_of(readers.read_dictionary(spark, codes, ordered=True).select("ord", "code")) == [(0, "B"), (1, "A")]
     from labelspark.operators.prompt import read_template
@@ -101,12 +101,12 @@ def test_evaluations(spark, tmp_path, rows_of):
     def save(name, f1):
         put(tmp_path / name, [json.dumps({"precision": 0.1, "recall": 0.2, "f1": f1, "auc_score": 0.4, "threshold": 0.5}, indent=4)])
 
-    save("student.v2/emea-test-pred-eval.json", 0.3)
-    save("teacher/emea-test-pred-eval.json", 0.6)
-    save("teacher/emea-valid-pred-eval.json", 0.9)
+    save("student.v2/a-test-pred-eval.json", 0.3)
+    save("teacher/a-test-pred-eval.json", 0.6)
+    save("teacher/a-valid-pred-eval.json", 0.9)
     save("teacher/other.json", 0.9)
     got = rows_of(readers.read_evaluations(spark, str(tmp_path)).select("model_name", "split", "f1"))
-    assert got == [("student", "emea-test", 0.3), ("teacher", "emea-test", 0.6)]
+    assert got == [("student", "a-test", 0.3), ("teacher", "a-test", 0.6)]
 
 
 def test_labelled_lines(spark, tmp_path, rows_of):
