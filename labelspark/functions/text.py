@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -67,6 +67,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def opened(df: DataFrame, array: Column, name: str, *keep: str | Column) -> DataFrame:
+    """(keep…, name): one row per non-null array element.
+
+    For a computed array the planner would copy its expression into a filter on
+    the array's size and evaluate it twice; the outer form has no such filter.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _guarded(needs: str, pattern: str, replacement: str) -> Callable[[Column], Column]:
     def rule(x: Column) -> Column:
         found = reduce(lambda a, b: a | b, [F.contains(x, F.lit(c)) for c in needs])

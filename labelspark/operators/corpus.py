@@ -115,7 +115,7 @@ def parse_answers(df: DataFrame, output: str = "output") -> tuple[DataFrame, Dat
     """
     labels = T.answer_labels(T.answer_sections(F.col(output)))
     one = T.let(labels, lambda found: F.when(found.isNotNull(), F.array(found)))
-    accepted = df.select(*[c for c in df.columns if c != "labels"], F.explode(one).alias("labels"))
+    accepted = T.opened(df, one, "labels", *[c for c in df.columns if c != "labels"])
     accepted = accepted.drop(output, "raw_text", "gen_configs")
     return accepted, df.filter(F.size(T.answer_sections(F.col(output))) != 2)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspark.functions.text import opened
 from labelspark.plans.joins import hot_salted_join, salted_join
 from labelspark.plans.order import number_rows, number_rows_within
 from labelspark.session import settle
@@ -142,7 +143,7 @@ def rows_by_bucket(long: DataFrame, bucketed: DataFrame, row_id: str, *keep: str
     ]
     wide = tagged.groupBy(row_id, *keep).agg(*flags)
     kept = F.filter(F.array(*[F.when(F.col(b), F.lit(b)) for b in names]), lambda b: b.isNotNull())
-    return wide.select(row_id, *keep, F.explode(kept).alias("bucket"))
+    return opened(wide, kept, "bucket", row_id, *keep)
 
 
 def bucket_shares(bucketed: DataFrame) -> DataFrame:
@@ -158,7 +159,7 @@ def valid_label_rows(df: DataFrame, valid: DataFrame, row_id: str, labels: str =
     """
     short = df.filter(F.size(labels) <= max_labels)
     codes = valid.select(F.col("code").alias("label")).distinct()
-    pairs = short.select(row_id, F.explode(F.array_distinct(labels)).alias("label"))
+    pairs = opened(short, F.array_distinct(labels), "label", row_id)
     bad = salted_join(pairs, codes, ["label"], [row_id], "left_anti").select(row_id).distinct()
     return short.join(bad, row_id, "left_anti")
 

@@ -6,12 +6,13 @@ N x C matrix is built, and a search over thresholds or k reads the scores once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.functions.scores import safe_ratio, thresholds_met
+from labelspark.functions.text import opened
 from labelspark.plans.order import exact_quantiles
 from labelspark.session import settle
 
@@ -72,13 +73,19 @@ def confusion_long(truth: DataFrame, predicted: DataFrame, row_id: str, label: s
     )
 
 
-def score_cells(df: DataFrame, scores: str, truth_ids: str, *keep: str) -> DataFrame:
-    """(keep…, label_id, score, truth 0/1), one row per class, made in place."""
-    cells = df.select(*keep, truth_ids, F.posexplode(scores).alias("label_id", "score"))
-    return cells.select(
+def score_cells(df: DataFrame, scores: str, truth_ids: str, *keep: str,
+                score: Callable[[Column], Column] = lambda s: s) -> DataFrame:
+    """(keep…, label_id, score, truth 0/1), one row per class, made in place.
+
+    ``score`` turns a stored value into the score wanted, a sigmoid for example,
+    after the array is opened: compiled code per value instead of an
+    interpreted array function.
+    """
+    cells = df.select(*keep, truth_ids, F.posexplode_outer(scores).alias("label_id", "_value"))
+    return cells.filter(F.col("label_id").isNotNull()).select(
         *keep,
         "label_id",
-        F.col("score").cast("double").alias("score"),
+        score(F.col("_value").cast("double")).alias("score"),
         F.array_contains(truth_ids, F.col("label_id").cast("bigint")).cast("bigint").alias("truth"),
     )
 
@@ -146,7 +153,7 @@ def most_frequent_baseline(train: DataFrame, rows: DataFrame, n_classes: Column,
     # one pass: hits per label, and under the null label the number of rows
     marked = F.concat(F.array_distinct(labels), F.array(F.lit(None).cast("string")))
     seen = settle(
-        rows.select(F.explode(marked).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("hits")), "hits"
+        rows.select(F.explode_outer(marked).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("hits")), "hits"
     )
     n_rows = seen.filter("label IS NULL").agg(F.coalesce(F.sum("hits"), F.lit(0))).scalar()
     positives = seen.filter("label IS NOT NULL").agg(F.coalesce(F.sum("hits"), F.lit(0))).scalar()
@@ -173,7 +180,7 @@ def ranked_predictions(df: DataFrame, scores: str, k: int, *keep: str, threshold
     """
     pairs = F.transform(scores, lambda s, i: F.struct((-s.cast("double")).alias("neg"), i.alias("id")))
     best = F.filter(F.slice(F.array_sort(pairs), 1, k), lambda p: -p["neg"] >= threshold)
-    flat = df.select(*keep, F.posexplode(best).alias("_pos", "_entry"))
+    flat = df.select(*keep, F.posexplode_outer(best).alias("_pos", "_entry")).filter(F.col("_pos").isNotNull())
     return flat.select(
         *keep,
         (F.col("_pos") + 1).alias("rank"),
@@ -195,7 +202,7 @@ def top_k_grid(df: DataFrame, scores: str, truth_ids: str, row_id: str, max_k: i
     )
     # (rank, class) counters: at most max_k * classes rows after map-side sums
     cells = hits.groupBy("rank", "label_id").agg(F.sum("hit").alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    truth = df.select(F.explode(F.array_distinct(truth_ids)).alias("label_id"))
+    truth = opened(df, F.array_distinct(truth_ids), "label_id")
     truth_classes = truth.groupBy("label_id").agg(F.count(F.lit(1)).alias("_p"))
     first_seen = (
         cells.select("label_id", "rank")

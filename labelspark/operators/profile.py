@@ -94,9 +94,9 @@ def cooccurrence_pairs(df: DataFrame, *by: str, labels: str = "labels", compat:
     """
     if compat:
         lists = df.groupBy(*by, F.col(labels).alias("_ls")).agg(F.count(F.lit(1)).alias("_w"))
-        firsts = lists.select(*by, "_w", "_ls", F.posexplode("_ls").alias("_i", "label_a"))
+        firsts = lists.select(*by, "_w", "_ls", F.posexplode_outer("_ls").alias("_i", "label_a"))
         rest = F.slice("_ls", F.col("_i") + 2, F.size("_ls"))
-        pairs = firsts.select(*by, "_w", "label_a", F.explode(rest).alias("label_b")).filter("label_a <= label_b")
+        pairs = firsts.select(*by, "_w", "label_a", F.explode_outer(rest).alias("label_b")).filter("label_a <= label_b")
         return pairs.groupBy(*by, "label_a", "label_b").agg(F.sum("_w").alias("n"))
     lists = df.groupBy(*by, F.array_sort(labels).alias("_ls")).agg(F.count(F.lit(1)).alias("_w"))
     distinct = F.array_distinct("_ls")
@@ -110,9 +110,9 @@ def cooccurrence_pairs(df: DataFrame, *by: str, labels: str = "labels", compat:
     )
     single = F.transform(distinct, lambda l: F.struct(l.alias("label"), F.lit(1).cast("bigint").alias("m")))
     counted = lists.select(*by, "_w", F.when(last == F.size(distinct), single).otherwise(repeats).alias("_ls"))
-    firsts = counted.select(*by, "_w", "_ls", F.posexplode("_ls").alias("_i", "_a"))
+    firsts = counted.select(*by, "_w", "_ls", F.posexplode_outer("_ls").alias("_i", "_a"))
     rest = F.slice("_ls", F.col("_i") + 1, F.size("_ls"))
-    pairs = firsts.select(*by, "_w", "_a", F.explode(rest).alias("_b")).select(
+    pairs = T.opened(firsts, rest, "_b", *by, "_w", "_a").select(
         *by,
         F.col("_a.label").alias("label_a"),
         F.col("_b.label").alias("label_b"),

@@ -216,9 +216,12 @@ def micro_metrics_in_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded_metrics(M.with_metrics(counts), "split")
 
 
+def _probability(value: Column) -> Column:
+    return S.sigmoid(D.logit(value))
+
+
 def _cells(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.logits(spark, sf).withColumn("probs", S.sigmoid_scores(F.col("logits")))
-    return M.score_cells(rows, "probs", "truth_ids", "split")
+    return M.score_cells(D.raw_scores(spark, sf), "embedding", "truth_ids", "split", score=_probability)
 
 
 @query
@@ -290,7 +293,7 @@ def argmax_class(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def sigmoid_scores(spark: SparkSession, sf: str) -> DataFrame:
     probs = S.sigmoid_scores(F.col("logits"))
-    cells = D.logits(spark, sf).select("row_id", F.posexplode(probs).alias("label_id", "score"))
+    cells = D.logits(spark, sf).select("row_id", F.posexplode_outer(probs).alias("label_id", "score"))
     return cells.select("row_id", F.col("label_id").cast("bigint").alias("label_id"), r6("score", "score"))
 
 
@@ -679,10 +682,10 @@ def word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    words = _docs(spark, sf).select(F.explode(T.word_tokens(F.lower("text"))).alias("word"))
+    words = T.opened(_docs(spark, sf), T.word_tokens(F.lower("text")), "word")
     # distinct words first: a frequent word is opened once, with its count
     counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("m"))
-    grams = counts.select("m", F.explode(X.char_ngrams(F.col("word"))).alias("gram"))
+    grams = T.opened(counts, X.char_ngrams(F.col("word")), "gram", "m")
     return grams.groupBy("gram").agg(F.sum("m").alias("n"))
 
 
@@ -701,8 +704,8 @@ def hashed_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 def _positives(spark: SparkSession, sf: str) -> DataFrame:
     """Rows per class; every position of a score vector is a class."""
-    rows = D.logits(spark, sf)
-    last = rows.agg((F.max(F.size("logits")) - 1).cast("bigint").alias("last"))
+    rows = D.raw_scores(spark, sf)
+    last = rows.agg((F.max(F.size("embedding")) - 1).cast("bigint").alias("last"))
     classes = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("label_id"))
     return settle(WE.class_positives(classes, rows.select(F.explode("truth_ids").alias("label_id"))), "positives")
 
@@ -743,7 +746,7 @@ def start_bias(spark: SparkSession, sf: str) -> DataFrame:
 
 def _loss_query(criterion: str) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        cells = M.score_cells(D.logits(spark, sf), "logits", "truth_ids")
+        cells = M.score_cells(D.raw_scores(spark, sf), "embedding", "truth_ids", score=D.logit)
         out = WE.loss(cells, criterion, _positives(spark, sf), _rows(spark, sf))
         return out.select(r6("loss", "loss"))
 
@@ -756,7 +759,7 @@ for _name in WE.CRITERIA:
 
 @query
 def distil_loss(spark: SparkSession, sf: str) -> DataFrame:
-    cells = M.score_cells(D.logits(spark, sf), "logits", "truth_ids").select(
+    cells = M.score_cells(D.raw_scores(spark, sf), "embedding", "truth_ids", score=D.logit).select(
         F.col("score").alias("student"),
         (F.col("score") * 0.5 + F.col("truth") * 2).alias("teacher"),
         F.col("truth").cast("double").alias("truth"),

@@ -121,7 +121,8 @@ def read_dictionary(spark: SparkSession, path: str, with_freq: bool = False, ord
 def explode_by_length(df: DataFrame, column: str) -> DataFrame:
     """{length: [sentence]} JSON text → (length, pos, sentence)."""
     mapped = df.select(F.from_json(column, schemas.SENTENCES_BY_LENGTH).alias("_m"))
-    lists = mapped.select(F.explode("_m").alias("length", "_ss"))
+    # the outer form: otherwise the JSON would be parsed again for a filter on its size
+    lists = mapped.select(F.explode_outer("_m").alias("length", "_ss")).filter(F.col("length").isNotNull())
     return lists.select("length", F.posexplode("_ss").alias("pos", "sentence"))
 
 

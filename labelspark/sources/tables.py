@@ -86,16 +86,26 @@ def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, split, logits, truth_ids): embeddings read as 64-class logits."""
+def logit(value: Column) -> Column:
+    return value.cast("double") * SCORE_SCALE
+
+
+def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, split, embedding, truth_ids): embeddings stand for 64-class outputs."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("row_id"),
         split_of("vec_id").alias("split"),
-        F.transform("embedding", lambda v: v.cast("double") * SCORE_SCALE).alias("logits"),
+        "embedding",
         F.array(F.col("label").cast("bigint")).alias("truth_ids"),
     )
 
 
+def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(row_id, split, logits, truth_ids) with one logit array per row."""
+    raw = raw_scores(spark, sf_dir)
+    return raw.select("row_id", "split", F.transform("embedding", logit).alias("logits"), "truth_ids")
+
+
 def brand_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(code, description): brands and their first part type."""
     return table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("code")).agg(
