@@ -76,8 +76,10 @@ def settle(df: DataFrame, purpose: str = "table") -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for a table of few file splits.
 
-    Splitting costs a shuffle, so it happens only where the scan has fewer
-    tasks than the cluster has cores; a large table is left as it lies.
+    Splitting costs a shuffle, so it happens only where the scan has at most two
+    tasks per core (some of them empty when a file is one row group); a large
+    table is left as it lies.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    few = 1 < cores and df.rdd.getNumPartitions() <= 2 * cores
+    return df.repartition(cores, *keys) if few else df
