@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspark.llm import quality, simhash, toxicity
+from labelspark.llm import language, quality, sharding, simhash, toxicity, urls
 from labelspark.llm.common import held_out
 
 
@@ -40,10 +40,44 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = held_out(F.col("doc_id"), 4, 2)
+    model = language.fit(docs, ~out)
+    found = language.identify(docs.select("doc_id", "text"), model, share="score")
+    return found.select("doc_id", out.alias("held_out"), "lang_pred", "score", F.col("lang_ambiguous").alias("ambiguous"))
+
+
+def op8_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return sharding.shuffle_into_shards(rows, rows.columns, shards=16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES, urls.fit(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
     "op5_quality": op5_quality,
+    "op7_language": op7_language,
+    "op8_shard": op8_shard,
+    "op10_urls": op10_urls,
 }
 
 SQL: dict[str, str] = {}
