@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,17 +27,20 @@ def fields_of(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, lower: bool = False, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) for runs of rows of about ``limit`` bytes.
 
     Nulls count as empty. ``offsets`` has one entry more than there are rows and
     starts at 0. A row is never cut, so one long text makes one large block.
+    ``lower`` changes letters of all scripts to lower case.
     """
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if texts.null_count:
         texts = texts.fill_null("")
     texts = texts.cast(pa.large_string())
+    if lower:
+        texts = pc.utf8_lower(texts)
     n = len(texts)
     if not n:
         return

@@ -103,7 +103,7 @@ def fit(docs: DataFrame, usable: Column, bound: int = TRAIN_ROWS) -> Model:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            for first, end, raw, where in text_blocks(batch.column(0)):
+            for first, end, raw, where in text_blocks(batch.column(0), lower=True):
                 buckets = gram_buckets(raw)
                 for i in range(end - first):
                     own = buckets[where[i] : max(where[i], where[i + 1] - GRAM + 1)]
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, usable: Column, bound: int = TRAIN_ROWS) -> Model:
 
     def margins(batches):
         for batch in batches:
-            for first, end, raw, where in text_blocks(batch.column(0)):
+            for first, end, raw, where in text_blocks(batch.column(0), lower=True):
                 found = _means(raw, where, weights)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(1)[first:end], pa.array(found.tolist(), pa.list_(pa.float64()))], ["lang", "means"]
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: Model, name: str = "lang_pred", share: str
             langs = np.full(len(texts), UNKNOWN, object)
             shares = np.ones(len(texts))
             if model.languages:
-                for first, end, raw, where in text_blocks(texts):
+                for first, end, raw, where in text_blocks(texts, lower=True):
                     best, won = decode(_means(raw, where, model.weights), model)
                     own = lettered[first:end]
                     langs[first:end][own] = np.array(model.languages, object)[best[own]]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspark.llm import fingerprints, language, licenses, packing, quality, sharding, simhash, toxicity, urls
+from labelspark.llm import decontaminate, fingerprints, language, licenses, packing, quality, sharding, simhash, toxicity, urls
 from labelspark.llm.common import held_out
 
 
@@ -31,6 +31,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.find(docs.select("doc_id", "text"), items)
+    return found.select("doc_id", F.explode("items").alias("_item")).select("doc_id", "_item.*")
+
+
 TOKENIZER = "byte_bpe_50k.json"
 
 
@@ -91,6 +97,7 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
+    "op3_decontaminate": op3_decontaminate,
     "op4_pack": op4_pack,
     "op5_quality": op5_quality,
     "op6_licenses": op6_licenses,

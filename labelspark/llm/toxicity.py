@@ -92,7 +92,7 @@ def _table(model: Model) -> np.ndarray:
 
 def _segments(texts: pa.Array, table: np.ndarray):
     """(length in grams, maximal segments) of each text."""
-    for _, _, raw, where in text_blocks(texts):
+    for _, _, raw, where in text_blocks(texts, lower=True):
         gains = table[gram_buckets(raw)]
         hits = np.flatnonzero(gains)
         values = gains[hits].astype(np.float64)
@@ -122,7 +122,7 @@ def _counts(sample: DataFrame) -> DataFrame:
         counts = np.zeros((2, 1 << TABLE_BITS), np.int32)
         for batch in batches:
             labels = batch.column(1).to_numpy()
-            for first, end, raw, where in text_blocks(batch.column(0)):
+            for first, end, raw, where in text_blocks(batch.column(0), lower=True):
                 buckets = gram_buckets(raw)
                 for i in range(end - first):
                     own = buckets[where[i] : max(where[i], where[i + 1] - GRAM + 1)]
@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, bound: int = TRAIN_R
 def score(docs: DataFrame, model: Model, name: str = "toxicity", spans: str | None = "passages") -> DataFrame:
     """``docs`` with the chance of label 1 and the significant passages.
 
-    A passage has its byte offsets in the UTF-8 text, its score and the number
+    A passage has its byte offsets in the lower-cased UTF-8 text, its score and the number
     of such passages expected in clean text. Null and empty texts, and texts
     shorter than a gram, have no evidence and get the score of none. All columns
     are passed on; ``name`` and ``spans`` must be new.
