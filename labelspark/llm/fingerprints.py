@@ -4,9 +4,9 @@ A text is a multiset of paragraphs. Each paragraph is hashed into a wide vector
 and the vectors are summed, each lane modulo a power of two, so that the order
 of paragraphs does not matter and a paragraph can be added or taken away later.
 
-Vector layout (array of bigint): LANES / 4 words of four 16-bit lanes that count
-how often each hash bit is set (modulo 2**15, so that no lane runs into the
-next), then the number of paragraphs and three wide sums, modulo 2**60.
+Vector layout (array of bigint): WORDS words of four lanes, 15 bits apart, that
+count how often each hash bit is set (modulo 2**14, so that a sum of two lanes
+never runs into the next or into the sign), then the number of paragraphs and three wide sums, modulo 2**60.
 """
 
 from __future__ import annotations
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 # A paragraph ends with its line; the sentences of a line count as paragraphs of
 # their own, as many documents are one line.
 PARAGRAPH = r"\n+|(?<=[.!?])[ \t]+"
-LANES = 64
-WORDS = LANES // 4
-BIT = 0x0001000100010001
-KEEP = 0x7FFF7FFF7FFF7FFF
+WORDS = 15
+APART = 15  # bits between lanes
+BIT = sum(1 << APART * k for k in range(4))
+LANE = (1 << 14) - 1
+KEEP = LANE * BIT
 WIDE = (1 << 60) - 1
 # Documents in order are cut into blocks of this many ids; a window holds one.
 BLOCK_BITS = 13
@@ -81,14 +82,15 @@ def as_text(vec: Column) -> Column:
 
 
 def _balance(vec: Column) -> Column:
-    """Per lane: set minus unset bits, as a number around zero (modulo 2**16)."""
+    """Per lane: set minus unset bits, as a number around zero (modulo 2**15)."""
     count = F.element_at(vec, WORDS + 1)
 
+    def lane(word: Column, k: int) -> Column:
+        set_ = F.shiftrightunsigned(word, APART * k).bitwiseAND(F.lit(LANE))
+        return (F.pmod(set_ * 2 - count + (LANE + 1), F.lit(2 * LANE + 2)) - (LANE + 1)).cast("double")
+
     def of(word: Column) -> Column:
-        return F.array(*[
-            (F.pmod(F.shiftrightunsigned(word, 16 * k).bitwiseAND(F.lit(0x7FFF)) * 2 - count + 32768, F.lit(65536)) - 32768)
-            .cast("double") for k in range(4)
-        ])
+        return F.array(*[lane(word, k) for k in range(4)])
 
     return F.flatten(F.transform(F.slice(vec, 1, WORDS), of))
 
