@@ -110,6 +110,8 @@ def not_yet_done(inputs: DataFrame, done: DataFrame, text: str = "text", spread_
 def parse_answers(df: DataFrame, output: str = "output") -> tuple[DataFrame, DataFrame]:
     """(accepted with labels, rejected): an answer needs exactly two sections.
 
+    A null answer is rejected like any other without them.
+
     Accepted rows come out of a generator that yields nothing for the others, so
     an answer is parsed once and not again for the filter.
     """
@@ -117,7 +119,8 @@ def parse_answers(df: DataFrame, output: str = "output") -> tuple[DataFrame, Dat
     one = T.let(labels, lambda found: F.when(found.isNotNull(), F.array(found)))
     accepted = T.opened(df, one, "labels", *[c for c in df.columns if c != "labels"])
     accepted = accepted.drop(output, "raw_text", "gen_configs")
-    return accepted, df.filter(F.size(T.answer_sections(F.col(output))) != 2)
+    # a null answer has no sections
+    return accepted, df.filter(F.coalesce(F.size(T.answer_sections(F.col(output))), F.lit(0)) != 2)
 
 
 def mark_generated(df: DataFrame) -> DataFrame:

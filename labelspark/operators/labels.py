@@ -155,9 +155,9 @@ def valid_label_rows(df: DataFrame, valid: DataFrame, row_id: str, labels: str =
                      max_labels: int = MAX_LABELS) -> DataFrame:
     """Rows with at most ``max_labels`` labels, all of them known codes.
 
-    ``valid`` has column ``code``. Rows without labels pass.
+    ``valid`` has column ``code``. Rows without labels, null or empty, pass.
     """
-    short = df.filter(F.size(labels) <= max_labels)
+    short = df.filter(F.coalesce(F.size(labels), F.lit(0)) <= max_labels)
     codes = valid.select(F.col("code").alias("label")).distinct()
     pairs = opened(short, F.array_distinct(labels), "label", row_id)
     bad = salted_join(pairs, codes, ["label"], [row_id], "left_anti").select(row_id).distinct()

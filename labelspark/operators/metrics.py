@@ -262,8 +262,9 @@ def wide_results(results: DataFrame, row: str, split: str, splits: Sequence[str]
                  values: Sequence[str] = METRICS) -> DataFrame:
     """One row per ``row`` with a column ``{split}_{metric}`` for each pair.
 
-    Naming the splits keeps the schema fixed and saves a distinct scan. Values
-    of a repeated key: the greatest ``_order`` column wins, if there is one.
+    Naming the splits keeps the schema fixed and saves a distinct scan. Of a
+    repeated key the row with the greatest ``_order`` wins; without such a column
+    a repeated key is an error.
     """
     ordered = "_order" in results.columns
 
@@ -272,6 +273,7 @@ def wide_results(results: DataFrame, row: str, split: str, splits: Sequence[str]
         value = F.when(mine, F.col(v))
         if ordered:
             return F.max_by(value, F.when(mine, F.col("_order"))).alias(f"{s}_{v}")
-        return F.first(value, ignorenulls=True).alias(f"{s}_{v}")
+        repeated = F.raise_error(F.lit(f"several results for {s}: add _order")).cast("double")
+        return F.when(F.count_if(mine) > 1, repeated).otherwise(F.max(value)).alias(f"{s}_{v}")
 
     return results.groupBy(row).agg(*[cell(s, v) for s in splits for v in values])

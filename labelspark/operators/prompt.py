@@ -12,11 +12,6 @@ from labelspark.functions.text import fill_template
 from labelspark.operators.sample import MAX_LABELS, N_CRITERIA, sample_codes, sample_items
 from labelspark.plans.joins import salted_join
 
-# The whole dictionary is part of every prompt, so a dictionary beyond this many
-# characters could not be sent to a model at all.
-MAX_CONTEXT_CHARS = 4_000_000
-
-
 def read_template(spark: SparkSession, path: str) -> str:
     """One text file, whole; a setting, not data."""
     return spark.read.text(path, wholetext=True).first()["value"]
@@ -26,11 +21,16 @@ def code_line() -> Column:
     return F.concat("code", F.lit(": "), "description")
 
 
-def context_text(dictionary: DataFrame, order_by: str = "ord") -> Column:
-    """All ``code: description`` lines in order, as a scalar subquery."""
-    chars = dictionary.agg(F.sum(F.length(code_line()) + 1)).first()[0] or 0
-    if chars > MAX_CONTEXT_CHARS:
-        raise ValueError(f"a context of {chars} characters does not fit in a prompt")
+def context_text(dictionary: DataFrame, order_by: str = "ord", max_chars: int | None = None) -> Column:
+    """All ``code: description`` lines in order, as a scalar subquery.
+
+    The whole dictionary is part of every prompt. ``max_chars`` turns a context
+    that no model could take into an error before any prompt is made.
+    """
+    if max_chars is not None:
+        chars = dictionary.agg(F.sum(F.length(code_line()) + 1)).first()[0] or 0
+        if chars > max_chars:
+            raise ValueError(f"a context of {chars} characters does not fit in a prompt")
     lines = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("ord"), code_line().alias("line"))))
     return dictionary.agg(F.array_join(F.transform(lines, lambda l: l["line"]), "\n").alias("context")).scalar()
 

@@ -37,7 +37,8 @@ def split_exact(df: DataFrame, row_id: str, seed: str = "0", test_rows: int = TE
 
 
 def shuffled(df: DataFrame, row_id: str, seed: str = "0", n: int | None = None) -> DataFrame:
-    """Seeded order (range-partitioned), or its first ``n`` rows with ``n``."""
+    """Seeded order (range-partitioned), or its first ``n`` rows with ``n``, in
+    that order for any ``n``."""
     keyed = df.withColumn("_key", hash_hex(seed, row_id))
     if n is None:
         return keyed.orderBy("_key", row_id).drop("_key")
@@ -47,6 +48,9 @@ def shuffled(df: DataFrame, row_id: str, seed: str = "0", n: int | None = None)
         cut_by_hash(df, row_id, seed, [("in", lambda total: F.least(F.lit(n), total))], rest="out")
         .filter("split = 'in'")
         .drop("split")
+        .withColumn("_key", hash_hex(seed, row_id))
+        .orderBy("_key", row_id)
+        .drop("_key")
     )
 
 

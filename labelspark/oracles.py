@@ -211,7 +211,7 @@ LOSSES = {
 ANSWERS = f"""
   shaped AS (SELECT row_id, row_id % 8 AS s, array_to_string(labels, ', ') AS codes, array_to_string(labels, ' , ') AS spaced FROM lrows),
   bodies AS (SELECT *, '### Analysis and Code Assignment' || chr(10) || chr(10) || 'Why.' || chr(10) || chr(10) || '### Result' || chr(10) || chr(10) || codes AS body FROM shaped),
-  answers AS (SELECT row_id, CASE s
+  answers AS (SELECT row_id, CASE WHEN row_id % 11 = 3 THEN NULL ELSE CASE s
       WHEN 0 THEN '```' || chr(10) || body || chr(10) || '```'
       WHEN 1 THEN body
       WHEN 2 THEN '## result' || chr(10) || codes
@@ -219,7 +219,7 @@ ANSWERS = f"""
       WHEN 4 THEN '### Analysis' || chr(10) || 'none' || chr(10) || '### Result' || chr(10) || '0'
       WHEN 5 THEN '### analysis' || chr(10) || 'x' || chr(10) || chr(10) || '## Result' || chr(10) || spaced || ','
       WHEN 6 THEN body || chr(10) || '``` '
-      ELSE body || chr(10) || '```' || chr(10) END AS output FROM bodies),
+      ELSE body || chr(10) || '```' || chr(10) END END AS output FROM bodies),
   cut AS (SELECT row_id, output, string_split_regex(
             regexp_replace(regexp_replace(output, '^```', ''), '```(\\n?)$', '\\1'),
             '(?i)#{{2,3}} (?:Analysis and Code Assignment|Analysis|Result)')[2:] AS parts FROM answers),
@@ -235,15 +235,20 @@ BRANDS = """
 
 SAMPLED = f"""
   wanted AS (SELECT doc_id AS row_id, 1 + {to_int(hashed('5', 'doc_id', "'size'"))} % 5 AS k FROM documents),
-  draws AS (SELECT row_id, k, draw, {to_int(hashed('5', 'row_id', 'draw'))} / pow(2, 52) AS u
-            FROM wanted CROSS JOIN (SELECT unnest(range(100)) AS draw)),
   freqs AS (SELECT label AS code, count(*)::DOUBLE AS n FROM long GROUP BY label),
-  spans AS (SELECT code, (sum(n) OVER (ORDER BY code) - n) / sum(n) OVER () AS low,
-              sum(n) OVER (ORDER BY code) / sum(n) OVER () AS high FROM freqs),
-  hits AS (SELECT row_id, k, code, min(draw) AS draw FROM draws JOIN spans ON u >= low AND u < high GROUP BY ALL),
-  sampled AS (SELECT row_id, pos, code FROM
-               (SELECT row_id, k, code, row_number() OVER (PARTITION BY row_id ORDER BY draw) AS pos FROM hits)
-              WHERE pos <= k)
+  spans AS (SELECT code, sum(n) OVER (ORDER BY code) - n AS low, n AS w FROM freqs),
+  steps AS (
+    SELECT row_id, k, 0::BIGINT AS pos, []::STRUCT(low DOUBLE, w DOUBLE)[] AS taken, ''::VARCHAR AS code FROM wanted
+    UNION ALL
+    SELECT s.row_id, s.k, s.pos + 1, list_append(s.taken, {{'low': s.low, 'w': s.w}}), s.code FROM (
+      SELECT p.*, c.low, c.w, c.code,
+        coalesce(list_sum(list_transform(list_filter(p.taken, lambda t: t.low < c.low), lambda t: t.w)), 0) AS gone
+      FROM (SELECT row_id, k, pos, taken, {to_int(hashed('5', 'row_id', 'pos'))} / pow(2, 52)
+              * ((SELECT sum(n) FROM freqs) - coalesce(list_sum(list_transform(taken, lambda t: t.w)), 0)) AS v
+            FROM steps WHERE pos < k) p
+      JOIN spans c ON NOT list_contains(list_transform(p.taken, lambda t: t.low), c.low)) s
+    WHERE v >= s.low - s.gone AND v < s.low - s.gone + s.w),
+  sampled AS (SELECT row_id, pos, code FROM steps WHERE pos > 0)
 """
 
 
@@ -439,7 +444,7 @@ def oracle_sql() -> dict[str, str]:
       (len(list_filter(string_split(text, ' '), lambda w: length(w) > 14)) > 0)::BIGINT AS has_diso FROM documents) WHERE text <> ''"""
     sql["parse_answers"] = f"""WITH {ORDERS}, {ANSWERS} SELECT row_id, len(labels)::BIGINT AS n,
       array_to_string(labels, '|') AS labels FROM parsed WHERE n_parts = 2"""
-    sql["rejected_answers"] = f"WITH {ORDERS}, {ANSWERS} SELECT row_id, md5(output) AS output_md5 FROM parsed WHERE n_parts <> 2"
+    sql["rejected_answers"] = f"WITH {ORDERS}, {ANSWERS} SELECT row_id, md5(output) AS output_md5 FROM parsed WHERE coalesce(n_parts, 0) <> 2"
 
     # prompts
     context = "(SELECT string_agg(code || ': ' || description, chr(10) ORDER BY ord) FROM brands)"
@@ -451,12 +456,12 @@ def oracle_sql() -> dict[str, str]:
     sql["code_lookup"] = f"WITH {ORDERS}, {BRANDS}, {lines} SELECT row_id, label_lines FROM lines"
     sql["prompt_fill"] = f"""WITH {ORDERS}, {BRANDS}, {lines} SELECT row_id, '## Text' || chr(10) || chr(10) || source || ' {{labels}}' ||
       chr(10) || chr(10) || '## Codes' || chr(10) || chr(10) || label_lines AS pre_query_str FROM lines JOIN heads USING (row_id)"""
-    sql["weighted_sample"] = f"WITH {ORDERS}, {SAMPLED} SELECT row_id, pos, code FROM sampled"
+    sql["weighted_sample"] = f"WITH RECURSIVE {ORDERS}, {SAMPLED} SELECT row_id, pos, code FROM sampled"
     sql["prompt_sample"] = f"""SELECT row_id, types, styles FROM ({items(TYPES, 'types')}) JOIN ({items(STYLES, 'styles')}) USING (row_id)"""
     sql["uniform_count"] = f"SELECT doc_id AS row_id, 1 + {to_int(hashed('4', 'doc_id'))} % 5 AS n FROM documents"
     filled = """'Types:' || chr(10) || chr(10) || types || chr(10) || chr(10) || 'Styles:' || chr(10) || chr(10) || styles ||
       chr(10) || chr(10) || '## Codes' || chr(10) || chr(10) || label_lines"""
-    sql["synthetic_prompts"] = f"""WITH {ORDERS}, {SAMPLED}, {BRANDS},
+    sql["synthetic_prompts"] = f"""WITH RECURSIVE {ORDERS}, {SAMPLED}, {BRANDS},
       l AS (SELECT row_id, string_agg(code, ',' ORDER BY pos) AS labels, string_agg(code || ': ' || description, chr(10) ORDER BY pos) AS label_lines
             FROM sampled JOIN brands USING (code) GROUP BY row_id)
       SELECT row_id, labels, {filled} AS pre_query_str FROM l

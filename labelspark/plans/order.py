@@ -57,10 +57,10 @@ def number_rows_within(
 
 
 def first_rows(df: DataFrame, n: int, order_by: str = "ord") -> DataFrame:
-    """The first ``n`` rows by ``order_by``."""
+    """The first ``n`` rows by ``order_by``, in that order."""
     if n <= TOP_N_LIMIT:
         return df.orderBy(order_by).limit(n)
-    return number_rows(df, [order_by], "_pos").filter(F.col("_pos") < n).drop("_pos")
+    return number_rows(df, [order_by], "_pos").filter(F.col("_pos") < n).drop("_pos").orderBy(order_by)
 
 
 Size = Callable[[Column], Column]

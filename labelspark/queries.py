@@ -565,7 +565,7 @@ def corpus_from_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """Model answers of every shape, built around an order's brands."""
+    """Model answers of every shape, and none, built around an order's brands."""
     codes = F.array_join("labels", ", ")
     body = F.concat(F.lit("### Analysis and Code Assignment\n\nWhy.\n\n### Result\n\n"), codes)
     shapes = [
@@ -581,7 +581,8 @@ def answers(spark: SparkSession, sf: str) -> DataFrame:
     shape = shapes[0]
     for i, other in enumerate(shapes[1:], 1):
         shape = F.when(F.col("row_id") % len(shapes) == i, other).otherwise(shape)
-    return D.order_labels(spark, sf).select("row_id", shape.alias("output"))
+    # a model may also fail to answer
+    return D.order_labels(spark, sf).select("row_id", F.when(F.col("row_id") % 11 != 3, shape).alias("output"))
 
 
 @query
@@ -841,16 +842,7 @@ def gathered_results(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("train", "test", "valid"):
         one = scored.filter(F.col("split").startswith(name)).select(*schemas.EVALUATION.fieldNames())
         writers.write_record(one, f"{folder}/student.v1/{name}-pred-eval.json")
-    # a record is a folder of part files; its name is the record's name
-    files = (
-        spark.read.schema(schemas.EVALUATION)
-        .option("recursiveFileLookup", True)
-        .json(f"{folder}")
-        .select("*", F.col("_metadata.file_path").alias("p"))
-        .filter(~F.col("p").contains("valid"))
-        .withColumn("split", F.regexp_extract("p", r"([^/]+)-pred-eval\.json/", 1))
-        .withColumn("model_name", F.regexp_extract("p", r"([^/]+)\.[^/.]*/[^/]+-pred-eval\.json/", 1))
-    )
+    files = readers.read_evaluations(spark, folder)
     wide = M.wide_results(files, "model_name", "split", ["test", "train"], schemas.EVALUATION.fieldNames())
     return wide.select("model_name", *[r6(c, c) for c in wide.columns if c != "model_name"])
 
@@ -860,9 +852,7 @@ def sentences_by_length(spark: SparkSession, sf: str) -> DataFrame:
     """Per conversation, {role: [turn texts]} as JSON, opened into rows."""
     talks = D.table(spark, sf, "conversations")
     doc = F.to_json(F.create_map(F.col("role"), F.array(F.col("text"), F.col("role"))))
-    opened = talks.select("conv_id", "turn", doc.alias("doc"))
-    lists = opened.select("conv_id", "turn", F.explode(F.from_json("doc", schemas.SENTENCES_BY_LENGTH)).alias("length", "_s"))
-    flat = lists.select("conv_id", "turn", "length", F.posexplode("_s").alias("pos", "sentence"))
+    flat = readers.explode_by_length(talks.select("conv_id", "turn", doc.alias("doc")), "doc", "conv_id", "turn")
     return flat.select("conv_id", "turn", "length", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 

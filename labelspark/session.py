@@ -33,11 +33,15 @@ def build_session(app: str = "labelspark", **conf: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    A machine-local folder is made only where the setting is missing, as in
-    unit tests; executors of a real cluster could not see it.
+    A machine-local folder is made only where the setting is missing and all of
+    Spark runs in one process, as in unit tests; executors of a cluster could not
+    see it, so there the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="labelspark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -53,6 +57,12 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{scratch_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's settled tables, once no result needs them."""
     jvm = spark.sparkContext._jvm

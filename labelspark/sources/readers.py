@@ -26,47 +26,58 @@ def stem_name(path: str) -> str:
     return re.sub("[-_]", ".", PurePosixPath(path).stem)
 
 
-def _with_order(spark: SparkSession, df: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """Add ``ord``: dense position in list order, then file order.
+def _with_order(placed: DataFrame) -> DataFrame:
+    """Turn ``_place`` (position in the file list) into ``ord``: dense position in
+    list order, then file order.
 
     Inside one file block rows keep their order in one task, so a block start
     and a rising id place every row; block sizes give the offsets. Written once,
     because ids are only stable in a written table.
     """
-    listed = {p: i for i, p in enumerate(paths)}
-    place = F.lit(len(listed))
-    for path, i in listed.items():
-        name = path.rstrip("/")
-        hit = F.col("_file").endswith(name.split("://")[-1]) | F.col("_file").contains(name.split("://")[-1] + "/")
-        place = F.when(hit, F.lit(i)).otherwise(place)
-    placed = settle(
-        df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_place", place),
-        "ordered",
-    )
-    blocks = placed.groupBy("_place", "_file", "_block").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first")
-    )
+    placed = settle(placed.withColumn("_id", F.monotonically_increasing_id()), "ordered")
+    key = ["_place", "_file", "_block"]
+    blocks = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     # one row per file block, not per record
-    before = F.sum("_n").over(W.orderBy("_place", "_file", "_block").rowsBetween(W.unboundedPreceding, -1))
-    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n", "_place")
+    before = F.sum("_n").over(W.orderBy(*key).rowsBetween(W.unboundedPreceding, -1))
+    blocks = blocks.withColumn("_before", F.coalesce(before, F.lit(0))).drop("_n")
     return (
-        placed.join(blocks, ["_file", "_block"])
+        placed.join(blocks, key)
         .withColumn("ord", F.col("_before") + F.col("_id") - F.col("_first"))
-        .drop("_file", "_block", "_id", "_place", "_before", "_first")
+        .drop(*key, "_id", "_before", "_first")
     )
 
 
 def read_jsonl(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, ordered: bool = False) -> DataFrame:
-    """One table from JSONL files; ``ordered`` adds ``ord`` over the file list."""
+    """One table from JSONL files; ``ordered`` adds ``ord`` over the file list.
+
+    Each listed path is read as a part of its own, so that its place is known
+    whatever its name is; a path may be listed more than once.
+    """
     listed = split_paths(paths)
-    df = spark.read.schema(schema).json(listed)
-    return _with_order(spark, df, listed) if ordered else df
+    if not ordered:
+        return spark.read.schema(schema).json(listed)
+    parts = [
+        spark.read.schema(schema)
+        .json(path)
+        .select(
+            "*",
+            F.lit(place).alias("_place"),
+            F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_block"),
+        )
+        for place, path in enumerate(listed)
+    ]
+    return _with_order(reduce(DataFrame.unionAll, parts))
 
 
-def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("multiLine", True).csv(split_paths(paths))
+def read_csv(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """CSV with a header; a doubled quote is a quote.
+
+    ``multi_line`` allows line breaks inside quotes, at the price of one task per
+    file: without it files are split.
+    """
+    reader = spark.read.schema(schema).option("header", True).option("escape", '"')
+    return reader.option("multiLine", multi_line).csv(split_paths(paths))
 
 
 def read_table(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType) -> DataFrame:
@@ -118,37 +129,38 @@ def read_dictionary(spark: SparkSession, path: str, with_freq: bool = False, ord
     return read_jsonl(spark, path, schemas.CODE_FREQS if with_freq else schemas.CODE_DICTIONARY, ordered)
 
 
-def explode_by_length(df: DataFrame, column: str) -> DataFrame:
-    """{length: [sentence]} JSON text → (length, pos, sentence)."""
-    mapped = df.select(F.from_json(column, schemas.SENTENCES_BY_LENGTH).alias("_m"))
+def explode_by_length(df: DataFrame, column: str, *keep: str) -> DataFrame:
+    """{length: [sentence]} JSON text → (keep…, length, pos, sentence)."""
+    mapped = df.select(*keep, F.from_json(column, schemas.SENTENCES_BY_LENGTH).alias("_m"))
     # the outer form: otherwise the JSON would be parsed again for a filter on its size
-    lists = mapped.select(F.explode_outer("_m").alias("length", "_ss")).filter(F.col("length").isNotNull())
-    return lists.select("length", F.posexplode("_ss").alias("pos", "sentence"))
+    lists = mapped.select(*keep, F.explode_outer("_m").alias("length", "_ss")).filter(F.col("length").isNotNull())
+    return lists.select(*keep, "length", F.posexplode("_ss").alias("pos", "sentence"))
 
 
 def read_by_length(spark: SparkSession, path: str) -> DataFrame:
     return explode_by_length(spark.read.text(path, wholetext=True), "value")
 
 
-def read_evaluations(spark: SparkSession, root: str, pattern: str = "*pred-eval.json") -> DataFrame:
+def read_evaluations(spark: SparkSession, root: str, ending: str = "-pred-eval.json") -> DataFrame:
     """All evaluation records below ``root`` with model and split from the path.
 
-    Model is the stem of the parent folder; paths containing "valid" are left
-    out.
+    A record is a file, or a folder of part files as ``write_record`` makes it,
+    whose name ends with ``ending``. Model is the stem of the folder it lies in,
+    split the name before the ending; paths containing "valid" are left out.
     """
     df = (
         spark.read.schema(schemas.EVALUATION)
         .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
+        .option("pathGlobFilter", "*.json")
         .option("multiLine", True)
         .json(root)
-        .select("*", F.url_decode(F.col("_metadata.file_path")).alias("file_path"))
+        .select("*", F.url_decode(F.col("_metadata.file_path")).alias("_path"))
     )
-    df = df.filter(~F.col("file_path").contains("valid"))
-    folder = F.regexp_extract("file_path", r"([^/]+)/[^/]+\z", 1)
-    return df.select(
-        F.regexp_replace(folder, r"(?<=.)\.[^.]*\z", "").alias("model_name"),
-        F.regexp_replace(F.regexp_extract("file_path", r"([^/]+)\.json\z", 1), r"-pred-eval\z", "").alias("split"),
+    record = rf"([^/]+)/([^/]*){re.escape(ending)}(?:/part-[^/]*)?\z"
+    named = df.filter(F.col("_path").rlike(record) & ~F.col("_path").contains("valid"))
+    return named.select(
+        F.regexp_replace(F.regexp_extract("_path", record, 1), r"(?<=.)\.[^.]*\z", "").alias("model_name"),
+        F.regexp_extract("_path", record, 2).alias("split"),
         *schemas.EVALUATION.fieldNames(),
     )
 

@@ -31,12 +31,16 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    """Quotes inside a field are doubled, as other CSV programs expect."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_record(df: DataFrame, path: str) -> None:
-    """A one-row result as one JSON file."""
-    df.limit(1).coalesce(1).write.mode("overwrite").json(path)
+    """A one-row result as one JSON file; more than one row is an error."""
+    rows = df.take(2)
+    if len(rows) > 1:
+        raise ValueError("a record has one row")
+    df.sparkSession.createDataFrame(rows, df.schema).coalesce(1).write.mode("overwrite").json(path)
 
 
 def write_labelled_lines(df: DataFrame, path: str, labels: str = "labels", text: str = "text") -> None:

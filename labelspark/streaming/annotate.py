@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from labelspark.operators.corpus import not_yet_done, text_key
+from labelspark.session import path_exists
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, form: str = "json",
@@ -27,18 +28,21 @@ def annotate_stream(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame
     """Annotate what arrives and append it to ``output``; start again at will.
 
     Each micro-batch first drops texts the output already holds, then writes
-    below its own batch folder in overwrite mode, so a replayed batch replaces
-    itself and paid work is never done twice. Only the text column of earlier
-    batches is read for that.
+    below its own (run, batch) folder in overwrite mode, so a replayed batch
+    replaces itself and paid work is never done twice. A run is one checkpoint:
+    started with a new one, the stream finds all older output and leaves it. Only
+    the text column of earlier output is read for that.
     """
     spark = stream.sparkSession
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         todo = batch
-        done = earlier_output(spark, output, batch_id, text)
+        # the id that Spark keeps with a checkpoint
+        run_id = spark.read.schema("id string").json(f"{checkpoint}/metadata").first()["id"]
+        done = earlier_output(spark, output, run_id, batch_id, text)
         if done is not None:
             todo = not_yet_done(batch, done, text, spread_by)
-        annotate(todo).write.mode("overwrite").parquet(f"{output}/batch_id={batch_id}")
+        annotate(todo).write.mode("overwrite").parquet(f"{output}/run_id={run_id}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(one_batch)
@@ -48,12 +52,15 @@ def annotate_stream(stream: DataFrame, annotate: Callable[[DataFrame], DataFrame
     )
 
 
-def earlier_output(spark: SparkSession, output: str, batch_id: int, text: str) -> DataFrame | None:
-    """Texts written by batches before ``batch_id``, or None."""
-    if batch_id == 0:
+def earlier_output(spark: SparkSession, output: str, run_id: str, batch_id: int, text: str) -> DataFrame | None:
+    """Texts written by any run and batch but this one, or None."""
+    if not path_exists(spark, output):
         return None
-    schema = T.StructType([T.StructField(text, T.StringType()), T.StructField("batch_id", T.LongType())])
-    return spark.read.schema(schema).parquet(output).filter(F.col("batch_id") < batch_id).select(text)
+    schema = T.StructType(
+        [T.StructField(text, T.StringType()), T.StructField("run_id", T.StringType()), T.StructField("batch_id", T.LongType())]
+    )
+    own = (F.col("run_id") == run_id) & (F.col("batch_id") == batch_id)
+    return spark.read.schema(schema).parquet(output).filter(~own).select(text)
 
 
 def dedup_stream(stream: DataFrame, text: str = "text", event_time: str | None = None,

@@ -148,3 +148,28 @@ def test_hot_key_is_spread(spark, rows_of):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     with pytest.raises(ValueError):
         joins.salted_join(left, right, ["k"], ["id"], "outer")
+
+
+def test_null_answers_and_null_labels(table, rows_of):
+    answers = table([(1, None), (2, "### Analysis\nx\n### Result\nA"), (3, "nothing")], "row_id int, output string")
+    accepted, rejected = C.parse_answers(answers)
+    assert [r[0] for r in rows_of(accepted.select("row_id"))] == [2]
+    assert [r[0] for r in rows_of(rejected.select("row_id"))] == [1, 3]
+    labelled = table([(1, None), (2, []), (3, ["A"]), (4, ["Z"])], "row_id int, labels array<string>")
+    codes = table([("A",)], "code string")
+    from labelspark.operators.labels import valid_label_rows
+
+    assert [r[0] for r in rows_of(valid_label_rows(labelled, codes, "row_id").select("row_id"))] == [1, 2, 3]
+
+
+def test_order_is_kept_above_the_heap_limit(spark, monkeypatch):
+    from labelspark.operators import reshape
+    from labelspark.plans import order
+
+    ids = spark.range(200).withColumnRenamed("id", "row_id").repartition(5)
+    small = [r[0] for r in reshape.shuffled(ids, "row_id", n=50).collect()]
+    first = [r[0] for r in order.first_rows(ids, 50, "row_id").collect()]
+    monkeypatch.setattr(reshape, "TOP_N_LIMIT", 10)
+    monkeypatch.setattr(order, "TOP_N_LIMIT", 10)
+    assert [r[0] for r in reshape.shuffled(ids, "row_id", n=50).collect()] == small
+    assert [r[0] for r in order.first_rows(ids, 50, "row_id").collect()] == first == list(range(50))

@@ -48,7 +48,6 @@ def test_sample_is_repeatable(ids, freqs):
 
 
 def test_later_rounds_fill_short_rows(ids, table, monkeypatch):
-    monkeypatch.setattr(S, "DRAWS_PER_LABEL", 1)
     skewed = table([("A", 97.0), ("B", 1.0), ("C", 2.0)], "code string, freq double")
     got = by_row(S.sample_codes(ids, "row_id", skewed, "1", max_labels=2))
     sizes = collections.Counter(len(c) for c in got.values())
@@ -96,11 +95,10 @@ def test_prompts(table, rows_of):
         P.described_labels(df, "row_id", codes.filter("code = 'B'")).collect()
 
 
-def test_context_has_a_limit(table, monkeypatch):
-    monkeypatch.setattr(P, "MAX_CONTEXT_CHARS", 5)
+def test_context_can_have_a_limit(table):
     codes = table([("B", "beta", 0)], "code string, description string, ord int")
     with pytest.raises(ValueError):
-        P.context_text(codes)
+        P.context_text(codes, max_chars=5)
 
 
 def test_document_prompts(ids, table):
@@ -131,3 +129,26 @@ def test_scoring_and_generation(spark, table, rows_of):
     assert row["gen_configs"].asDict() == {
         "prompt": "<xx>", "temperature": 0.7, "top_p": 1.0, "repetition_penalty": 1.0, "max_tokens": 4096, "model": "m"
     }
+
+
+def test_very_uneven_weights_end(ids, table):
+    freqs = table([("a", 1.0), ("b", 1e-20), ("c", 1e-30)], "code string, freq double")
+    got = S.sample_codes(ids, "row_id", freqs, "1").groupBy("row_id").agg(F.collect_list("code").alias("cs")).collect()
+    assert len(got) == 3000 and all(len(set(r.cs)) == len(r.cs) for r in got)
+    assert {len(r.cs) for r in got} == {1, 2, 3}
+
+
+def test_draws_follow_successive_sampling(ids, table):
+    weights = {"a": 5.0, "b": 3.0, "c": 1.0, "d": 1.0}
+    freqs = table(list(weights.items()), "code string, freq double")
+    drawn = S.sample_codes(ids, "row_id", freqs, "2").orderBy("row_id", "pos").collect()
+    rows = {}
+    for r in drawn:
+        rows.setdefault(r.row_id, []).append(r.code)
+    pairs = [tuple(c[:2]) for c in rows.values() if len(c) > 1]
+    chi = 0.0
+    for x in weights:
+        for y in set(weights) - {x}:
+            want = len(pairs) * weights[x] / 10 * weights[y] / (10 - weights[x])
+            chi += (pairs.count((x, y)) - want) ** 2 / want
+    assert len(pairs) > 1500 and chi < 31.3  # 11 degrees of freedom, one in a thousand

@@ -1,6 +1,9 @@
 import os
 
+import pytest
+
 from labelspark import session
+from labelspark.session import shared_folder
 
 
 def test_settle_and_drop(spark):
@@ -29,3 +32,18 @@ def test_functions_travel_without_the_package(spark):
     from labelspark.queries import stub_predict
 
     assert b"labelspark.queries" not in cloudpickle.dumps(stub_predict).split(b"stub_predict")[0][:40]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "yarn"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

@@ -78,6 +78,35 @@ def test_append_and_record(spark, tmp_path, rows_of):
     assert rows_of(spark.read.schema("i int, d string").json(path)) == [(1, "2024-01-02")] * 2
     writers.write_record(df, str(tmp_path / "r"))
     assert spark.read.json(str(tmp_path / "r")).count() == 1
+    with pytest.raises(ValueError, match="one row"):
+        writers.write_record(df.unionAll(df), str(tmp_path / "s"))
+
+
+def test_written_records_are_found(spark, tmp_path, rows_of):
+    df = spark.sql("SELECT 0.1D AS precision, 0.2D AS recall, 0.3D AS f1, 0.4D AS auc_score, 0.5D AS threshold")
+    for name in ("my test", "a-valid"):
+        writers.write_record(df, str(tmp_path / "student.v1" / f"{name}-pred-eval.json"))
+    assert rows_of(readers.read_evaluations(spark, str(tmp_path)).select("model_name", "split", "f1")) == [("student", "my test", 0.3)]
+
+
+def test_order_of_odd_and_repeated_paths(spark, tmp_path):
+    one = put(tmp_path / "b set.jsonl", ['{"text": "1"}', '{"text": "2"}'])
+    two = put(tmp_path / "é.jsonl", ['{"text": "3"}'])
+    three = put(tmp_path / "x" / "é.jsonl", ['{"text": "4"}'])
+    schema = spark.createDataFrame([], "text string").schema
+    got = readers.read_jsonl(spark, [one, three, two, one], schema, ordered=True).orderBy("ord").collect()
+    assert [(r["ord"], r["text"]) for r in got] == list(enumerate("124312"))
+
+
+def test_csv_of_other_programs(spark, tmp_path, rows_of):
+    path = put(tmp_path / "o.csv", ["text,label", '"he said ""yes"", ok",A', '"two\nlines",B'])
+    assert rows_of(readers.read_csv(spark, path, schemas.SINGLE_LABEL, multi_line=True)) == [('he said "yes", ok', "A"), ("two\nlines", "B")]
+    first = put(tmp_path / "p.csv", ["text,label", '"he said ""yes"", ok",A'])
+    back = readers.read_csv(spark, first, schemas.SINGLE_LABEL)
+    assert rows_of(back) == [('he said "yes", ok', "A")]
+    writers.write_csv(back, str(tmp_path / "q"))
+    part = next((tmp_path / "q").glob("part-*")).read_text()
+    assert '"he said ""yes"", ok"' in part
 
 
 def test_tokenised_dictionary_template(spark, tmp_path, rows_of):
@@ -147,6 +176,9 @@ def test_annotation_restarts(spark, tmp_path, rows_of):
     # texts seen in an earlier batch are not sent again
     assert got in ([1, 2, 4, 6], [1, 2, 5, 6]) and calls.value == 4
     assert run() == got and calls.value == 4
+    # a new checkpoint over the old output sends nothing again and loses nothing
+    state = str(tmp_path / "state2")
+    assert run() == got and calls.value == 4
 
 
 def test_stream_dedup(spark, tmp_path, rows_of):
