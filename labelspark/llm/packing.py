@@ -24,7 +24,7 @@ TIERS = (128, 256, 512, 1024)
 END_ID = 0
 GROUP_TOKENS = 65_536  # tokens of one step group
 POOL = 2_048  # rests that a task holds before it packs them
-MEMO_WORDS = 400_000  # pre-tokens a worker remembers before it starts anew
+MEMO_WORDS = 1_000_000  # pre-tokens a worker remembers before it starts anew
 EMIT_TOKENS = 500_000
 
 # Byte-level BPE splits a text by this pattern first and encodes each part alone.
@@ -61,14 +61,26 @@ class Encoder:
     def reset(self) -> None:
         self.memo = _Memo()
         self.pool = np.zeros(0, np.uint32)
-        self.ends = np.zeros(1, np.int64)
+        self.starts = self.sizes = np.zeros(0, np.int64)
 
     def learn(self) -> None:
-        found = self.tokenizer.encode_batch(self.memo.queue, add_special_tokens=False)
-        self.memo.queue = []
-        ids = [f.ids for f in found]
-        self.pool = np.concatenate([self.pool, np.array([i for own in ids for i in own], np.uint32)])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(own) for own in ids])])
+        """Encode the queued pre-tokens. Those of a blank and letters stay apart
+        when they are joined, so one call encodes them all."""
+        queue, self.memo.queue = self.memo.queue, []
+        plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in queue), bool, len(queue))
+        joined = "".join(w for w, p in zip(queue, plain) if p)
+        found = self.tokenizer.encode(joined, add_special_tokens=False)
+        others = self.tokenizer.encode_batch([w for w, p in zip(queue, plain) if not p], add_special_tokens=False)
+        sizes = np.zeros(len(queue), np.int64)
+        sizes[plain] = np.bincount(np.array(found.word_ids, np.int64), minlength=int(plain.sum()))
+        sizes[~plain] = [len(o.ids) for o in others]
+        ids = np.array([*found.ids, *(i for o in others for i in o.ids)], np.uint32)
+        # joined ones lie first
+        order = np.argsort(~plain, kind="stable")
+        starts = np.empty(len(queue), np.int64)
+        starts[order] = len(self.pool) + np.cumsum(sizes[order]) - sizes[order]
+        self.pool = np.concatenate([self.pool, ids])
+        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.memo) > MEMO_WORDS:
@@ -87,7 +99,7 @@ class Encoder:
             if own is None:
                 out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
                 continue
-            starts, sizes = self.ends[own], self.ends[own + 1] - self.ends[own]
+            starts, sizes = self.starts[own], self.sizes[own]
             total = int(sizes.sum())
             shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
             out.append(self.pool[np.arange(total) + shift])
