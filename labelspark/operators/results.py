@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,15 +26,3 @@ def watched(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
     """Count the rows that pass a stage while the sink runs, without a scan."""
     seen = Observation(stage)
     return df.observe(seen, F.count(F.lit(1)).alias("n_rows")), seen
-
-
-def generation_configs(prompt: Column, model: str, temperature: float, top_p: float,
-                       repetition_penalty: float, max_tokens: int) -> Column:
-    return F.struct(
-        prompt.alias("prompt"),
-        F.lit(temperature).alias("temperature"),
-        F.lit(top_p).alias("top_p"),
-        F.lit(repetition_penalty).alias("repetition_penalty"),
-        F.lit(max_tokens).alias("max_tokens"),
-        F.lit(model).alias("model"),
-    )

@@ -228,6 +228,56 @@ ANSWERS = f"""
                            lambda c: c NOT IN ('0', '')) AS labels FROM cut)
 """
 
+VECTORS = f"""{LABELLED},
+  toks AS (SELECT row_id, split, unnest({LOWER_TOKENS}) AS term FROM labelled),
+  terms AS (SELECT row_id, split, term, count(*) AS tf FROM toks GROUP BY ALL),
+  vocabulary AS (SELECT term, n_docs, row_number() OVER (ORDER BY term) - 1 AS index,
+      ln((1 + (SELECT count(*) FROM labelled WHERE split = 'train')) / (1 + n_docs)::DOUBLE) + 1 AS idf
+    FROM (SELECT term, count(*) AS n_docs FROM terms WHERE split = 'train' GROUP BY term)),
+  raws AS (SELECT row_id, split, term, tf * idf AS raw FROM terms JOIN vocabulary USING (term)),
+  x AS (SELECT row_id, split, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY row_id)) AS v FROM raws)
+"""
+
+
+def linear_steps(kind: str, c: float, steps: int) -> str:
+    """Accelerated full-batch steps of six balanced linear models, as tables
+    w{steps} (term, label, w) and b{steps} (label, b)."""
+    bound = 0.5 if kind == "lr" else 4.0
+    error = (
+        "1 / (1 + exp(-m)) - y" if kind == "lr" else "-2 * (2 * y - 1) * greatest(0, 1 - (2 * y - 1) * m)"
+    )
+    text = f"""
+  cells AS (SELECT row_id, split, label, list_contains(labels, label)::INT AS y
+            FROM labelled CROSS JOIN (SELECT unnest(['de', 'en', 'es', 'fr', 'quality', 'toxic']) AS label)),
+  size AS (SELECT count(*)::DOUBLE AS n FROM labelled WHERE split = 'train'),
+  rate AS (SELECT 1 / ({c} * n) AS penalty, 1 / ({bound} + 1 / ({c} * n)) AS rate, n FROM size),
+  train AS (SELECT row_id, label, y, CASE y WHEN 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END AS s
+            FROM (SELECT *, sum(y) OVER (PARTITION BY label) AS p FROM cells WHERE split = 'train') CROSS JOIN size),
+  xt AS (SELECT row_id, term, v FROM x WHERE split = 'train'),
+  w0 AS (SELECT term, label, 0::DOUBLE AS w, 0::DOUBLE AS a FROM vocabulary CROSS JOIN (SELECT DISTINCT label FROM cells)),
+  b0 AS (SELECT DISTINCT label, 0::DOUBLE AS b, 0::DOUBLE AS a FROM cells)"""
+    for i in range(steps):
+        push = i / (i + 3.0)
+        text += f""",
+  m{i} AS (SELECT row_id, label, sum(v * a) AS m FROM xt JOIN w{i} USING (term) GROUP BY ALL),
+  e{i} AS (SELECT row_id, label, s * ({error}) / n AS e FROM (
+            SELECT row_id, label, y, s, coalesce(m, 0) + a AS m FROM train LEFT JOIN m{i} USING (row_id, label) JOIN b{i} USING (label))
+          CROSS JOIN size),
+  g{i} AS (SELECT term, label, sum(v * e) AS g FROM xt JOIN e{i} USING (row_id) GROUP BY ALL),
+  n{i} AS (SELECT term, label, w, a - rate * (g + penalty * a) AS z FROM w{i} JOIN g{i} USING (term, label) CROSS JOIN rate),
+  w{i + 1} AS (SELECT term, label, z AS w, z + {push} * (z - w) AS a FROM n{i}),
+  b{i + 1} AS (SELECT label, z AS b, z + {push} * (z - b) AS a FROM (
+            SELECT label, b, a - rate * g AS z FROM b{i} JOIN (SELECT label, sum(e) AS g FROM e{i} GROUP BY label) USING (label) CROSS JOIN rate))"""
+    return text + f""",
+  margins AS (SELECT row_id, label, sum(v * w) AS m FROM x JOIN w{steps} USING (term) GROUP BY ALL),
+  judged AS (SELECT split, y, (coalesce(m, 0) + b >= 0)::INT AS p FROM cells LEFT JOIN margins USING (row_id, label) JOIN b{steps} USING (label))"""
+
+
+def linear_counts() -> str:
+    return """SELECT split, sum(y * p)::BIGINT AS tp, sum((1 - y) * p)::BIGINT AS fp, sum(y * (1 - p))::BIGINT AS fn,
+      sum((1 - y) * (1 - p))::BIGINT AS tn FROM judged GROUP BY split"""
+
+
 BRANDS = """
   brands AS (SELECT p_brand AS code, min(p_type) AS description, regexp_extract(p_brand, '(\\d+)', 1)::BIGINT AS ord
              FROM part GROUP BY p_brand)
@@ -350,6 +400,18 @@ def oracle_sql() -> dict[str, str]:
       f AS (SELECT k::INT AS k, tp, n * used - tp AS fp, p - tp AS fn,
               n * (SELECT count(DISTINCT p_brand) FROM part) - n * used - p + tp AS tn FROM u JOIN h USING (k) CROSS JOIN n)
       SELECT {scored('f')}"""
+    sql["topk_tuned"] = f"""WITH {ORDERS},
+      ranked AS (SELECT label, row_number() OVER (ORDER BY count(*) DESC, label) AS r FROM long WHERE split = 'train' GROUP BY label),
+      n AS (SELECT split, count(DISTINCT row_id) AS n, count(*) AS p FROM long GROUP BY split),
+      h AS (SELECT split, r, count(*) AS h FROM long JOIN ranked USING (label) GROUP BY ALL),
+      u AS (SELECT k, count(r) AS used FROM range(51) t(k) LEFT JOIN ranked ON r <= k GROUP BY k),
+      t AS (SELECT n.split, k, used, n, p, coalesce((SELECT sum(h) FROM h WHERE h.split = n.split AND r <= k), 0)::BIGINT AS tp FROM n CROSS JOIN u),
+      f AS (SELECT split, k, tp, n * used - tp AS fp, p - tp AS fn,
+              n * (SELECT count(DISTINCT label) FROM long) - n * used - p + tp AS tn FROM t),
+      best AS (SELECT k FROM f WHERE split = 'validation' ORDER BY 2 * tp / (2 * tp + fp + fn)::DOUBLE DESC, k LIMIT 1),
+      g AS (SELECT f.* FROM f JOIN best USING (k)), m AS (SELECT {scored('g')})
+      SELECT 'top_k' AS model_name, k, {", ".join(f"max({v}) FILTER (split = '{s}') AS {s}_{v}" for s in ("test", "train") for v in ("precision", "recall", "f1", "auc_score"))}
+      FROM m GROUP BY k"""
     sql["topk_per_row"] = f"""WITH {CELLS} SELECT row_id, rank, label_id, round(score, 6) AS score FROM (
       SELECT row_id, label_id, score, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, label_id) AS rank FROM cells)
       WHERE rank <= 3 AND score >= 0.6"""
@@ -387,7 +449,7 @@ def oracle_sql() -> dict[str, str]:
     sql["resume_anti"] = f"WITH {CORPUS} SELECT row_id FROM corpus WHERE text NOT IN (SELECT text FROM corpus WHERE split = 'test')"
     sql["filter_valid_labels"] = f"""WITH {ORDERS} SELECT row_id, array_to_string(labels, ',') AS labels FROM lrows
       WHERE len(labels) <= 4 AND NOT list_contains(labels, 'Brand#7')"""
-    sql["filter_bucket"] = f"WITH {PARTS}, {TRAIN_BUCKETS} SELECT DISTINCT row_id, bucket FROM long JOIN buckets USING (label) WHERE split = 'test'"
+    sql["filter_bucket"] = f"WITH {PARTS}, {TRAIN_BUCKETS} SELECT DISTINCT row_id, bucket FROM long JOIN buckets USING (label)"
     sql["filter_bucket_all"] = f"""WITH {PARTS}, p AS (SELECT * FROM long WHERE label LIKE 'P%'),
       cnt AS (SELECT label, count(*) AS n FROM p GROUP BY label), b AS (SELECT label, {BUCKET} AS bucket FROM cnt)
       SELECT row_id, min(bucket) AS bucket FROM p JOIN b USING (label) GROUP BY row_id HAVING min(bucket) = max(bucket)"""
@@ -438,7 +500,7 @@ def oracle_sql() -> dict[str, str]:
     sql["split_slug"] = """SELECT doc_id AS row_id, source || '.test.' || upper(lang) AS split_name,
       '/data/my_set/' || source || '_test_' || lang || '.jsonl' AS slug FROM documents"""
     sql["remove_newlines"] = "SELECT doc_id AS row_id, replace(text, chr(10), '') AS text FROM documents"
-    sql["concat_texts"] = """SELECT event_id, coalesce(event_type, '') || ' | ' || coalesce(trunc(value)::INT::VARCHAR, '') || ' | ' ||
+    sql["concat_texts"] = """SELECT event_id, coalesce(event_type, '') || ' | ' || coalesce(value::DECIMAL(18, 4)::VARCHAR, '') || ' | ' ||
       coalesce(props, '') AS text FROM events"""
     sql["corpus_from_tokens"] = f"""SELECT * FROM (SELECT doc_id AS row_id, md5(text) AS raw_md5, {rewrite('text', CLEAN)} AS text,
       (len(list_filter(string_split(text, ' '), lambda w: length(w) > 14)) > 0)::BIGINT AS has_diso FROM documents) WHERE text <> ''"""
@@ -476,6 +538,10 @@ def oracle_sql() -> dict[str, str]:
             FROM terms WHERE split = 'train' GROUP BY term),
       w AS (SELECT row_id, term, tf * idf AS raw FROM terms JOIN d USING (term))
       SELECT row_id, term, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY row_id)), 6) AS weight FROM w"""
+    sql["tfidf_features"] = f"""WITH {VECTORS}
+      SELECT row_id, term, index, n_docs, round(v, 6) AS weight FROM x JOIN vocabulary USING (term)"""
+    for kind in ("lr", "svm"):
+        sql[f"ovr_{kind}"] = f"WITH {VECTORS}, {linear_steps(kind, 10.0, 3)}, r AS ({linear_counts()}) SELECT {scored('r')}"
     sql["word_ngrams"] = f"""WITH t AS (SELECT {LOWER_TOKENS} AS ws FROM documents),
       g AS (SELECT ws, i, n FROM (SELECT ws, unnest(range(1, len(ws) + 1)) AS i FROM t) CROSS JOIN (SELECT unnest([1, 2, 3]) AS n))
       SELECT array_to_string(ws[i:i + n - 1], ' ') AS gram, count(*) AS n FROM g WHERE i + n - 1 <= len(ws) GROUP BY 1"""
@@ -500,15 +566,27 @@ def oracle_sql() -> dict[str, str]:
       SELECT round(kl, 6) AS kl, round(hard, 6) AS hard, round(0.7::DOUBLE * hard + 0.3::DOUBLE * kl, 6) AS loss FROM s"""
 
     # sources and sinks
-    sql["jsonl_ordered"] = """SELECT row_number() OVER (ORDER BY lang DESC, doc_id) - 1 AS ord, md5(text) AS text_md5
-      FROM documents WHERE lang IN ('fr', 'de')"""
-    sql["named_splits"] = """SELECT CASE lang WHEN 'en' THEN 'train' WHEN 'fr' THEN 'test_test.a' ELSE 'test_test.b' END AS split, lang, count(*) AS n
-      FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY ALL"""
+    sql["jsonl_ordered"] = """SELECT row_number() OVER (ORDER BY list_position(['fr', 'de', 'es', 'en'], lang), doc_id) - 1 AS ord, md5(text) AS text_md5
+      FROM documents"""
+    sql["named_splits"] = """SELECT CASE WHEN lang IN ('en', 'es') THEN 'train' WHEN lang = 'fr' THEN 'test_test.a' ELSE 'test_test.b' END AS split, lang, count(*) AS n
+      FROM documents GROUP BY ALL"""
     sql["csv_roundtrip"] = """SELECT o_orderpriority || ', "' || o_orderstatus || '"' AS text, o_orderstatus AS label, count(*) AS n
       FROM orders GROUP BY ALL"""
     sql["labelled_lines_file"] = f"""WITH {LABELLED} SELECT array_to_string(list_transform(labels, lambda l: '__label__' || l), ' ') AS labels,
       count(*) AS n, sum(length({BAG_TEXT}))::BIGINT AS n_chars FROM labelled GROUP BY 1"""
-    sql["appended_rows"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type FROM events"
+    sql["tokenised_source"] = f"""WITH t AS (SELECT lang AS source, {SPLIT.format('doc_id')} AS split, string_split(text, ' ') AS ws FROM documents)
+      SELECT source, split, count(*) AS n, sum(len(ws))::BIGINT AS n_tokens,
+        sum(list_sum(list_transform(ws, lambda w: length(w) % 4)))::BIGINT AS tags FROM t GROUP BY ALL"""
+    sql["dictionary_file"] = f"""WITH {ORDERS} SELECT code, description, row_number() OVER (ORDER BY code) - 1 AS n
+        FROM (SELECT 'P' || p_partkey AS code, p_name AS description FROM part)
+      UNION ALL SELECT label, '', count(*) FROM long GROUP BY label"""
+    sql["template_file"] = """SELECT doc_id AS row_id, md5('## Text' || chr(10) || chr(10) || text || chr(10) || chr(10) || '## Codes' || chr(10) || chr(10) || lang) AS prompt_md5
+      FROM documents"""
+    sql["selected_rows"] = f"""WITH {CORPUS} SELECT row_id, source AS origin, split, 1::INT AS has_diso FROM corpus
+      WHERE split <> 'validation' AND source LIKE 'src1%'"""
+    sql["generation_settings"] = """SELECT doc_id AS row_id, substr(text, 1, 40) AS prompt, 0.5::DOUBLE AS temperature, 1::DOUBLE AS top_p,
+      1::DOUBLE AS repetition_penalty, 64::INT AS max_tokens, 'stub' AS model, (SELECT count(*) FROM documents) AS n_rows FROM documents"""
+    sql["appended_rows"] = "SELECT event_id, epoch_us(ts) AS ts, event_type FROM events"
     pivot = ", ".join(
         f"max({m}) FILTER (split = '{s}') AS {s}_{m}" for s in ("test", "train") for m in ("precision", "recall", "f1", "auc_score", "threshold")
     )
@@ -524,6 +602,7 @@ def oracle_sql() -> dict[str, str]:
     sql["generated_labels"] = f"""WITH {BRANDS}, g AS (SELECT doc_id AS row_id, 'Brand#' || length({prompt}) % 30 AS labels FROM documents)
       SELECT row_id, labels FROM g JOIN brands ON code = labels"""
     sql["annotate_stream"] = """SELECT doc_id, md5('### Analysis' || chr(10) || chr(10) || length(text) || chr(10) || chr(10) || '### Result' ||
-      chr(10) || chr(10) || 'Brand#' || length(text) % 30) AS output_md5 FROM documents"""
+      chr(10) || chr(10) || 'Brand#' || length(text) % 30) AS output_md5 FROM documents d
+      WHERE NOT EXISTS (FROM documents e WHERE e.text = d.text AND e.doc_id % 3 < d.doc_id % 3)"""
     sql["stream_dedup"] = "SELECT DISTINCT md5(text) AS text_md5 FROM documents"
     return sql

@@ -380,7 +380,7 @@ def filter_valid_labels(spark: SparkSession, sf: str) -> DataFrame:
 def filter_bucket(spark: SparkSession, sf: str) -> DataFrame:
     long = D.order_labels_long(spark, sf, with_parts=True)
     bucketed = L.buckets(L.label_counts(long.filter("split = 'train'")))
-    return L.rows_by_bucket(long.filter("split = 'test'"), bucketed, "row_id").select("row_id", "bucket")
+    return L.rows_by_bucket(long, bucketed, "row_id").select("row_id", "bucket")
 
 
 @query
@@ -549,7 +549,7 @@ def remove_newlines(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def concat_texts(spark: SparkSession, sf: str) -> DataFrame:
     text = T.concat_texts(["event_type", "value", "props"], " | ")
-    events = D.table(spark, sf, "events").withColumn("value", F.col("value").cast("int").cast("string"))
+    events = D.table(spark, sf, "events").withColumn("value", F.col("value").cast("decimal(18,4)").cast("string"))
     return events.select("event_id", text.alias("text"))
 
 
@@ -775,13 +775,14 @@ def distil_loss(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def jsonl_ordered(spark: SparkSession, sf: str) -> DataFrame:
-    """Write documents as JSONL by language, read two folders back in list order."""
+    """Write documents as JSONL by language, read the folders back in list order."""
     folder = new_folder(spark, "jsonl")
     docs = _docs(spark, sf).select("text", F.array("source").alias("labels"), F.lit(True).alias("has_diso"), "row_id", "lang")
-    for lang in ("fr", "de"):
+    langs = ("fr", "de", "es", "en")
+    for lang in langs:
         ordered = docs.filter(F.col("lang") == lang).orderBy("row_id")
         writers.write_jsonl(ordered.drop("row_id", "lang"), f"{folder}/{lang}")
-    back = readers.read_jsonl(spark, f"{folder}/fr+{folder}/de", schemas.LABELLED, ordered=True)
+    back = readers.read_jsonl(spark, "+".join(f"{folder}/{lang}" for lang in langs), schemas.LABELLED, ordered=True)
     return back.select(F.col("ord").cast("bigint").alias("ord"), F.md5("text").alias("text_md5"))
 
 
@@ -791,12 +792,13 @@ def named_splits(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "splits")
     docs = _docs(spark, sf).select("text", "lang")
     files = {}
-    for name, lang, form in (("train", "en", "jsonl"), ("test-a", "fr", "jsonl"), ("test_b", "de", "jsonl")):
+    parts = (("train", "en", "jsonl"), ("more", "es", "jsonl"), ("test-a", "fr", "jsonl"), ("test_b", "de", "jsonl"))
+    for name, lang, form in parts:
         part = docs.filter(F.col("lang") == lang).select("text", F.array("lang").alias("labels"), F.lit(True).alias("has_diso"))
         writers.write_jsonl(part, f"{folder}/{name}.{form}")
         files[name] = f"{folder}/{name}.{form}"
     splits = readers.read_splits(
-        spark, {"train": files["train"], "test": [files["test-a"], files["test_b"]]}, schemas.LABELLED, "docs"
+        spark, {"train": [files["train"], files["more"]], "test": [files["test-a"], files["test_b"]]}, schemas.LABELLED, "docs"
     )
     return splits.groupBy("split", F.element_at("labels", 1).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -831,7 +833,7 @@ def appended_rows(spark: SparkSession, sf: str) -> DataFrame:
     for parity in (0, 1):
         writers.append_jsonl(events.filter(F.col("event_id") % 2 == parity), folder)
     back = spark.read.schema("event_id bigint, ts string, event_type string").json(folder)
-    return back.select("event_id", F.substring("ts", 1, 19).alias("ts"), "event_type")
+    return back.select("event_id", F.unix_micros(F.to_timestamp("ts")).alias("ts"), "event_type")
 
 
 @query
@@ -856,6 +858,71 @@ def sentences_by_length(spark: SparkSession, sf: str) -> DataFrame:
     return flat.select("conv_id", "turn", "length", F.col("pos").cast("bigint").alias("pos"), "sentence")
 
 
+@query
+def tokenised_source(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokenised records by language and split, written and read as one table."""
+    folder = new_folder(spark, "tokenised")
+    langs, splits = ["de", "en", "es", "fr"], ["train", "validation", "test"]
+    rows = D.documents(spark, sf).select(
+        "lang", D.split_of("row_id").alias("split"), F.split("text", " ").alias("tokens"),
+        F.transform(F.split("text", " "), lambda t: F.length(t) % 4).alias("ner_tags"),
+    )
+    for lang in langs:
+        for split in splits:
+            part = rows.filter((F.col("lang") == lang) & (F.col("split") == split))
+            writers.write_jsonl(part.select("tokens", "ner_tags"), f"{folder}/{lang}/{split}.json")
+    back = readers.read_tokenised(spark, folder, langs, splits)
+    return back.groupBy("source", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("n_tokens"),
+        F.sum(F.aggregate("ner_tags", F.lit(0).cast("bigint"), lambda s, t: s + t)).alias("tags"),
+    )
+
+
+@query
+def dictionary_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Codes with descriptions and with frequencies, through their files."""
+    folder = new_folder(spark, "dictionary")
+    writers.write_jsonl(D.part_dictionary(spark, sf).orderBy("code"), f"{folder}/codes.jsonl")
+    writers.write_jsonl(_brand_freqs(spark, sf), f"{folder}/freqs.jsonl")
+    codes = readers.read_dictionary(spark, f"{folder}/codes.jsonl", ordered=True)
+    freqs = readers.read_dictionary(spark, f"{folder}/freqs.jsonl", with_freq=True)
+    return codes.select("code", "description", F.col("ord").cast("bigint").alias("n")).unionByName(
+        freqs.select("code", F.lit("").alias("description"), F.col("freq").cast("bigint").alias("n"))
+    )
+
+
+@query
+def template_file(spark: SparkSession, sf: str) -> DataFrame:
+    """A prompt template from its text file, filled with every document."""
+    folder = new_folder(spark, "template")
+    spark.createDataFrame([(VERIFYING_TEMPLATE,)], "value string").coalesce(1).write.text(folder)
+    template = Q.read_template(spark, f"{folder}/part-*.txt").rstrip("\n")
+    filled = T.fill_template(template, input_text=F.col("text"), labels=F.col("lang"))
+    return _docs(spark, sf).select("row_id", F.md5(filled).alias("prompt_md5"))
+
+
+@query
+def selected_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Splits and named rows picked, a column renamed, added and dropped."""
+    rows = D.corpus(spark, sf)
+    picked = C.select_splits(rows, drop=["validation"])
+    named = C.select_named(C.rename_column(picked, "source", "origin"), "origin", prefix="src1")
+    marked = C.mark_generated(named.withColumn("gen_configs", F.lit("x")))
+    return C.without_columns(marked, "text").select("row_id", "origin", "split", F.col("has_diso").cast("int").alias("has_diso"))
+
+
+@query
+def generation_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """Decoding settings kept beside every generated text, and rows counted on the way."""
+    from labelspark.operators.results import watched
+
+    prompts = _docs(spark, sf).select("row_id", F.substring("text", 1, 40).alias("pre_query_str"))
+    made = I.generate_texts(prompts, stub_generate, I.Decoding(model="stub", temperature=0.5, max_tokens=64))
+    counted, seen = watched(made, "generated")
+    kept = settle(counted, "generated")
+    return kept.select("row_id", "gen_configs.*").withColumn("n_rows", F.lit(seen.get["n_rows"]).cast("bigint"))
+
+
 @query
 def regression_labels(spark: SparkSession, sf: str) -> DataFrame:
     from labelspark.operators.results import regression_label, task_kind
@@ -911,14 +978,18 @@ def annotate_stream(spark: SparkSession, sf: str) -> DataFrame:
     from labelspark.streaming import annotate as A
 
     folder = new_folder(spark, "annotate")
-    schema = D.table(spark, sf, "documents").schema
-    stream = A.file_stream(spark, sf, schema, "parquet", 1, "documents.parquet")
+    docs = D.table(spark, sf, "documents")
 
     def annotate(batch: DataFrame) -> DataFrame:
         prompts = batch.select("doc_id", "text", T.fill_template("{input_text}", input_text=F.col("text")).alias("pre_query_str"))
         return I.generate_texts(prompts, stub_generate, STUB).select("doc_id", "text", "output")
 
-    A.annotate_stream(stream, annotate, f"{folder}/out", f"{folder}/state", spread_by="doc_id").awaitTermination()
+    for third in range(3):
+        docs.filter(F.col("doc_id") % 3 == third).write.mode("append").parquet(f"{folder}/in")
+        stream = A.file_stream(spark, f"{folder}/in", docs.schema, "parquet")
+        # the last run starts with a new checkpoint over the old output
+        state = f"{folder}/state{third // 2}"
+        A.annotate_stream(stream, annotate, f"{folder}/out", state, spread_by="doc_id").awaitTermination()
     out = spark.read.parquet(f"{folder}/out")
     return out.select("doc_id", F.md5("output").alias("output_md5"))
 
@@ -928,9 +999,11 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from labelspark.streaming import annotate as A
 
     folder = new_folder(spark, "dedup")
-    schema = D.table(spark, sf, "documents").schema
-    stream = A.file_stream(spark, sf, schema, "parquet", 1, "documents.parquet")
-    A.append_stream(A.dedup_stream(stream).select("text"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    docs = D.table(spark, sf, "documents")
+    for third in range(3):
+        docs.filter(F.col("doc_id") % 3 == third).write.mode("append").parquet(f"{folder}/in")
+        stream = A.file_stream(spark, f"{folder}/in", docs.schema, "parquet")
+        A.append_stream(A.dedup_stream(stream).select("text"), f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema("text string").parquet(f"{folder}/out").select(F.md5("text").alias("text_md5"))
 
 
@@ -943,22 +1016,54 @@ def _ready(spark: SparkSession, sf: str):
     return D.labelled_documents(spark, sf).withColumn("text", F.lower("text"))
 
 
-def _ovr(spark: SparkSession, sf: str, kind: str, c: float) -> DataFrame:
+def _ovr(spark: SparkSession, sf: str, kind: str) -> DataFrame:
+    """Three steps, which SQL can follow."""
     from labelspark.operators.models import evaluate_splits
 
     words = T.word_tokens(F.col("text"))
-    _, model, ready = flows.classical_model(_ready(spark, sf), words, DOC_LABELS, kind, c, 2**14, max_iter=20)
+    _, model, ready = flows.classical_model(_ready(spark, sf), words, DOC_LABELS, kind, 10.0, max_iter=3)
     return rounded_metrics(evaluate_splits(model, ready), "split")
 
 
 @query
 def ovr_lr(spark: SparkSession, sf: str) -> DataFrame:
-    return _ovr(spark, sf, "lr", 10.0)
+    return _ovr(spark, sf, "lr")
 
 
 @query
 def ovr_svm(spark: SparkSession, sf: str) -> DataFrame:
-    return _ovr(spark, sf, "svm", 10.0)
+    return _ovr(spark, sf, "svm")
+
+
+@query
+def tfidf_features(spark: SparkSession, sf: str) -> DataFrame:
+    """The features that models get, opened again."""
+    vocabulary, ready = flows.classical_features(_ready(spark, sf), T.word_tokens(F.col("text")))
+    cells = ready.select("row_id", F.explode(F.arrays_zip("indices", "values")).alias("e"))
+    cells = cells.select("row_id", F.col("e.indices").alias("index"), r6("e.values", "weight"))
+    return cells.join(vocabulary, "index").select("row_id", "term", "index", F.col("df").alias("n_docs"), "weight")
+
+
+@query
+def ovr_tuned(spark: SparkSession, sf: str) -> DataFrame:
+    """Fit, save, reload; search the threshold on validation; one wide row."""
+    from labelspark.operators.models import load_one_vs_rest, save_one_vs_rest
+
+    words = T.word_tokens(F.col("text"))
+    _, model, ready = flows.classical_model(_ready(spark, sf), words, DOC_LABELS, "lr", 10.0, max_iter=3)
+    folder = new_folder(spark, "model")
+    save_one_vs_rest(model, spark, folder)
+    wide = flows.tuned_classifier(load_one_vs_rest(spark, folder), ready, "tfidf_lr", tests=["train", "test"])
+    return wide.select("model_name", *[r6(c, c) for c in wide.columns if c != "model_name"])
+
+
+@query
+def topk_tuned(spark: SparkSession, sf: str) -> DataFrame:
+    rows = settle(D.order_labels(spark, sf))
+    train = rows.filter("split = 'train'").select(F.explode("labels").alias("label"))
+    n_classes = rows.select(F.explode("labels").alias("l")).agg(F.count_distinct("l").alias("n")).scalar()
+    wide = flows.tuned_top_k(train, rows, n_classes, tests=["test", "train"])
+    return wide.select("model_name", "k", *[r6(c, c) for c in wide.columns if c not in {"model_name", "k"}])
 
 
 @query
@@ -967,41 +1072,46 @@ def ngram_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
     words = T.word_tokens(F.col("text"))
     chars = F.flatten(F.transform(words, lambda w: X.char_ngrams(w)))
-    ready = X.hashed_vectors(_ready(spark, sf), F.concat(X.word_ngrams(words, 2), chars), 2**14)
+    ready = X.hashed_vectors(_ready(spark, sf), F.concat(X.word_ngrams(words, 2), chars))
     ready = settle(ready.drop("text"), "vectors")
-    model = OneVsRest(DOC_LABELS, "lr", 1.0, max_iter=20).fit(ready.filter("split = 'train'"))
+    model = OneVsRest(DOC_LABELS, "lr", 1.0, max_iter=5).fit(ready.filter("split = 'train'"), X.BUCKETS)
     return rounded_metrics(evaluate_splits(model, ready), "split")
 
 
+# Inverse regularisation strengths of the grid.
+GRID_C = [100.0, 10.0, 1.0, 0.1, 0.01]
+
+
 @query
 def param_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Micro f1 on validation for each regularisation strength."""
-    from labelspark.operators.models import OneVsRest, evaluate_splits, parameter_grid, tfidf_features
+    """Micro f1 on validation: the first best of every setting, strictly better."""
+    from labelspark.operators.models import OneVsRest, evaluate_splits, parameter_grid, search
 
-    prepared = _ready(spark, sf).withColumn("_terms", T.word_tokens(F.col("text")))
-    features = tfidf_features("_terms", 2**14).fit(prepared.filter("split = 'train'"))
-    ready = settle(features.transform(prepared).select("row_id", "split", "labels", "features"), "features")
-    out = None
-    for setting in parameter_grid({"c": [10.0, 1.0]}):
-        model = OneVsRest(DOC_LABELS, "lr", setting["c"], max_iter=20).fit(ready.filter("split = 'train'"))
-        scored = evaluate_splits(model, ready.filter("split = 'validation'")).withColumn("c", F.lit(setting["c"]))
-        out = scored if out is None else out.unionByName(scored)
-    return rounded_metrics(M.best_by_f1(out, "c"), "c", "split")
+    vocabulary, ready = flows.classical_features(_ready(spark, sf), T.word_tokens(F.col("text")))
+    width, found = vocabulary.count(), {}
 
+    def run(setting: dict) -> float:
+        model = OneVsRest(DOC_LABELS, setting["kind"], setting["c"], max_iter=3).fit(ready.filter("split = 'train'"), width)
+        row = evaluate_splits(model, ready.filter("split = 'validation'")).first()
+        found[setting["kind"], setting["c"]] = row
+        return row["f1"]
+
+    best, _ = search(parameter_grid({"kind": ["lr", "svm"], "c": GRID_C}), run)
+    if best is None:
+        best = {"kind": "lr", "c": GRID_C[0]}
+    row = found[best["kind"], best["c"]]
+    out = spark.createDataFrame([row]).withColumn("kind", F.lit(best["kind"])).withColumn("c", F.lit(best["c"]))
+    return rounded_metrics(out, "kind", "c", "split")
 
 
 @query
 def ratio_search(spark: SparkSession, sf: str) -> DataFrame:
     """English documents added to the other languages' training rows."""
-    from labelspark.operators.models import tfidf_features
-
-    prepared = _ready(spark, sf).withColumn("_terms", T.word_tokens(F.col("text")))
-    features = tfidf_features("_terms", 2**14).fit(prepared.filter("split = 'train'"))
-    ready = settle(features.transform(prepared).select("row_id", "split", "labels", "features"), "features")
+    vocabulary, ready = flows.classical_features(_ready(spark, sf), T.word_tokens(F.col("text")))
     english = F.array_contains("labels", "en")
     train = ready.filter("split = 'train'")
     out = flows.ratio_search(
         train.filter(~english), train.filter(english), ready.filter("split = 'validation'"),
-        ["quality", "toxic"], "row_id", 10.0, max_iter=10,
+        DOC_LABELS, vocabulary.count(), "row_id", 10.0, max_iter=3,
     )
     return rounded_metrics(out, "multiplier")

@@ -12,7 +12,7 @@ from conftest import SF
 # the queries of the language-model subpackage have their own tests
 QUERIES, SQL = {k: q for k, q in entry.queries().items() if k in BASE}, {k: q for k, q in entry.oracle_sql().items() if k in BASE}
 # only learned coefficients and an engine-specific hash have no SQL
-WITHOUT_SQL = {"hashed_ngrams", "ovr_lr", "ovr_svm", "ngram_classifier", "param_grid", "ratio_search"}
+WITHOUT_SQL = {"hashed_ngrams", "ovr_tuned", "ngram_classifier", "param_grid", "ratio_search"}
 
 
 @pytest.fixture(scope="module")
