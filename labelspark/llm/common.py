@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelspark.session import settle
+
 # Python works on this many bytes of text at a time, whatever the batch size.
 BLOCK_BYTES = 2_000_000
 BATCH_BYTES = "8m"
@@ -71,7 +73,8 @@ def labelled_sample(
     """(text, label): about ``bound`` labelled rows, one per distinct text.
 
     ``usable`` is a condition on ``doc_id``. Rows are chosen by a hash of the id,
-    the same ones on every run. Several labels of one id or text: the largest
+    the same ones on every run, and written once, so that fitting reads the
+    documents a single time. Several labels of one id or text: the largest
     counts. The sampled labels are the only broadcast; their number is bounded.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).filter(
@@ -81,7 +84,7 @@ def labelled_sample(
     chosen = known.filter(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_003)) < int(share * 1_000_003) + 1)
     chosen = chosen.groupBy("doc_id").agg(F.max("_label").alias("_label"))
     found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("text").agg(F.max("_label").alias("label"))
+    return settle(found.groupBy("text").agg(F.max("_label").alias("label")), "sample")
 
 
 def logistic(x: np.ndarray) -> np.ndarray:

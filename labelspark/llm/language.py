@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import fields_of, fit_logistic, map_arrow, text_blocks
+from labelspark.session import settle
 
 GRAM = 3
 TABLE = 1 << 14
@@ -97,7 +98,7 @@ def fit(docs: DataFrame, usable: Column, bound: int = TRAIN_ROWS) -> Model:
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable)
     share = min(1.0, bound / max(1, known.select("doc_id").count()))
     chosen = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_003)) < int(share * 1_000_003) + 1
-    sample = known.filter(chosen).select("text", "lang").distinct()
+    sample = settle(known.filter(chosen).select("text", "lang").distinct(), "sample")
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}

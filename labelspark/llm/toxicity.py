@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelspark.llm.common import fields_of, fit_logistic, labelled_sample, logistic, map_arrow, text_blocks
+from labelspark.session import settle
 
 GRAM = 6
 TABLE_BITS = 21
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, bound: int = TRAIN_R
     the share of label 1 (0 without labels).
     """
     sample = labelled_sample(docs, labels, "toxic", usable, bound)
-    rows, n1, n0 = significant_grams(_counts(sample))
+    rows, n1, n0 = significant_grams(settle(_counts(sample), "grams"))
     nothing = np.zeros(0)
     model = Model(nothing.astype(np.int64), nothing, 1.0, 1.0, nothing, 0.0)
     if not rows:
