@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from labelspark.session import settle
+
 # A paragraph ends with its line; the sentences of a line count as paragraphs of
 # their own, as many documents are one line.
 PARAGRAPH = r"\n+|(?<=[.!?])[ \t]+"
@@ -129,8 +131,12 @@ def with_next(docs: DataFrame, value: Column, block_bits: int = BLOCK_BITS) -> D
         "_region", F.coalesce(F.lag("_last").over(everything), F.max("_last").over(W.partitionBy())).alias("_before")
     )
     inside = F.lag("_block").over(W.partitionBy("_region").orderBy("_block"))
-    guards = firsts.withColumn("_inside", inside).join(regions, "_region").select(
-        F.col("_first").alias("doc_id"), F.coalesce("_inside", "_before").alias("_block")
+    # stored, so that Spark knows its size before it plans the join with the texts
+    guards = settle(
+        firsts.withColumn("_inside", inside).join(regions, "_region").select(
+            F.col("_first").alias("doc_id"), F.coalesce("_inside", "_before").alias("_block")
+        ),
+        "guards",
     )
     own = known.select("doc_id", value.alias("own"), F.lit(0).alias("_guard"), block.alias("_block"))
     closing = known.join(guards, "doc_id").select("doc_id", value.alias("own"), F.lit(1).alias("_guard"), "_block")
