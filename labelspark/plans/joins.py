@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 # Keys whose weight is at least 1/HOT_KEYS of the total; by counting there are
 # never more than HOT_KEYS of them, which bounds the only hinted broadcast.
 HOT_KEYS = 1000
+# Salts of a key that held all rows, per shuffle task.
+SALTS_PER_TASK = 16
 
 
 def salted_join(
@@ -45,18 +47,22 @@ def hot_salted_join(
     weight: str,
     spread_by: Sequence[str],
     how: str = "inner",
-    salts: int = 32,
     hot_keys: int = HOT_KEYS,
 ) -> DataFrame:
     """As ``salted_join`` with one right row per key and a known key weight.
 
-    Only hot keys are copied, so a long tail of rare keys is shuffled once.
+    Only hot keys are copied, in proportion to their weight: no salt of a key holds
+    more than a sixteenth of a shuffle task's even share, and all copies together are
+    at most sixteen per task and one per hot key. A long tail of rare keys is shuffled
+    once.
     ``weight`` is a right column holding (about) the number of left rows per key.
     ``right`` is read three times: pass a stored table.
     """
     total = right.agg(F.sum(weight)).scalar()
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = F.ceil(F.col(weight) / total * F.lit(SALTS_PER_TASK * tasks)).cast("int")
     right_n = right.withColumn(
-        "_salts", F.when(F.col(weight) * F.lit(hot_keys) >= total, F.lit(salts)).otherwise(F.lit(1))
+        "_salts", F.when(F.col(weight) * F.lit(hot_keys) >= total, F.greatest(salts, F.lit(1))).otherwise(F.lit(1))
     )
     hot = right_n.filter(F.col("_salts") > 1).select(on, "_salts")
     copies = right_n.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")

@@ -141,7 +141,7 @@ def test_hot_key_is_spread(spark, rows_of):
     right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        joined = joins.hot_salted_join(left, right, "k", "n", ["id"], hot_keys=10, salts=8)
+        joined = joins.hot_salted_join(left, right, "k", "n", ["id"], hot_keys=10)
         want = left.join(right, "k")
         assert rows_of(joined.select("id", "k", "n")) == rows_of(want.select("id", "k", "n"))
     finally:
@@ -150,6 +150,25 @@ def test_hot_key_is_spread(spark, rows_of):
         joins.salted_join(left, right, ["k"], ["id"], "outer")
 
 
+def test_no_task_gets_more_than_its_share(spark):
+    """A key on two thirds of the rows: at most twice the even share per task."""
+    left = spark.range(60_000).select(
+        F.col("id"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k")
+    )
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    for key, value in (("autoBroadcastJoinThreshold", "-1"), ("adaptive.enabled", "false"), ("shuffle.partitions", "16")):
+        spark.conf.set(f"spark.sql.{key}", value)
+    try:
+        joined = joins.hot_salted_join(left, right, "k", "n", ["id"])
+        sizes = [r["n"] for r in joined.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == 60_000 and len(sizes) == 16 and max(sizes) <= 2 * 60_000 / 16
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_null_answers_and_null_labels(table, rows_of):
     answers = table([(1, None), (2, "### Analysis\nx\n### Result\nA"), (3, "nothing")], "row_id int, output string")
     accepted, rejected = C.parse_answers(answers)
