@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from labelspark.session import settle
 
 # Python works on this many bytes of text at a time, whatever the batch size.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 BATCH_BYTES = "8m"
 
 
