@@ -7,6 +7,7 @@ keys; an item and a window that share a key are compared by exact edit distance.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 from math import ceil, floor, log
 
@@ -19,10 +20,14 @@ from labelspark.llm.common import fields_of, map_arrow, text_blocks
 
 MIN_SIMILARITY = 0.8  # 1 - word edits / words of the item
 MIN_WORDS = 5  # shorter items say too little and never match
+MAX_WINDOW = 16  # walks lose step with length, so long items get more windows, not longer ones
 SAMPLES = 4  # places of the embedding in one key
+SHORT_SAMPLES = 3  # the same for windows below eight words, which one edit changes most
 TABLES_PER_WALK = 8
 TARGET_RECALL = 0.95
-MATCH = 0.6  # share of places that a window keeps at the edits allowed
+# Share of places that a window keeps at the edits allowed, set so that measured
+# recall reaches the target: whole short items, and windows inside an item.
+SHORT_MATCH, MATCH = 0.45, 0.58
 SEED = 5
 # Items are searched in blocks of about this many keys, each in one pass over
 # the documents; a block travels with the tasks (8 bytes a key, and a bit table).
@@ -66,11 +71,16 @@ def word_hashes(raw: np.ndarray, where: np.ndarray, powers: tuple[np.ndarray, np
 
 
 def window_words(words: int) -> int:
-    """Window length for an item: a power of two of at most two thirds of it, so
-    that a passage holds several windows on any grid; short items: themselves."""
+    """Window length for an item: a power of two of at most two thirds of it, and
+    of MAX_WINDOW, so that a passage holds several windows on any grid; short
+    items: themselves."""
     if words < 8:
         return words
-    return 1 << int(max(8, 2 * words // 3)).bit_length() - 1
+    return min(MAX_WINDOW, 1 << int(max(8, 2 * words // 3)).bit_length() - 1)
+
+
+def samples_of(words: int) -> int:
+    return min(words, SAMPLES if words >= 8 else SHORT_SAMPLES)
 
 
 @dataclass
@@ -79,24 +89,28 @@ class Layer:
 
     words: int
     stride: int
-    walks: list[tuple[np.ndarray, np.ndarray]]  # (move multipliers, (tables, SAMPLES) places)
+    walks: list[tuple[np.ndarray, np.ndarray]]  # (move multipliers, (tables, samples) places)
 
 
 def layers_for(sizes: list[int]) -> list[Layer]:
     """One layer per window length among items of these sizes, with as many
-    tables as TARGET_RECALL needs for the item that holds the fewest windows."""
+    tables as TARGET_RECALL needs for the item that holds the fewest windows.
+
+    Only windows that share no word count as independent trials.
+    """
     out = []
     for words in sorted({window_words(n) for n in sizes}):
         shortest = min(n for n in sizes if window_words(n) == words)
         stride = max(1, min(words // 4, shortest - words + 1))
-        windows = (shortest - words + 1) // stride
-        keep = MATCH ** min(SAMPLES, words)
+        windows = (shortest - stride + 1) // words
+        samples = samples_of(words)
+        keep = (MATCH if words >= 8 else SHORT_MATCH) ** samples
         tables = ceil(log(1 - TARGET_RECALL) / (max(1, windows) * log(1 - keep)))
         rng = np.random.default_rng([SEED, words])
         walks = []
         steps = max(1, 3 * words // 2)  # a walk moves on every second step
         for _ in range(ceil(tables / TABLES_PER_WALK)):
-            cuts = np.linspace(0, steps, min(SAMPLES, words) + 1).astype(int)
+            cuts = np.linspace(0, steps, samples + 1).astype(int)
             places = np.stack([rng.integers(a, b, TABLES_PER_WALK) for a, b in zip(cuts, cuts[1:])], axis=1)
             walks.append((rng.integers(0, 1 << 31, steps, np.uint32) * np.uint32(2) + np.uint32(1), places))
         out.append(Layer(words, stride, walks))
@@ -188,9 +202,9 @@ def item_blocks(benchmark: DataFrame, block_keys: int = BLOCK_KEYS):
     Equal texts are one item, under their smallest id.
     """
     items = benchmark.filter(F.col("text").isNotNull()).groupBy("text").agg(F.min("item_id").alias("item_id"))
-    # a key per word and table, of which there are two walks' worth as a rule
+    # a key per word and table, of which there are at most four walks' worth as a rule
     load = items.agg(F.sum(F.size(F.split("text", " ")))).first()[0] or 0
-    count = max(1, ceil(load * 2 * TABLES_PER_WALK / block_keys))
+    count = max(1, ceil(load * 4 * TABLES_PER_WALK / block_keys))
     for n in range(count):
         own = items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == n) if count > 1 else items
         found = _block(sorted((tuple(r) for r in own.select("item_id", "text").collect()), key=repr))
@@ -200,10 +214,9 @@ def item_blocks(benchmark: DataFrame, block_keys: int = BLOCK_KEYS):
 
 def _search(hashes: np.ndarray, cuts: np.ndarray, block: Block, bits: np.ndarray):
     """Verified matches as (text, item, distance, first word, end word)."""
-    seen: set[tuple[int, int, int]] = set()
+    met = []  # (text, item, first word of the item if nothing was inserted)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     sizes = np.diff(cuts)
-    vocabularies = [set(own.tolist()) for own in block.words]
     shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
     padded = np.r_[hashes, np.full(max(layer.words for layer in block.layers), _PAD)]
     for layer in block.layers:
@@ -220,27 +233,38 @@ def _search(hashes: np.ndarray, cuts: np.ndarray, block: Block, bits: np.ndarray
                 hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
                 low = np.searchsorted(block.keys, keys[hit], "left")
                 high = np.searchsorted(block.keys, keys[hit], "right")
-                for w, a, b in zip(hit, low, high):
-                    for e in range(a, b):
-                        item, doc = int(block.owners[e]), int(text[at + w])
-                        begin = int(starts[w]) - int(block.offsets[e])
-                        if (doc, item, begin) in seen:
-                            continue
-                        seen.add((doc, item, begin))
-                        own = block.words[item]
-                        slack = floor((1 - MIN_SIMILARITY) * len(own) + 1e-9)
-                        first = max(int(cuts[doc]), begin - slack)
-                        region = hashes[first : min(int(cuts[doc + 1]), begin + len(own) + slack)]
-                        # an item within the slack shares that many words at least
-                        if sum(map(vocabularies[item].__contains__, region.tolist())) < len(own) - slack:
-                            continue
-                        ends = edit_ends(own, region)
-                        end = int(ends.argmin())
-                        distance = int(ends[end])
-                        if distance <= slack and distance < best.get((doc, item), (1 << 30,))[0]:
-                            back = edit_ends(own[::-1], region[:end][::-1])
-                            start = end - int(back.argmin())
-                            best[doc, item] = (distance, first + start - int(cuts[doc]), first + end - int(cuts[doc]))
+                n = high - low
+                window = np.repeat(hit, n)
+                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+                begin = starts[window] - block.offsets[entry]
+                if len(entry):
+                    met.append(np.unique(np.column_stack([text[at + window], block.owners[entry], begin]), axis=0))
+    groups: list[tuple[int, int, int, int]] = []  # begins up to the slack apart are verified at once
+    for doc, item, begin in np.unique(np.concatenate(met), axis=0).tolist() if met else ():
+        slack = floor((1 - MIN_SIMILARITY) * len(block.words[item]) + 1e-9)
+        if groups and groups[-1][:2] == (doc, item) and begin <= groups[-1][2] + slack:
+            groups[-1] = (*groups[-1][:3], begin)
+        else:
+            groups.append((doc, item, begin, begin))
+    counts_of = {item: Counter(block.words[item].tolist()) for _, item, _, _ in groups}
+    for doc, item, begin, last in groups:
+        own = block.words[item]
+        slack = floor((1 - MIN_SIMILARITY) * len(own) + 1e-9)
+        first = max(int(cuts[doc]), begin - slack)
+        region = hashes[first : min(int(cuts[doc + 1]), last + len(own) + slack)]
+        # an item within the slack shares that many words at least, repeats included
+        near = region.tolist()
+        if sum(map(counts_of[item].__contains__, near)) < len(own) - slack:
+            continue
+        if (counts_of[item] & Counter(near)).total() < len(own) - slack:
+            continue
+        ends = edit_ends(own, region)
+        end = int(ends.argmin())
+        distance = int(ends[end])
+        if distance <= slack and distance < best.get((doc, item), (1 << 30,))[0]:
+            back = edit_ends(own[::-1], region[:end][::-1])
+            start = end - int(back.argmin())
+            best[doc, item] = (distance, first + start - int(cuts[doc]), first + end - int(cuts[doc]))
     return sorted((doc, item, *found) for (doc, item), found in best.items())
 
 

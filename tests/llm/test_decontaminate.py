@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from labelspark.llm import decontaminate
@@ -86,3 +87,20 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert decontaminate.find(no_docs, benchmark).count() == 0
     empty = spark.createDataFrame([], "item_id long, text string")
     assert all(not r["items"] for r in decontaminate.find(edge_docs, empty).collect())
+
+
+@pytest.mark.parametrize("length", [5, 8, 16, 24, 32, 60, 100, 200, 384])
+def test_recall_by_item_length_at_the_edits_allowed(length):
+    """Items of one length alone, so that no shorter ones bring more tables."""
+    rng = random.Random(length)
+    items = [(i, " ".join(f"w{rng.randrange(20_000)}" for _ in range(length))) for i in range(40)]
+    block = decontaminate._block(items)
+    hashes, cuts = [], [0]
+    for own in block.words:
+        around = [[rng.getrandbits(62) for _ in range(rng.randrange(8, 200))] for _ in range(2)]
+        body = edited(rng, own.tolist(), int(0.2 * length + 1e-9))
+        hashes += around[0] + [rng.getrandbits(62) if isinstance(w, str) else w for w in body] + around[1]
+        cuts.append(len(hashes))
+    found = decontaminate._search(np.array(hashes, np.uint64), np.array(cuts), block, np.full(1 << 13, 255, np.uint8))
+    assert len({d for d, i, *_ in found if d == i}) >= 0.9 * len(items)
+    assert all(d == i for d, i, *_ in found)
