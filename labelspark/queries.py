@@ -916,11 +916,13 @@ def generation_settings(spark: SparkSession, sf: str) -> DataFrame:
     """Decoding settings kept beside every generated text, and rows counted on the way."""
     from labelspark.operators.results import watched
 
-    prompts = _docs(spark, sf).select("row_id", F.substring("text", 1, 40).alias("pre_query_str"))
+    prompts = _docs(spark, sf).select("row_id", F.col("text").alias("pre_query_str"))
     made = I.generate_texts(prompts, stub_generate, I.Decoding(model="stub", temperature=0.5, max_tokens=64))
     counted, seen = watched(made, "generated")
     kept = settle(counted, "generated")
-    return kept.select("row_id", "gen_configs.*").withColumn("n_rows", F.lit(seen.get["n_rows"]).cast("bigint"))
+    # whole texts are sent; only the column that is shown is cut
+    shown = kept.select("row_id", "gen_configs.*").withColumn("prompt", F.substring("prompt", 1, 40))
+    return shown.withColumn("n_rows", F.lit(seen.get["n_rows"]).cast("bigint"))
 
 
 @query
@@ -1074,7 +1076,7 @@ def ngram_classifier(spark: SparkSession, sf: str) -> DataFrame:
     chars = F.flatten(F.transform(words, lambda w: X.char_ngrams(w)))
     ready = X.hashed_vectors(_ready(spark, sf), F.concat(X.word_ngrams(words, 2), chars))
     ready = settle(ready.drop("text"), "vectors")
-    model = OneVsRest(DOC_LABELS, "lr", 1.0, max_iter=5).fit(ready.filter("split = 'train'"), X.BUCKETS)
+    model = OneVsRest(DOC_LABELS, "lr", 1.0).fit(ready.filter("split = 'train'"), X.BUCKETS)
     return rounded_metrics(evaluate_splits(model, ready), "split")
 
 
@@ -1088,10 +1090,13 @@ def param_grid(spark: SparkSession, sf: str) -> DataFrame:
     from labelspark.operators.models import OneVsRest, evaluate_splits, parameter_grid, search
 
     vocabulary, ready = flows.classical_features(_ready(spark, sf), T.word_tokens(F.col("text")))
-    width, found = vocabulary.count(), {}
+    width, models, found = vocabulary.count(), {}, {}
+    for kind in ("lr", "svm"):
+        fitted = OneVsRest(DOC_LABELS, kind).fit_strengths(ready.filter("split = 'train'"), width, GRID_C)
+        models |= {(kind, model.c): model for model in fitted}
 
     def run(setting: dict) -> float:
-        model = OneVsRest(DOC_LABELS, setting["kind"], setting["c"], max_iter=3).fit(ready.filter("split = 'train'"), width)
+        model = models[setting["kind"], setting["c"]]
         row = evaluate_splits(model, ready.filter("split = 'validation'")).first()
         found[setting["kind"], setting["c"]] = row
         return row["f1"]
@@ -1112,6 +1117,6 @@ def ratio_search(spark: SparkSession, sf: str) -> DataFrame:
     train = ready.filter("split = 'train'")
     out = flows.ratio_search(
         train.filter(~english), train.filter(english), ready.filter("split = 'validation'"),
-        DOC_LABELS, vocabulary.count(), "row_id", 10.0, max_iter=3,
+        DOC_LABELS, vocabulary.count(), "row_id", 10.0, max_iter=50,
     )
     return rounded_metrics(out, "multiplier")
