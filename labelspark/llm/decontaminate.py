@@ -3,6 +3,10 @@
 Item-sized word windows are embedded by a shared random walk (CGK) that turns
 edit distance into Hamming distance. Sampled places of the embedding are hash
 keys; an item and a window that share a key are compared by exact edit distance.
+
+An edit breaks at most two adjacent word pairs, so a stretch that holds an item
+has a known number of the item's pairs. Windows outside all stretches with so
+many pairs of any item are not embedded, which loses nothing.
 """
 
 from __future__ import annotations
@@ -15,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from labelspark.llm.common import fields_of, map_arrow, text_blocks
 
 MIN_SIMILARITY = 0.8  # 1 - word edits / words of the item
-MIN_WORDS = 5  # shorter items say too little and never match
+MIN_WORDS = 2  # items of one word say too little and never match
+EXACT_WORDS = 5  # shorter items allow no edit and are looked up whole
+SIZE_STEP = 1.25  # items whose lengths differ by less share one bound on word pairs
 MAX_WINDOW = 16  # walks lose step with length, so long items get more windows, not longer ones
 SAMPLES = 4  # places of the embedding in one key
 SHORT_SAMPLES = 3  # the same for windows below eight words, which one edit changes most
@@ -39,6 +46,9 @@ _WORD[48:58] = np.arange(48, 58)
 _WORD[97:123] = np.arange(97, 123)
 _WORD[65:91] = np.arange(97, 123)
 _WORD[128:] = np.arange(128, 256)
+# first bytes of three-byte letters of scripts without blanks (kana, Han): each is a word
+_ALONE = np.zeros(256, bool)
+_ALONE[0xE3:0xEA] = True
 _BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses modulo 2**64
 _BACK = pow(_BASE, -1, 1 << 64)
 _PAD = np.uint64(0x2545F4914F6CDD1D)
@@ -53,15 +63,23 @@ def _powers(base: int, n: int) -> np.ndarray:
 def word_hashes(raw: np.ndarray, where: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, word offsets of the texts).
 
-    Words are runs of letters and digits, bytes beyond ASCII included. The hash is a polynomial modulo 2**64, read off running sums.
+    Words are runs of letters and digits, bytes beyond ASCII included; kana and
+    Han letters are words of their own, as no blank parts them. The hash is a
+    polynomial modulo 2**64, read off running sums.
     """
     low = _WORD[raw]
     inside = low > 0
     before = np.r_[False, inside[:-1]] if len(inside) else inside
     before[where[:-1][where[:-1] < len(low)]] = False
-    starts = np.flatnonzero(inside & ~before)
     after = np.r_[inside[1:], False] if len(inside) else inside
     after[where[1:-1][where[1:-1] > 0] - 1] = False
+    alone = np.flatnonzero(_ALONE[raw])
+    if len(alone):
+        follow, lead = alone + 3, alone - 1
+        before[alone] = after[alone + 2] = False
+        before[follow[follow < len(low)]] = False
+        after[lead[lead >= 0]] = False
+    starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
     up, down = powers
     sums = np.r_[np.zeros(1, np.uint64), np.cumsum(low * up[: len(low)], dtype=np.uint64)]
@@ -165,6 +183,37 @@ class Block:
     keys: np.ndarray  # sorted
     owners: np.ndarray  # item of each key
     offsets: np.ndarray  # word of the item at which the window of the key begins
+    pairs: np.ndarray  # sorted hashes of adjacent words of all items
+    bounds: dict[int, list[tuple[int, int]]]  # window length → (stretch, pairs it must hold)
+
+
+def allowed_edits(words: int) -> int:
+    return floor((1 - MIN_SIMILARITY) * words + 1e-9)
+
+
+def least_pairs(words: int) -> int:
+    """Adjacent word pairs that are left of an item after the edits allowed."""
+    return max(0, words - 1 - 2 * allowed_edits(words))
+
+
+def pair_hashes(hashes: np.ndarray) -> np.ndarray:
+    """A hash of each word and its next one (one fewer than words)."""
+    found = (hashes[:-1] ^ (hashes[:-1] >> np.uint64(31))) * np.uint64(_BASE) + hashes[1:]
+    return found ^ (found >> np.uint64(29))
+
+
+def size_bounds(sizes: list[int]) -> dict[int, list[tuple[int, int]]]:
+    """For each window length, (longest stretch, fewest pairs) of classes of items
+    of similar length: what any item of the class leaves in a text."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    for words in sorted({window_words(n) for n in sizes}):
+        own = sorted({n for n in sizes if window_words(n) == words})
+        while own:
+            group = [n for n in own if n <= SIZE_STEP * own[0]]
+            own = own[len(group) :]
+            stretch = max(n + allowed_edits(n) for n in group)
+            out.setdefault(words, []).append((stretch, min(map(least_pairs, group))))
+    return out
 
 
 def _block(items: list[tuple]) -> Block | None:
@@ -181,19 +230,26 @@ def _block(items: list[tuple]) -> Block | None:
         return None
     ids, words = [items[i][0] for i in kept], [words[i] for i in kept]
     sizes = [len(own) for own in words]
-    layers = layers_for(sizes)
+    layers = layers_for([n for n in sizes if n >= EXACT_WORDS])
     keys, owners, offsets = [], [], []
     for layer in layers:
         for i, own in enumerate(words):
-            if window_words(len(own)) == layer.words:
+            if len(own) >= EXACT_WORDS and window_words(len(own)) == layer.words:
                 starts = np.arange(len(own) - layer.words + 1)
                 found = keys_of(np.r_[own, np.full(layer.words, _PAD)], starts, layer)
                 keys.append(found.reshape(-1))
                 owners.append(np.full(found.size, i, np.int32))
                 offsets.append(np.tile(starts, len(found)).astype(np.int32))
+    for i, own in enumerate(words):  # short items: the first pair is the key
+        if len(own) < EXACT_WORDS:
+            keys.append(pair_hashes(own[:2]))
+            owners.append(np.full(1, i, np.int32))
+            offsets.append(np.zeros(1, np.int32))
     keys, owners, offsets = np.concatenate(keys), np.concatenate(owners), np.concatenate(offsets)
     order = np.argsort(keys, kind="stable")
-    return Block(ids, words, layers, keys[order], owners[order], offsets[order])
+    pairs = np.unique(np.concatenate([pair_hashes(own) for own in words]))
+    bounds = size_bounds([n for n in sizes if n >= EXACT_WORDS])
+    return Block(ids, words, layers, keys[order], owners[order], offsets[order], pairs, bounds)
 
 
 def item_blocks(benchmark: DataFrame, block_keys: int = BLOCK_KEYS):
@@ -212,44 +268,107 @@ def item_blocks(benchmark: DataFrame, block_keys: int = BLOCK_KEYS):
             yield found
 
 
-def _search(hashes: np.ndarray, cuts: np.ndarray, block: Block, bits: np.ndarray):
-    """Verified matches as (text, item, distance, first word, end word)."""
+class Table:
+    """Sorted keys behind a bit table, which most absent keys do not pass."""
+
+    def __init__(self, keys: np.ndarray):
+        width = max(16, len(keys).bit_length() + FILTER_BITS)
+        self.keys, self.shift = keys, np.uint64(64 - width)
+        self.bits = np.zeros(1 << width - 3, np.uint8)
+        slots = keys >> self.shift
+        np.bitwise_or.at(self.bits, slots >> np.uint64(3), np.left_shift(np.uint8(1), (slots & np.uint64(7)).astype(np.uint8)))
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        """Places of ``keys`` that pass the bit table."""
+        slot = keys >> self.shift
+        return np.flatnonzero(self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(keys), bool)
+        hit = self.may_hold(keys)
+        place = np.minimum(np.searchsorted(self.keys, keys[hit]), max(0, len(self.keys) - 1))
+        out[hit] = self.keys[place] == keys[hit] if len(self.keys) else False
+        return out
+
+
+def reachable(known: np.ndarray, cuts: np.ndarray, stretch: int, least: int) -> np.ndarray:
+    """True for the words of texts that lie in a stretch of ``stretch`` words of
+    one text with at least ``least`` known pairs. ``known[i]`` tells whether word i
+    and the next are a pair of an item."""
+    n = len(known)
+    sums = np.r_[0, np.cumsum(known)]
+    sizes = np.diff(cuts)
+    begin = np.arange(n)
+    end = np.minimum(begin + stretch, np.repeat(cuts[1:], sizes))
+    # a text that is shorter than the stretch is one stretch from its first word
+    good = sums[np.maximum(end - 1, begin)] - sums[begin] >= least
+    opened, closed = np.bincount(begin[good], minlength=n + 1), np.bincount(end[good], minlength=n + 1)
+    return np.cumsum(opened - closed)[:-1] > 0
+
+
+def _search(hashes: np.ndarray, cuts: np.ndarray, block: Block, table: Table, pairs: Table | None):
+    """Verified matches as (text, item, distance, first word, end word).
+
+    Without ``pairs`` every window is embedded and every candidate verified; the
+    answer is the same.
+    """
     met = []  # (text, item, first word of the item if nothing was inserted)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     sizes = np.diff(cuts)
-    shift = np.uint64(64 - (len(bits) * 8).bit_length() + 1)
-    padded = np.r_[hashes, np.full(max(layer.words for layer in block.layers), _PAD)]
+    padded = np.r_[hashes, np.full(max([2, *(layer.words for layer in block.layers)]), _PAD)]
+    own_pairs = pair_hashes(padded[: len(hashes) + 1])
+    known = pairs.holds(own_pairs) if pairs else np.ones(len(hashes), bool)
+    ends = cuts[1:][sizes > 0] - 1
+    known[ends] = False  # the last word of a text has no next
+    sums = np.r_[0, np.cumsum(known)]
+
+    def meet(keys: np.ndarray, starts: np.ndarray, text: np.ndarray) -> None:
+        hit = table.may_hold(keys)
+        low = np.searchsorted(block.keys, keys[hit], "left")
+        n = np.searchsorted(block.keys, keys[hit], "right") - low
+        window = np.repeat(hit, n)
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        if len(entry):
+            met.append(np.unique(np.column_stack([text[window], block.owners[entry], starts[window] - block.offsets[entry]]), axis=0))
+
     for layer in block.layers:
         counts = np.maximum(0, (sizes - layer.words) // layer.stride + 1)
         counts[sizes < layer.words] = 0
         total = int(counts.sum())
         text = np.repeat(np.arange(len(sizes)), counts)
         number = np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
-        all_starts = cuts[text] + number * layer.stride
-        for at in range(0, total, 200_000):
-            starts = all_starts[at : at + 200_000]
-            for keys in keys_of(padded, starts, layer):
-                slot = keys >> shift
-                hit = np.flatnonzero(bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                low = np.searchsorted(block.keys, keys[hit], "left")
-                high = np.searchsorted(block.keys, keys[hit], "right")
-                n = high - low
-                window = np.repeat(hit, n)
-                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-                begin = starts[window] - block.offsets[entry]
-                if len(entry):
-                    met.append(np.unique(np.column_stack([text[at + window], block.owners[entry], begin]), axis=0))
+        starts = cuts[text] + number * layer.stride
+        if pairs:
+            reached = np.zeros(len(hashes), bool)
+            for stretch, least in block.bounds[layer.words]:
+                reached |= reachable(known, cuts, stretch, least)
+            chosen = reached[starts]
+            starts, text = starts[chosen], text[chosen]
+        for at in range(0, len(starts), 200_000):
+            for keys in keys_of(padded, starts[at : at + 200_000], layer):
+                meet(keys, starts[at : at + 200_000], text[at : at + 200_000])
+    if min(map(len, block.words)) < EXACT_WORDS:
+        first = np.flatnonzero(known)
+        meet(own_pairs[first], first, np.searchsorted(cuts, first, "right") - 1)
+    found = np.unique(np.concatenate(met), axis=0) if met else np.zeros((0, 3), np.int64)
+    lengths = np.array([len(own) for own in block.words])
+    slacks = np.array([allowed_edits(n) for n in lengths])
+    if pairs and len(found):
+        doc, item, begin = found.T
+        # begins up to the slack apart are verified together, in a region that lies in here
+        low = np.maximum(cuts[doc], begin - 2 * slacks[item])
+        high = np.minimum(cuts[doc + 1], begin + lengths[item] + 2 * slacks[item])
+        found = found[sums[np.maximum(high - 1, low)] - sums[low] >= lengths[item] - 1 - 2 * slacks[item]]
     groups: list[tuple[int, int, int, int]] = []  # begins up to the slack apart are verified at once
-    for doc, item, begin in np.unique(np.concatenate(met), axis=0).tolist() if met else ():
-        slack = floor((1 - MIN_SIMILARITY) * len(block.words[item]) + 1e-9)
-        if groups and groups[-1][:2] == (doc, item) and begin <= groups[-1][2] + slack:
+    for doc, item, begin in found.tolist():
+        if groups and groups[-1][:2] == (doc, item) and begin <= groups[-1][2] + slacks[item]:
             groups[-1] = (*groups[-1][:3], begin)
         else:
             groups.append((doc, item, begin, begin))
     counts_of = {item: Counter(block.words[item].tolist()) for _, item, _, _ in groups}
     for doc, item, begin, last in groups:
         own = block.words[item]
-        slack = floor((1 - MIN_SIMILARITY) * len(own) + 1e-9)
+        slack = int(slacks[item])
         first = max(int(cuts[doc]), begin - slack)
         region = hashes[first : min(int(cuts[doc + 1]), last + len(own) + slack)]
         # an item within the slack shares that many words at least, repeats included
@@ -273,7 +392,8 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str = "items") -> DataFram
 
     ``name`` is an array of (item_id, distance, similarity, first_word, end_word):
     the best stretch of the text for each item with at most 20 % word edits; equal
-    items come under their smallest id. Windows lie on a grid in the documents and
+    items come under their smallest id. Items of fewer than EXACT_WORDS words allow
+    no edit at that rate. Windows lie on a grid in the documents and
     at every offset in the items. Null, empty and short texts hold none; null and
     empty items, and those below MIN_WORDS words, match nothing. All columns are
     passed on, ``name`` must be new.
@@ -284,12 +404,11 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str = "items") -> DataFram
     key = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"array<struct<item_id: {key}, distance: int, similarity: double, first_word: int, end_word: int>>"
 
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
+
     def searched(block: Block, input_: DataFrame, output: str) -> DataFrame:
         def run(batches):
-            width = max(16, len(block.keys).bit_length() + FILTER_BITS)
-            bits = np.zeros(1 << width - 3, np.uint8)
-            slots = block.keys >> np.uint64(64 - width)
-            np.bitwise_or.at(bits, slots >> np.uint64(3), np.left_shift(np.uint8(1), (slots & np.uint64(7)).astype(np.uint8)))
+            table, pairs = Table(block.keys), Table(block.pairs)
             powers = (_powers(_BASE, 1), _powers(_BACK, 1))
             for batch in batches:
                 rows: list[list] = [[] for _ in range(len(batch))]
@@ -299,7 +418,7 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str = "items") -> DataFram
                     hashes, cuts = word_hashes(raw, where, powers)
                     if not len(hashes):
                         continue
-                    for doc, item, distance, start, end in _search(hashes, cuts, block, bits):
+                    for doc, item, distance, start, end in _search(hashes, cuts, block, table, pairs):
                         rows[first + doc].append(
                             {
                                 "item_id": block.ids[item],
@@ -310,7 +429,7 @@ def find(docs: DataFrame, benchmark: DataFrame, name: str = "items") -> DataFram
                             }
                         )
                 kind = pa.struct(
-                    [("item_id", pa.int64()), ("distance", pa.int32()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]
+                    [("item_id", item_type), ("distance", pa.int32()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("end_word", pa.int32())]
                 )
                 yield pa.RecordBatch.from_arrays(
                     [*batch.columns, pa.array(rows, pa.list_(kind))], [*batch.schema.names, output]

@@ -101,6 +101,39 @@ def test_recall_by_item_length_at_the_edits_allowed(length):
         body = edited(rng, own.tolist(), int(0.2 * length + 1e-9))
         hashes += around[0] + [rng.getrandbits(62) if isinstance(w, str) else w for w in body] + around[1]
         cuts.append(len(hashes))
-    found = decontaminate._search(np.array(hashes, np.uint64), np.array(cuts), block, np.full(1 << 13, 255, np.uint8))
+    texts = np.array(hashes, np.uint64), np.array(cuts), block, decontaminate.Table(block.keys)
+    found = decontaminate._search(*texts, decontaminate.Table(block.pairs))
+    assert found == decontaminate._search(*texts, None)  # the pair filter loses nothing
     assert len({d for d, i, *_ in found if d == i}) >= 0.9 * len(items)
     assert all(d == i for d, i, *_ in found)
+
+
+def test_pair_filter_changes_no_answer():
+    """Common words, repeated items and edits: the same matches with and without."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.randrange(2, 70))] for _ in range(60)]
+    block = decontaminate._block([(i, " ".join(w)) for i, w in enumerate(items)])
+    hash_of = {w: h for text, own in zip(items, block.words) for w, h in zip(text, own.tolist())}
+    hashes, cuts = [], [0]
+    for n in range(300):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(0, 150))]
+        own = items[n % len(items)]
+        words[len(words) // 2 : len(words) // 2] = edited(rng, own, rng.randrange(int(0.25 * len(own)) + 1))
+        hashes += [hash_of.setdefault(w, rng.getrandbits(62)) for w in words]
+        cuts.append(len(hashes))
+    texts = np.array(hashes, np.uint64), np.array(cuts), block, decontaminate.Table(block.keys)
+    found = decontaminate._search(*texts, decontaminate.Table(block.pairs))
+    assert found == decontaminate._search(*texts, None) and len(found) > 200
+
+
+def test_short_items_scripts_without_blanks_and_text_ids(spark):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(20))
+    items = [("four", "alpha beta gamma delta"), ("two", "omega psi"), ("han", han), ("one", "zeta")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    changed = han[:7] + "们" + han[8:]
+    texts = ["x alpha beta, gamma delta y", "alpha beta delta gamma", f"前{han}后ok", f"ab {changed}", "omega. Psi", "zeta", han[:9]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = decontaminate.find(docs, benchmark).collect()
+    got = sorted((r.doc_id, i.item_id, i.distance, i.first_word, i.end_word) for r in rows for i in r["items"])
+    assert got == [(0, "four", 0, 1, 5), (2, "han", 0, 1, 21), (3, "han", 1, 1, 21), (4, "two", 0, 0, 2)]
