@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspark.llm import decontaminate, fingerprints, language, licenses, packing, quality, sharding, simhash, toxicity, urls
+from labelspark.llm import (
+    decontaminate, fim, fingerprints, jaccard, language, lexical, licenses, packing, quality, sharding, simhash, toxicity, urls,
+)
 from labelspark.llm.common import held_out
 
 
@@ -41,6 +42,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def op4_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs the vocabulary files
+
     pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
@@ -94,6 +97,19 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"), URL_RULES, urls.fit(spark))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fim.fill_in_middle(docs, with_output=False).select("doc_id", "fim.*")
+
+
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_sets(_table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -105,6 +121,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_shard": op8_shard,
     "op9_fingerprint": op9_fingerprint,
     "op10_urls": op10_urls,
+    "op11_fim": op11_fim,
+    "op12_jaccard": op12_jaccard,
+    "op13_search": op13_search,
 }
 
-SQL: dict[str, str] = {}
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL: dict[str, str] = {
+    "op11_fim": r"""
+        WITH drawn AS (
+            SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+                   regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+            FROM documents),
+        numbers AS (
+            SELECT *, len(tokens) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+                   ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+            FROM drawn),
+        cut AS (
+            SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                        WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+            FROM numbers),
+        parts AS (
+            SELECT *, coalesce(array_to_string(tokens[1:a], ''), '') AS prefix,
+                   coalesce(array_to_string(tokens[a + 1:b], ''), '') AS middle,
+                   coalesce(array_to_string(tokens[b + 1:], ''), '') AS suffix
+            FROM cut)
+        SELECT doc_id, n::BIGINT AS n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t
+                                WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts""",
+    "op12_jaccard": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(""" + _LOWERED + r""", ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+            FROM words),
+        rows AS (SELECT doc_id, unnest(s) AS shingle FROM shingles),
+        met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared
+                FROM rows AS a JOIN rows AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        links AS (SELECT u, v FROM met JOIN shingles AS x ON x.doc_id = u JOIN shingles AS y ON y.doc_id = v
+                  WHERE 100 * shared >= 85 * (len(x.s) + len(y.s) - shared)),
+        reach AS (SELECT doc_id, doc_id AS low FROM shingles UNION SELECT links.u, reach.low FROM reach JOIN links ON links.v = reach.doc_id)
+        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
+        FROM shingles JOIN (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
+    "op13_search": r"""
+        WITH terms AS (
+            SELECT doc_id, unnest(regexp_extract_all(""" + _LOWERED + r""", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+        counts AS (SELECT doc_id, t, count(*) AS tf FROM terms GROUP BY 1, 2),
+        sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY 1),
+        total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM sizes),
+        weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+                    FROM (SELECT t, count(*) AS df FROM counts GROUP BY 1), total),
+        wanted AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(""" + _LOWERED + r""", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark),
+        scores AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // l))))::BIGINT AS score
+            FROM wanted JOIN counts USING (t) JOIN weights USING (t) JOIN sizes USING (doc_id), total GROUP BY 1, 2),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50""",
+}
