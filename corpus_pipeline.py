@@ -7,11 +7,10 @@ of their own input, without those that op2_toxicity and op5_quality hold out.
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelspark.llm import decontaminate, minhash, packing, quality, toxicity
+from labelspark.llm import decontaminate, packing, quality, simhash, toxicity
 from labelspark.llm.common import held_out
 from labelspark.session import new_folder
 
@@ -44,17 +43,13 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the one of smallest id.
+    """One document of each SimHash component stays: fingerprints of four-word
+    shingles, linked at four or fewer differing bits.
 
-    Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more are linked, and chains of links make a group. A document without id
-    stays only where its whole group has none.
+    It is the one of smallest id, the first stored one where ids repeat or all of
+    the component are null.
     """
-    roots = minhash.near_copies(docs).withColumnRenamed("node", "_node")
-    own = docs.select("doc_id", minhash.text_key().alias("_node"))
-    rooted = own.join(roots, "_node", "left").withColumn("_root", F.coalesce("root", "_node"))
-    kept = rooted.groupBy("_root").agg(F.min("doc_id").alias("_kept")).select("_kept").distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    return simhash.one_of_each_group(docs, words=4, max_distance=4)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,13 +61,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents, with their token ids."""
+    import public_tokenizers  # only this stage needs the vocabulary files
+
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality classifier", drop_low_quality),
-    ("near duplicates", drop_near_duplicates),
+    ("SimHash near-dedup", drop_near_duplicates),
     ("benchmark decontamination", drop_contaminated),
     ("packing", pack),
 ]
