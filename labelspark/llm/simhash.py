@@ -15,10 +15,11 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import map_arrow
+from labelspark.llm.common import fields_of, map_arrow
 from labelspark.llm.components import components
 from labelspark.session import settle
 
@@ -54,16 +55,18 @@ def fingerprint(raw: bytes, words: int) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per document. A null text counts as empty."""
+    """``docs`` with fp in place of text: one row per document. A null text counts as empty."""
+    at = docs.columns.index("text")
+    others = [c for c in docs.columns if c != "text"]
 
     def run(batches):
         for batch in batches:
-            prints = [fingerprint((t or "").encode(), words) for t in batch.column(1).to_pylist()]
+            prints = [fingerprint((t.as_py() or "").encode(), words) for t in batch.column(at)]
             prints = np.array(prints, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)], ["doc_id", "fp"])
+            columns = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(prints)], [*others, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fp long")
+    return map_arrow(docs, run, fields_of(docs.select(*others)) + ", fp long")
 
 
 def bit_matrix(prints: np.ndarray) -> np.ndarray:
@@ -290,6 +293,21 @@ def links(prints: DataFrame, max_distance: int) -> DataFrame:
     return map_arrow(dealt, _links(max_distance), "u long, v long")
 
 
+def grouped(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
+    """``docs`` with fp, root (the same for all rows of a component) and
+    component_id in place of text. ``docs`` has doc_id, text and what else is to
+    be carried along; fp, root and component_id must be new."""
+    prints = settle(fingerprints(docs, words), "prints")
+    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
+    found = components(links(distinct, max_distance))
+    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first_doc", F.coalesce("root", "fp").alias("root")
+    )
+    firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    named = settle(rooted.join(firsts, "root").select("fp", "root", "component_id"), "named")
+    return prints.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
@@ -299,14 +317,31 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_distance: int = 4) -> D
     gets the smallest id of its component, null if there is none. Repeated rows
     come back as often as they came in. Other columns are not read.
     """
-    prints = settle(fingerprints(docs, words), "prints")
-    distinct = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "distinct")
-    found = components(links(distinct, max_distance))
-    rooted = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first_doc", F.coalesce("root", "fp").alias("root")
-    )
-    firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = settle(rooted.join(firsts, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(
+    return grouped(docs.select("doc_id", "text"), words, max_distance).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def one_of_each_group(docs: DataFrame, words: int = 4, max_distance: int = 4) -> DataFrame:
+    """``docs`` with exactly one row of each component: the one of smallest doc_id,
+    the first stored one where ids repeat or all are null. All columns stay.
+
+    A row is known by its file and its place in it; ``docs`` that do not come from
+    files are stored first.
+    """
+    names = []
+    for name in ("_file", "_row"):
+        while name in docs.columns:
+            name += "_"
+        names.append(name)
+    file, row = names
+    place = F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)
+    try:
+        rows = docs.select("*", *place)
+    except AnalysisException:
+        docs = settle(docs, "documents")
+        rows = docs.select("*", *place)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", file, row)).alias("first")
+    found = grouped(rows.select("doc_id", "text", *names), words, max_distance)
+    kept = found.groupBy("root").agg(first).select(f"first.{file}", f"first.{row}")
+    return rows.join(kept, names, "left_semi").select(*docs.columns)

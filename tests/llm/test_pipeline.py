@@ -1,5 +1,6 @@
 """Each stage on its own input, against brute force where its rule is exact."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,6 +37,16 @@ def test_one_document_of_each_group_stays(steps):
     assert sorted(r.doc_id for r in after.collect()) == sorted(want)
 
 
+def test_one_stored_row_of_each_group_stays(spark):
+    """Null and repeated ids, repeated rows and columns of clashing names."""
+    text, other = "one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(None, text, 1), (None, text, 1), (5, text, 2), (5, text, 2), (None, other, 3), (None, other, 3), (7, None, 4), (8, "", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row int").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted([(5, text, 2), (None, other, 3), (7, None, 4)], key=repr)
+
+
 def test_no_benchmark_item_is_left(spark, steps):
     words = lambda t: " " + " ".join("".join(c if c.isalnum() else " " for c in t.lower()).split()) + " "
     items = [words(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -59,14 +70,31 @@ def test_odd_documents_pass_through(spark, edge_docs):
 
 
 def test_queries_are_registered():
-    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == sorted(range(1, 11), key=lambda n: [*queries.QUERIES].index(next(q for q in queries.QUERIES if q.startswith(f"op{n}_"))))
-    assert len(queries.QUERIES) == 10
+    assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 14))
+    assert set(queries.SQL) == {"op11_fim", "op12_jaccard", "op13_search"}
+
+
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_query_equals_its_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF), con.sql(queries.SQL[name])
+    columns = sorted(got.columns)
+    assert sorted(want.columns) == columns
+    found = [tuple(r[c] for c in columns) for r in got.collect()]
+    order = [want.columns.index(c) for c in columns]
+    assert sorted(found, key=repr) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=repr)
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_query_returns_a_row_per_document(spark, name):
     rows = queries.QUERIES[name](spark, SF)
     key, source = ("page_id", "pages") if name == "op10_urls" else ("doc_id", "documents")
+    if name == "op13_search":
+        items = {r[0] for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id").collect()}
+        assert {r.item_id for r in rows.collect()} == items
+        return
     ids = {r[0] for r in spark.read.parquet(f"{SF}/{source}.parquet").select(key).collect()}
     got = [r[0] for r in rows.select(key).collect()]
     if name == "op3_decontaminate":
