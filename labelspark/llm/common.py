@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,11 +18,29 @@ BLOCK_BYTES = 1_000_000
 BATCH_BYTES = "8m"
 
 
+def give_back() -> None:
+    """Return what the allocators hold free to the system: workers are reused, and
+    the peak of one stage would add to the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library, which needs no such call
+        pass
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` whose batches are bounded by bytes, so that a run of very
-    long texts cannot fill a worker's memory."""
+    long texts cannot fill a worker's memory. Free memory is given back at the
+    end of a task."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def fields_of(df: DataFrame) -> str:

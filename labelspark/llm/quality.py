@@ -20,6 +20,7 @@ EMBED = 8
 FILTERS = 32
 CHUNK = 128  # strides per chunk: 512 bytes
 STEP = 112  # strides between chunk starts: 64 bytes of overlap
+GROUP = 128  # chunks whose filter outputs are held at a time, some 57 KB of text
 # Labelled rows that a model is fitted on, and chunks taken from each of them.
 TRAIN_ROWS = 6_000
 TRAIN_CHUNKS = 6
@@ -40,11 +41,11 @@ class Model:
 
 def padded(raw: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes with each text on whole strides (two at least), and stride offsets."""
-    sizes = np.diff(where)
-    strides = np.maximum(2, -(-sizes // STRIDE))
+    strides = np.maximum(2, -(-np.diff(where) // STRIDE))
     starts = np.r_[0, np.cumsum(strides)]
     out = np.zeros(int(starts[-1]) * STRIDE, np.uint8)
-    out[np.arange(len(raw)) + np.repeat(starts[:-1] * STRIDE - where[:-1], sizes)] = raw
+    for begin, a, b in zip((starts[:-1] * STRIDE).tolist(), where[:-1].tolist(), where[1:].tolist()):
+        out[begin : begin + b - a] = raw[a:b]
     return out, starts
 
 
@@ -63,18 +64,29 @@ def activations(raw: np.ndarray, model: Model) -> np.ndarray:
     """Filter outputs at each stride (the last stride starts none)."""
     blocks = model.embed[raw].reshape(-1, STRIDE * EMBED)
     half = STRIDE * EMBED
-    return blocks[:-1] @ model.filters[:half] + blocks[1:] @ model.filters[half:]
+    out = blocks[:-1] @ model.filters[:half]
+    out += blocks[1:] @ model.filters[half:]
+    return out
 
 
 def chunk_scores(raw: np.ndarray, where: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(score, text) of every chunk of a block of texts."""
+    """(score, text) of every chunk of a block of texts.
+
+    Filters run over GROUP chunks at a time, also inside one text, so that memory
+    beside the bytes themselves does not depend on how long a text is.
+    """
     raw, starts = padded(raw, where)
     first, end, text = chunk_spans(starts)
-    out = activations(raw, model)
-    out = np.concatenate([out, np.full((1, out.shape[1]), -np.inf, np.float32)])
-    pairs = np.stack([first, end], axis=1).reshape(-1)
-    pooled = np.maximum(np.maximum.reduceat(out, pairs, axis=0)[::2] + model.bias, 0)
-    return pooled @ model.dense + model.offset, text
+    scores = np.empty(len(first), np.float32)
+    for at in range(0, len(first), GROUP):
+        a, b = first[at : at + GROUP], end[at : at + GROUP]
+        base, top = int(a[0]), int(b[-1])
+        out = activations(raw[base * STRIDE : (top + 1) * STRIDE], model)
+        out = np.concatenate([out, np.full((1, out.shape[1]), -np.inf, np.float32)])
+        pairs = np.stack([a - base, b - base], axis=1).reshape(-1)
+        pooled = np.maximum(np.maximum.reduceat(out, pairs, axis=0)[::2] + model.bias, 0)
+        scores[at : at + GROUP] = pooled @ model.dense + model.offset
+    return scores, text
 
 
 def text_features(raw: np.ndarray, where: np.ndarray, model: Model) -> np.ndarray:
