@@ -159,18 +159,20 @@ SQL: dict[str, str] = {
     "op12_jaccard": r"""
         WITH RECURSIVE words AS (
             SELECT doc_id, regexp_extract_all(coalesce(""" + _LOWERED + r""", ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
-        shingles AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                   ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
-            FROM words),
-        rows AS (SELECT doc_id, unnest(s) AS shingle FROM shingles),
+        placed AS (SELECT doc_id, len(w) AS size, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM words),
+        runs AS (
+            SELECT doc_id, i, size, CASE WHEN size < 4 THEN string_agg(word, ' ') OVER own
+                   ELSE word || ' ' || lead(word) OVER own || ' ' || lead(word, 2) OVER own || ' ' || lead(word, 3) OVER own END AS shingle
+            FROM placed WINDOW own AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)),
+        rows AS (SELECT DISTINCT doc_id, shingle FROM runs WHERE i <= greatest(size - 3, 1)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM rows GROUP BY 1),
         met AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared
                 FROM rows AS a JOIN rows AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-        links AS (SELECT u, v FROM met JOIN shingles AS x ON x.doc_id = u JOIN shingles AS y ON y.doc_id = v
-                  WHERE 100 * shared >= 85 * (len(x.s) + len(y.s) - shared)),
-        reach AS (SELECT doc_id, doc_id AS low FROM shingles UNION SELECT links.u, reach.low FROM reach JOIN links ON links.v = reach.doc_id)
-        SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id
-        FROM shingles JOIN (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
+        links AS (SELECT u, v FROM met JOIN sizes AS x ON x.doc_id = u JOIN sizes AS y ON y.doc_id = v
+                  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+        reach AS (SELECT doc_id, doc_id AS low FROM words UNION SELECT links.u, reach.low FROM reach JOIN links ON links.v = reach.doc_id)
+        SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
+        FROM (SELECT doc_id, min(low) AS component_id FROM reach GROUP BY 1) LEFT JOIN sizes USING (doc_id)""",
     "op13_search": r"""
         WITH terms AS (
             SELECT doc_id, unnest(regexp_extract_all(""" + _LOWERED + r""", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
