@@ -70,16 +70,29 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# Lets Spark delete a write's own shuffle files as soon as the write has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame, purpose: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, fixes nondeterministic columns, survives lost executors, and
     gives the planner real file sizes, so that Spark's own broadcast threshold
-    decides on measured bytes.
+    decides on measured bytes. The shuffles behind it are deleted at once: the
+    table stands for them.
     """
     spark = df.sparkSession
     path = new_folder(spark, purpose)
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
