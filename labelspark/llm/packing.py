@@ -24,14 +24,62 @@ TIERS = (128, 256, 512, 1024)
 END_ID = 0
 GROUP_TOKENS = 65_536  # tokens of one step group
 POOL = 2_048  # rests that a task holds before it packs them
-MEMO_WORDS = 1_000_000  # pre-tokens a worker remembers before it starts anew
+MEMO_WORDS = 400_000  # pre-tokens a worker remembers before it starts anew
 EMIT_TOKENS = 500_000
 
-# Byte-level BPE splits a text by this pattern first and encodes each part alone.
-# The classes of the pattern are those of the vocabulary's own, for texts of
-# ASCII and Latin letters; any other text goes to the tokenizer whole.
-_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# Byte-level BPE splits a text first and encodes each part alone. Parts are found here
+# for texts of ASCII and Latin letters; any other text goes to the tokenizer whole.
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
+_BLANK, _LETTER, _DIGIT, _MARK = range(4)
+_CLASS = np.full(256, _MARK, np.uint8)
+_CLASS[[0x09, 0x0A, 0x0D, 0x20]] = _BLANK
+_CLASS[48:58] = _DIGIT
+_CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_JOINED = 256  # pre-tokens that are encoded in one string
+BLOCK_CHARS = 500_000  # characters of the texts that are split together
+
+
+def part_starts(raw: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Where the parts of texts begin, for the rules of the vocabulary's own splitter.
+
+    A part is a run of letters, of digits or of other marks, with one blank space
+    before it; an apostrophe that begins a run stands with s, t, m, d, re, ve or ll
+    after it; other white space is one part, but for its last character where a
+    text goes on. Parts cover the texts without gaps.
+    """
+    n = len(raw)
+    if not n:
+        return np.zeros(0, np.int64)
+    kind = _CLASS[raw]
+    begins = np.zeros(n + 1, bool)
+    begins[where[:-1][where[1:] > where[:-1]]] = True
+    text_start = begins.copy()
+    text_start[n] = True
+    begins[1:n] |= kind[1:] != kind[:-1]
+    begins[n] = True
+    runs = np.flatnonzero(begins)
+    start, end = runs[:-1], runs[1:]
+    marked = begins[:n].copy()
+    # the last blank before a run: a space joins it, another one stands alone
+    before = (kind[start] == _BLANK) & ~text_start[end]
+    last, follow = end[before] - 1, end[before]
+    marked[last] = True
+    marked[follow[raw[last] == 0x20]] = False
+    # apostrophes: alone in their run, first in their part, letters after them
+    quote = (raw[start] == 0x27) & (end - start == 1) & ~text_start[end] & marked[start]
+    at = start[quote]
+    at = at[kind[at + 1] == _LETTER]
+    if len(at):
+        stop = runs[np.searchsorted(runs, at + 1, "right")]
+        one, two = raw[at + 1], raw[np.minimum(at + 2, n - 1)]
+        size = np.isin(one, np.frombuffer(b"stmd", np.uint8)).astype(np.int64)
+        pair = (stop - at > 2) & (((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C))
+        size[pair] = 2
+        at, stop, size = at[size > 0], stop[size > 0], size[size > 0]
+        marked[at + 1] = False
+        rest = at + 1 + size
+        marked[rest[rest < stop]] = True
+    return np.flatnonzero(marked)
 
 
 class _Memo(dict):
@@ -56,6 +104,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a token of a byte-level vocabulary has one character a byte
+        vocabulary = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.reset()
 
     def reset(self) -> None:
@@ -64,17 +116,23 @@ class Encoder:
         self.starts = self.sizes = np.zeros(0, np.int64)
 
     def learn(self) -> None:
-        """Encode the queued pre-tokens. Those of a blank and letters stay apart
-        when they are joined, so one call encodes them all."""
+        """Encode the queued pre-tokens. Those of a blank and letters stay apart when
+        they are joined; their tokens are told apart by their bytes."""
         queue, self.memo.queue = self.memo.queue, []
         plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in queue), bool, len(queue))
-        joined = "".join(w for w, p in zip(queue, plain) if p)
-        found = self.tokenizer.encode(joined, add_special_tokens=False)
-        others = self.tokenizer.encode_batch([w for w, p in zip(queue, plain) if not p], add_special_tokens=False)
+        together = [w for w, p in zip(queue, plain) if p]
+        joined = ["".join(together[i : i + _JOINED]) for i in range(0, len(together), _JOINED)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        others = self.tokenizer.encode_batch_fast([w for w, p in zip(queue, plain) if not p], add_special_tokens=False)
+        first = np.array([i for o in found for i in o.ids], np.uint32)
+        ends = np.cumsum([len(w.encode()) for w in together], dtype=np.int64)
+        upto = np.searchsorted(np.cumsum(self.bytes_of[first]), ends, "right")
+        if len(ends) and (np.cumsum(self.bytes_of[first])[upto - 1] != ends).any():
+            raise ValueError("the vocabulary does not encode word by word")
         sizes = np.zeros(len(queue), np.int64)
-        sizes[plain] = np.bincount(np.array(found.word_ids, np.int64), minlength=int(plain.sum()))
+        sizes[plain] = np.diff(np.r_[0, upto])
         sizes[~plain] = [len(o.ids) for o in others]
-        ids = np.array([*found.ids, *(i for o in others for i in o.ids)], np.uint32)
+        ids = np.concatenate([first, np.array([i for o in others for i in o.ids], np.uint32)])
         # joined ones lie first
         order = np.argsort(~plain, kind="stable")
         starts = np.empty(len(queue), np.int64)
@@ -83,27 +141,51 @@ class Encoder:
         self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text. Distinct parts of all of them are looked up once."""
         if len(self.memo) > MEMO_WORDS:
             self.reset()
-        numbers: list = []
-        for text in texts:
-            if _OTHER.search(text) or any(s in text for s in self.special):
-                numbers.append(None)
-            else:
-                parts = _PARTS.findall(text)
-                numbers.append(np.fromiter(map(self.memo.__getitem__, parts), np.int64, len(parts)))
+        whole = [bool(_OTHER.search(t)) or any(s in t for s in self.special) for t in texts]
+        parts = [t.encode() for t, w in zip(texts, whole) if not w]
+        raw = np.frombuffer(b"".join(parts), np.uint8)
+        where = np.cumsum([0, *map(len, parts)])
+        begin = part_starts(raw, where)
+        offsets = np.append(begin, len(raw)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(raw)).dictionary_encode()
+        words = pieces.dictionary.to_pylist()
+        number = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
         if self.memo.queue:
             self.learn()
-        out = []
-        for text, own in zip(texts, numbers):
-            if own is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            starts, sizes = self.starts[own], self.sizes[own]
-            total = int(sizes.sum())
-            shift = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
-            out.append(self.pool[np.arange(total) + shift])
-        return out
+        used = number[pieces.indices.to_numpy()]
+        starts, sizes = self.starts[used], self.sizes[used]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.arange(int(sizes.sum())) + np.repeat(starts - (ends - sizes), sizes)]
+        cuts = np.r_[0, ends][np.searchsorted(begin, where)].tolist()
+        plain = iter(ids[a:b] for a, b in zip(cuts, cuts[1:]))
+        direct = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
+        return [np.array(next(direct).ids, np.uint32) if w else next(plain) for w in whole]
+
+
+def text_runs(texts: list) -> list[tuple[int, int]]:
+    """(first, end) of runs of texts of about BLOCK_CHARS characters, 256 at most."""
+    runs, first, held = [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= BLOCK_CHARS or i + 1 - first == 256:
+            runs.append((first, i + 1))
+            first, held = i + 1, 0
+    return runs + [(first, len(texts))] if first < len(texts) else runs
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's own encoder. Workers outlive tasks, so the words that one task
+    met need not be encoded again by the next; MEMO_WORDS bounds what is kept."""
+    if path not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Packer:
@@ -124,8 +206,10 @@ class Packer:
         return (take, self.number - 1, doc, start), (length - take, self.number, doc, start + take)
 
     def pack(self, last: bool = False):
-        """Yield full windows as lists of rests; the others wait, unless ``last``:
-        then they are cut into sequences whose sizes are powers of two."""
+        """Yield full windows as lists of rests. What fills no window waits; where
+        that is over half of what may be held, as with rests that are all longer
+        than half a window, it is cut into windows of the largest tier but for
+        less than one. With ``last`` all is cut, the end into powers of two."""
         waiting: list[tuple] = []
         pool = sorted(self.rests)  # by length
         for tier, below in zip(self.tiers[::-1], [*self.tiers[-2::-1], 0]):
@@ -147,24 +231,26 @@ class Packer:
                 else:
                     yield window
         self.rests = waiting
-        if last:
-            yield from self._powers()
+        if last or 2 * len(waiting) > self.limit:
+            yield from self._filled(1 if last else self.tiers[-1])
 
-    def _powers(self):
-        rests, self.rests = sorted(self.rests, reverse=True), []
+    def _filled(self, least: int):
+        """Windows of the largest tier, then of powers of two down to ``least``."""
+        rests = sorted(self.rests)  # the longest is the next
         total = sum(r[0] for r in rests)
-        while total:
+        while total >= least:
             size = min(self.tiers[-1], 1 << (total.bit_length() - 1))
             window, gap = [], size
             while gap:
-                rest = rests.pop(0)
+                rest = rests.pop()
                 if rest[0] > gap:
                     rest, left = self._cut(rest, gap)
-                    rests.insert(0, left)
+                    rests.append(left)
                 window.append(rest)
                 gap -= rest[0]
             total -= size
             yield window
+        self.rests = rests
 
 
 def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id: int = END_ID) -> DataFrame:
@@ -176,15 +262,16 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
     empty one has only that. No sequence is padded: each fills a tier, or, at the
     end of a task, a smaller power of two. Repeated rows and null ids are packed
     like others; other columns are not read. Each task packs its own partition
-    in one pass and holds POOL rests at most, so the result depends on how the
-    input is split; a scan is split alike when a task is run again.
+    in one pass and holds about POOL rests at most, so the result depends on how the
+    input is split; a scan is split alike when a task is run again. The last step
+    group of a task and tier is shorter than the others.
     """
     size = tiers[-1]
     if any(t & (t - 1) for t in tiers) or list(tiers) != sorted(tiers):
         raise ValueError("tiers must be ascending powers of two")
 
     def run(batches):
-        encoder, packer = Encoder(tokenizer), Packer(tiers)
+        encoder, packer = encoder_of(tokenizer), Packer(tiers)
         base, counts = TaskContext.get().partitionId() << 33, {}
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
         rows: list[tuple] = []
@@ -214,8 +301,8 @@ def pack(docs: DataFrame, tokenizer: str, tiers: tuple[int, ...] = TIERS, end_id
         for batch in batches:
             kind = batch.schema.field(0).type
             ids_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                for doc_id, ids in zip(ids_[at : at + 64], encoder.encode([t or "" for t in texts[at : at + 64]])):
+            for at, to in text_runs(texts):
+                for doc_id, ids in zip(ids_[at:to], encoder.encode([t or "" for t in texts[at:to]])):
                     doc = (doc_id, np.append(ids, np.uint32(end_id)))
                     whole = len(doc[1]) // size * size
                     for start in range(0, whole, size):

@@ -3,11 +3,14 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from labelspark.llm import packing
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+SPLITTER = Tokenizer.from_file(PATH).pre_tokenizer
 
 
 def check(pieces, texts):
@@ -70,6 +73,36 @@ def test_encoder_forgets_and_agrees(spark, monkeypatch):
             assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts[at : at + 20]]
 
 
+@given(st.text(st.sampled_from("' stmdrevlaZé9_.,\n\t \r\"-"), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_parts_are_those_of_the_vocabulary(text):
+    raw = text.encode()
+    found = packing.part_starts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist()
+    assert [raw[a:b].decode() for a, b in zip(found, [*found[1:], len(raw)])] == [text[a:b] for _, (a, b) in SPLITTER.pre_tokenize_str(text)]
+
+
+def test_parts_of_several_texts():
+    texts = [b"it's", b"", b" a", b"b \n", b" ", b"'t", b"x'", b"s  y"]
+    where = np.cumsum([0, *map(len, texts)])
+    found = packing.part_starts(np.frombuffer(b"".join(texts), np.uint8), where).tolist()
+    want = []
+    for text, at in zip(texts, where):
+        want += [at + i for i in packing.part_starts(np.frombuffer(text, np.uint8), np.array([0, len(text)])).tolist()]
+    assert found == want
+
+
+def test_rests_beyond_half_a_window_do_not_pile_up():
+    packer, windows = packing.Packer((4, 8, 16), 10), []
+    for i in range(200):
+        packer.add(i, 0, 9 + i % 7)
+        if len(packer.rests) >= 10:
+            windows += packer.pack()
+            assert len(packer.rests) <= 5
+    assert all(sum(r[0] for r in w) == 16 for w in windows)
+    windows += packer.pack(last=True)
+    assert sum(r[0] for w in windows for r in w) == sum(9 + i % 7 for i in range(200))
+
+
 def test_packer_fills_gaps_and_cuts():
     packer = packing.Packer((4, 8, 16), 10)
     for i, n in enumerate([15, 9, 7, 5, 3, 3, 2, 1, 1]):
