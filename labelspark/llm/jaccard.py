@@ -8,7 +8,8 @@ bound rules out are verified on the sets themselves.
 
 No task can hold all points. Sets meet under shingles: with all shingles in one
 order, frequent ones last, two sets that are similar enough share one of the first
-few of each. The documents of a shingle make one tree, or several of bounded size.
+few of each. The sets of a shingle make one tree, or several of bounded size;
+shingles with the same sets make one between them.
 """
 
 from __future__ import annotations
@@ -25,9 +26,8 @@ from labelspark.llm.components import components
 from labelspark.session import settle
 
 WORDS, PERCENT = 4, 85
-GROUPS = 64  # coordinates of a point
+GROUPS = 256  # coordinates of a point
 LEAF, FANOUT = 16, 16
-FIRST = 3  # shingles under which sets meet before the others
 # A shingle with more sets than this is cut into blocks of about half as many.
 TREE_ROWS = 4_096
 SMALL = 8  # sets of a shingle that are compared without a tree
@@ -110,19 +110,22 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def counted(found: np.ndarray) -> np.ndarray:
-    """A set as a point: shingles in each group, as 16-bit numbers. Sets beyond
-    65,535 shingles are counted in larger units, rounded up, which keeps the bound."""
+def counted(found: np.ndarray) -> bytes:
+    """A set as a point: its shingles in each group. A byte each, after one that
+    tells the unit as a power of two: large counts are rounded up to whole units,
+    which keeps the bound."""
     counts = np.bincount((found & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS)
-    shift = max(0, len(found).bit_length() - 16)
-    return (-(-counts >> shift)).astype(np.uint16) if shift else counts.astype(np.uint16)
+    unit = max(0, int(counts.max()).bit_length() - 8)
+    while -(-int(counts.max()) >> unit) > 255:
+        unit += 1
+    return bytes([unit]) + (-(-counts >> unit)).astype(np.uint8).tobytes()
 
 
-def points_of(stored: list[bytes], n: np.ndarray) -> np.ndarray:
+def points_of(stored: list[bytes]) -> np.ndarray:
     """(sets, GROUPS) coordinates from their stored form."""
-    points = np.frombuffer(b"".join(stored), np.uint16).reshape(-1, GROUPS).astype(np.int32)
-    shift = np.array([max(0, int(x).bit_length() - 16) for x in n]) if len(n) and n.max() > 65_535 else None
-    return points if shift is None else points << shift[:, None]
+    held = np.frombuffer(b"".join(stored), np.uint8).reshape(-1, GROUPS + 1)
+    points = held[:, 1:].astype(np.int32)
+    return points << held[:, :1] if held[:, 0].any() else points
 
 
 class CountTree:
@@ -183,7 +186,8 @@ class CountTree:
         return np.concatenate(none + [q for q, _ in found]), np.concatenate(none + [p for _, p in found])
 
     def forest(self) -> tuple[np.ndarray, np.ndarray]:
-        """A spanning forest of the pairs that no bound rules out."""
+        """A spanning forest of the pairs that no bound rules out, as far as every
+        tree of it is reached from its largest set."""
         open_ = np.ones(len(self.n), bool)
         us, vs = [], []
         for seed in np.argsort(-self.n, kind="stable"):
@@ -202,12 +206,24 @@ class CountTree:
         return np.concatenate(none + us), np.concatenate(none + vs)
 
 
+def likeness(points: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(most shingles that pairs can share, the similarity that would be)."""
+    most = np.empty(len(a), np.int64)
+    step = max(1, PAIR_CELLS // GROUPS)
+    for at in range(0, len(a), step):
+        own = slice(at, at + step)
+        most[own] = np.minimum(points[a[own]], points[b[own]]).sum(axis=1)
+    most = np.minimum(most, np.minimum(n[a], n[b]))
+    return most, most / (n[a] + n[b] - most)
+
+
 def _pairs(across: bool, percent: int):
     """Over rows (token, tile, node, n, label, major, points) sorted by token and
-    tile: candidate pairs of each group.
+    tile: candidate pairs (u, v, likeness) of each group.
 
     ``across`` asks for all pairs of different labels; ``major`` marks rows that
-    need not meet each other. Otherwise a forest is enough.
+    need not meet each other. Otherwise the likeliest pair of each set of a small
+    group, or a forest of a large one, is enough.
     """
 
     def of(group: np.ndarray, rows: dict[str, np.ndarray], points: np.ndarray):
@@ -216,38 +232,42 @@ def _pairs(across: bool, percent: int):
         starts, ends = np.r_[0, cut], np.r_[cut, len(group)]
         sizes = ends - starts
         small = np.repeat(sizes <= SMALL, sizes)
-        us, vs = [], []
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         for d in range(1, SMALL):  # small groups: all at once, by distance in the sort order
             if len(group) <= d:
                 break
-            at = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
-            x, y = at, at + d
+            x = np.flatnonzero((group[d:] == group[:-d]) & small[d:])
+            y = x + d
             close = 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            x, y = x[close], y[close]
             if across:
-                apart = label[x] != label[y]
-                x, y = x[apart], y[apart]
-            for block in range(0, len(x), PAIR_CELLS // GROUPS):
-                a, b = x[block : block + PAIR_CELLS // GROUPS], y[block : block + PAIR_CELLS // GROUPS]
-                hit = np.minimum(points[a], points[b]).sum(axis=1) >= least_overlap(n[a], n[b], percent)
-                us.append(node[a[hit]])
-                vs.append(node[b[hit]])
+                close &= label[x] != label[y]
+            found.append((x[close], y[close]))
         for g in np.flatnonzero(sizes > SMALL):
             own = slice(starts[g], ends[g])
             if across and (label[own] == label[starts[g]]).all():
                 continue
             tree = CountTree(points[own], n[own], percent)
             if across:
-                query, point = tree.search(np.flatnonzero(~rows["major"][own]))
-                apart = label[own][query] != label[own][point]
-                query, point = query[apart], point[apart]
+                x, y = tree.search(np.flatnonzero(~rows["major"][own]))
+                apart = label[own][x] != label[own][y]
+                x, y = x[apart], y[apart]
             else:
-                query, point = tree.forest()
-            us.append(node[own][query])
-            vs.append(node[own][point])
-        u, v = (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64),) * 2
-        u, v = np.minimum(u, v), np.maximum(u, v)
-        return np.unique(np.column_stack([u, v])[u < v], axis=0)
+                x, y = tree.forest()
+            found.append((x + starts[g], y + starts[g]))
+        x = np.concatenate([np.zeros(0, np.int64), *(f[0] for f in found)])
+        y = np.concatenate([np.zeros(0, np.int64), *(f[1] for f in found)])
+        most, like = likeness(points, n, x, y)
+        good = (most >= least_overlap(n[x], n[y], percent)) & (node[x] != node[y])
+        x, y, like = x[good], y[good], like[good]
+        if not across:  # the likeliest partner of each member, whichever side it stands on
+            side, other, score = np.r_[x, y], np.r_[y, x], np.r_[like, like]
+            order = np.lexsort((node[other], -score, side))
+            first = order[np.r_[True, np.diff(side[order]) != 0]] if len(order) else order
+            x, y, like = side[first], other[first], score[first]
+        u, v = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+        order = np.lexsort((v, u))
+        order = order[np.r_[True, (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)]] if len(order) else order
+        return u[order], v[order], like[order]
 
     def run(batches):
         held: tuple | None = None
@@ -256,7 +276,7 @@ def _pairs(across: bool, percent: int):
             keys, rows, points = held
             new = np.r_[True, (keys[1:upto] != keys[: upto - 1]).any(axis=1)]
             found = of(np.cumsum(new), {k: r[:upto] for k, r in rows.items()}, points[:upto])
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(f) for f in found], ["u", "v", "likeness"])
 
         for batch in batches:
             if not len(batch):
@@ -264,13 +284,14 @@ def _pairs(across: bool, percent: int):
             column = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             keys = np.column_stack([column["token"].to_numpy(), column["tile"].to_numpy().astype(np.int64)])
             rows = {f: column[f].to_numpy(zero_copy_only=False) for f in ("node", "n", "label", "major")}
-            points = points_of(column["points"].to_pylist(), rows["n"])
+            points = points_of(column["points"].to_pylist())
             if held is not None:
                 keys = np.concatenate([held[0], keys])
                 rows = {f: np.concatenate([held[1][f], r]) for f, r in rows.items()}
                 points = np.concatenate([held[2], points])
             held = (keys, rows, points)
-            last = int(np.flatnonzero((keys != keys[-1]).any(axis=1))[-1]) + 1 if (keys != keys[-1]).any() else 0
+            other = np.flatnonzero((keys != keys[-1]).any(axis=1))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
                 yield flush(last)
                 held = (keys[last:], {f: r[last:] for f, r in rows.items()}, points[last:])
@@ -317,118 +338,135 @@ def shingle_heat(docs: DataFrame, words: int) -> np.ndarray:
     return np.array([int(x).bit_length() for x in np.maximum(0, total - common)], np.uint8)
 
 
-def signatures(docs: DataFrame, words: int, percent: int, heat: np.ndarray) -> DataFrame:
+def signatures(docs: DataFrame, words: int) -> DataFrame:
     """``docs`` with n_shingles, set_key (16 bytes of a hash, null if the set is
-    empty), first (the prefix, eight bytes a shingle) and points in place of text."""
+    empty) and points in place of text."""
     others = [c for c in docs.columns if c != "text"]
     at = docs.columns.index("text")
 
     def run(batches):
         shingler = Shingler(words)
         for batch in batches:
-            n, keys, firsts, points = [], [], [], []
+            n, keys, points = [], [], []
             for found in shingler.sets(batch.column(at)):
-                size = len(found)
-                n.append(size)
-                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if size else None)
-                ranked = found
-                hot = heat[(found >> np.uint64(64 - HEAT_BITS)).astype(np.int64)]
-                if hot.any():
-                    ranked = found[np.argsort(hot, kind="stable")]
-                firsts.append(ranked[: prefix_size(size, percent)].tobytes() if size else b"")
-                points.append(counted(found).tobytes())
+                n.append(len(found))
+                keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+                points.append(counted(found))
             yield pa.RecordBatch.from_arrays(
-                [*[c for i, c in enumerate(batch.columns) if i != at], pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(firsts, pa.binary()), pa.array(points, pa.binary())],
-                [*others, "n_shingles", "set_key", "first", "points"],
-            )
+                [*[c for i, c in enumerate(batch.columns) if i != at], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(points, pa.binary())],
+                [*others, "n_shingles", "set_key", "points"],
+            )
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return map_arrow(docs, run, f"{kinds}, n_shingles long, set_key binary, first binary, points binary")
+    return map_arrow(docs, run, f"{kinds}, n_shingles long, set_key binary, points binary")
 
 
-def _postings(sets: DataFrame, limit: int | None, *carried: str) -> DataFrame:
-    """(token, carried…): a row for each shingle of the prefix, or the first few."""
+def postings(texts: DataFrame, words: int, percent: int, heat: np.ndarray) -> DataFrame:
+    """(token, node): a row for each shingle of the prefix of each set. The order of
+    shingles is that of ``heat``, then of their hashes: any order that is the same for
+    all sets will do, and this one puts frequent shingles last."""
 
     def run(batches):
+        shingler = Shingler(words)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                own = batch.slice(at, 512)
-                parts = [np.frombuffer(f, np.int64)[:limit] for f in own.column(0).to_pylist()]
-                place = pa.array(np.repeat(np.arange(len(own)), [len(p) for p in parts]))
-                tokens = pa.array(np.concatenate(parts)) if parts else pa.array([], pa.int64())
-                yield pa.RecordBatch.from_arrays([tokens, *[c.take(place) for c in own.columns[1:]]], ["token", *carried])
+            nodes, tokens, held = [], [], 0
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sets.select(*carried).schema)
-    return map_arrow(sets.select("first", *carried), run, f"token long, {kinds}")
+            def flush():
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], ["token", "node"])
+
+            for node, found in zip(batch.column(0).to_numpy().tolist(), shingler.sets(batch.column(1))):
+                if not len(found):
+                    continue
+                hot = heat[(found >> np.uint64(64 - HEAT_BITS)).astype(np.int64)]
+                ranked = found[np.argsort(hot, kind="stable")] if hot.any() else found
+                tokens.append(ranked[: prefix_size(len(found), percent)])
+                nodes.append(np.full(len(tokens[-1]), node, np.int64))
+                held += len(tokens[-1])
+                if held > 100_000:
+                    yield flush()
+                    nodes, tokens, held = [], [], 0
+            if tokens:
+                yield flush()
+
+    return map_arrow(texts.select("node", "text"), run, "token long, node long")
 
 
 def _grouped(rows: DataFrame, across: bool, percent: int) -> DataFrame:
-    """(u, v) candidates of rows (token, tile, node, n, label, major, points)."""
+    """(u, v, likeness) candidates of rows (token, tile, node, n, label, major, points)."""
     rows = rows.select("token", "tile", "node", F.col("n_shingles").alias("n"), "label", "major", "points")
     dealt = rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
-    return map_arrow(dealt, _pairs(across, percent), "u long, v long").distinct()
+    return map_arrow(dealt, _pairs(across, percent), "u long, v long, likeness double")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int, place: list[str]) -> DataFrame:
-    """The pairs whose sets are similar enough. Sets are made again from the texts
-    of those that stand in a pair, one text for each."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = docs.select("text", *place).join(sets.select("node", *place).join(wanted, "node"), place).select("node", "text")
-
-    def run(batches):
-        shingler = Shingler(words)
-        for batch in batches:
-            found = [s.tobytes() for s in shingler.sets(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "items"])
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose sets are similar enough.
 
-    known = settle(map_arrow(own, run, "node long, items binary"), "sets")
+    The text of each v travels to its u, whose own text comes once, or once for
+    each part of a u with more than TREE_ROWS pairs. Sets are made again there.
+    """
+    counts = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / TREE_ROWS).cast("int").alias("parts"))
+    whole = texts.select("node", "text")
+    hubs = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(whole.withColumnRenamed("node", "u"), "u")
+    many = settle(counts.filter(F.col("parts") > 1), "hubs")
+    part = F.pmod(F.xxhash64("v"), F.coalesce("parts", F.lit(1))).cast("int")
+    ends = pairs.select("u", "v").join(many, "u", "left").withColumn("part", part).join(whole.withColumnRenamed("node", "v"), "v")
+    both = hubs.select("u", "part", F.lit(None).cast("long").alias("v"), "text").unionAll(ends.select("u", "part", "v", "text"))
+    dealt = both.repartition("u", "part").sortWithinPartitions("u", "part", F.asc_nulls_first("v"))
 
     def compare(batches):
+        shingler, hub, own = Shingler(words), None, None
         for batch in batches:
             us, vs = [], []
-            for u, v, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                if shared >= least_overlap(len(x), len(y), percent):
+            for u, v, found in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), shingler.sets(batch.column(3))):
+                if v is None:
+                    hub, own = u, found
+                    continue
+                if u != hub:
+                    raise ValueError("a pair came before its first text")
+                shared = len(own) + len(found) - len(np.union1d(own, found))
+                if shared >= least_overlap(len(own), len(found), percent):
                     us.append(u)
                     vs.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    left = known.select(F.col("node").alias("u"), F.col("items").alias("a"))
-    right = known.select(F.col("node").alias("v"), F.col("items").alias("b"))
-    met = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-    return settle(map_arrow(met, compare, "u long, v long"), "verified")
+    return settle(map_arrow(dealt, compare, "u long, v long"), "verified")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(token, blocks) of the shingles with more sets than one tree may hold."""
-    counts = rows.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > TREE_ROWS)
-    return counts.select("token", F.ceil(F.col("k") / (TREE_ROWS // 2)).cast("int").alias("blocks"))
+def _meetings(texts: DataFrame, words: int, percent: int, heat: np.ndarray) -> DataFrame:
+    """(token, node, k): a stored table of the shingles that k > 1 sets have in
+    their prefixes, one for each different collection of sets."""
+    found = postings(texts, words, percent, heat)
+    shared = settle(found.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > 1), "shared")
+    members = settle(found.join(shared, "token"), "members")
+    same = [F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")]
+    of = members.groupBy("token").agg(F.max("k").alias("k"), *same)
+    kept = settle(of.groupBy("k", "a", "b").agg(F.min("token").alias("token")).select("token"), "kept")
+    return settle(members.join(kept, "token"), "meetings").select("token", "node", "k")
 
 
-def _first_links(sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates under the first few shingles of each set. Crowded shingles are cut
-    into blocks at random: what that misses is left to ``_open_links``."""
-    rows = _postings(sets, FIRST, "node", "n_shingles", "points")
-    crowded = settle(_blocks(rows.select("token")), "crowded")
-    block = F.pmod(F.xxhash64("node", "token"), F.col("blocks"))
-    rows = rows.join(crowded, "token", "left").withColumn("tile", F.coalesce(block, F.lit(0)).cast("int"))
-    rows = rows.withColumns({"label": F.lit(0).cast("long"), "major": F.lit(False)})
-    return _grouped(rows, False, percent)
+def _likely_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the likeliest partner of each set, as far as trees of bounded size
+    show it. Crowded shingles are cut into blocks at random; what that misses is left
+    to ``_open_links``."""
+    blocks = F.ceil(F.col("k") / (TREE_ROWS // 2)).cast("int")
+    tile = F.when(F.col("k") > TREE_ROWS, F.pmod(F.xxhash64("node", "token"), blocks)).otherwise(F.lit(0)).cast("int")
+    rows = meetings.withColumn("tile", tile).join(sets.select("node", "n_shingles", "points"), "node")
+    found = _grouped(rows.withColumns({"label": F.lit(0).cast("long"), "major": F.lit(False)}), False, percent)
+    ends = found.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "likeness")
+    best = ends.groupBy("node").agg(F.max(F.struct("likeness", (-F.col("u")).alias("u"), (-F.col("v")).alias("v"))).alias("best"))
+    return best.select((-F.col("best.u")).alias("u"), (-F.col("best.v")).alias("v")).distinct()
 
 
-def _open_links(sets: DataFrame, percent: int) -> DataFrame:
-    """All candidates between different labels, under all prefix shingles.
+def _open_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(u, v): all candidates between different labels, under all prefix shingles.
 
     Shingles whose sets have one label are left out by minimum and maximum. In a
     crowded one, sets of the commonest label need not meet: each goes to one block,
     the others to all, so rows are its sets plus the others times the blocks.
     """
-    tokens = _postings(sets, None, "node", "label")
-    open_ = tokens.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("k"))
-    open_ = settle(open_.filter(F.col("low") != F.col("high")).select("token", "k"), "open")
-    members = settle(tokens.join(open_, "token").select("token", "node", "label", "k"), "members")
+    labelled = settle(meetings.join(sets.select("node", "label"), "node"), "labelled")
+    open_ = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    members = settle(labelled.join(open_.filter(F.col("low") != F.col("high")).select("token"), "token"), "open")
     crowded = members.filter(F.col("k") > TREE_ROWS).groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
     most = F.max(F.struct("n", "label")).alias("most")
     crowded = crowded.groupBy("token").agg(most, F.max("k").alias("k")).select(
@@ -439,9 +477,9 @@ def _open_links(sets: DataFrame, percent: int) -> DataFrame:
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(major, own).otherwise(every)
-    rows = members.join(crowded, "token", "left").select("token", "node", major.alias("major"), F.explode(tiles).alias("tile"))
-    rows = rows.join(sets.select("node", "n_shingles", "label", "points"), "node")
-    return _grouped(rows, True, percent)
+    rows = members.join(crowded, "token", "left").select("token", "node", "label", major.alias("major"), F.explode(tiles).alias("tile"))
+    rows = rows.join(sets.select("node", "n_shingles", "points"), "node")
+    return _grouped(rows, True, percent).select("u", "v").distinct()
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -458,9 +496,9 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     repeated rows come back as often as they came in; no rows give none. Other
     columns are not read. Shingles are compared by 64-bit hashes.
 
-    Every similar pair shares a prefix shingle and is either in one component after
-    the first round or verified in the second, so no link between components is
-    lost.
+    In a first round each set is verified with its likeliest partner only; that
+    joins most of each component. In the second, all pairs of different components
+    that no bound rules out are verified, so no link between components is lost.
     """
     names = []
     for name in ("_file", "_row"):
@@ -472,17 +510,19 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         rows = docs.select("doc_id", "text", *place)
     except AnalysisException:  # not from files: a row has no place yet
         rows = settle(docs.select("doc_id", "text"), "documents").select("doc_id", "text", *place)
-    marked = settle(signatures(rows, words, percent, shingle_heat(rows, words)), "signatures")
+    marked = settle(signatures(rows, words), "signatures")
     chosen = F.min(F.struct(*names)).alias("place")
-    first = F.any_value(F.struct("n_shingles", "first", "points")).alias("one")
-    distinct = marked.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), chosen, first)
-    sets = settle(
-        distinct.select("set_key", "first_doc", "place.*", "one.*").withColumn("node", F.monotonically_increasing_id()), "sets"
-    )
-    linked = components(_verified(settle(_first_links(sets, percent), "pairs"), sets, rows, words, percent, names))
-    label = F.coalesce("root", "node").alias("label")
-    sets = settle(sets.join(linked, "node", "left").select(*sets.columns, label), "labelled")
-    more = _verified(settle(_open_links(sets, percent), "pairs"), sets, rows, words, percent, names)
+    one = F.any_value("points").alias("points"), F.max("n_shingles").alias("n_shingles")
+    distinct = marked.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), chosen, *one)
+    sets = distinct.select("set_key", "first_doc", "place.*", "n_shingles", "points").withColumn("node", F.monotonically_increasing_id())
+    sets = settle(sets, "sets")
+    texts = settle(rows.select("text", *names).join(sets.select("node", *names), names).select("node", "text"), "texts")
+    meetings = _meetings(texts, words, percent, shingle_heat(texts, words))
+    texts = settle(texts.join(meetings.select("node").distinct(), "node"), "texts")
+    linked = components(_verified(settle(_likely_links(meetings, sets, percent), "pairs"), texts, words, percent))
+    sets = sets.join(linked, "node", "left").select("node", "set_key", "first_doc", "n_shingles", "points", F.coalesce("root", "node").alias("label"))
+    sets = settle(sets, "labelled")
+    more = _verified(settle(_open_links(meetings, sets, percent), "pairs"), texts, words, percent)
     of = sets.select("node", "label")
     edges = more.join(of.select(F.col("node").alias("u"), F.col("label").alias("a")), "u").join(
         of.select(F.col("node").alias("v"), F.col("label").alias("b")), "v"

@@ -92,7 +92,7 @@ def test_no_pair_escapes_the_tree():
     plain = [plain_set(t) for t in texts]
     assert [len(s) for s in sets] == [len(p) for p in plain]
     n = np.array([len(s) for s in sets])
-    points = jaccard.points_of([jaccard.counted(s).tobytes() for s in sets], n)
+    points = jaccard.points_of([jaccard.counted(s) for s in sets])
     tree = jaccard.CountTree(points, n, 85)
     query, point = tree.search(np.arange(len(n)))
     found = set(zip(query.tolist(), point.tolist()))
@@ -107,8 +107,8 @@ def test_no_pair_escapes_the_tree():
 
 def test_points_of_very_large_sets_stay_bounds():
     rng = np.random.default_rng(1)
-    big = np.unique(rng.integers(0, 1 << 62, 300_000).astype(np.uint64))
-    other = np.r_[big[:250_000], rng.integers(0, 1 << 62, 9).astype(np.uint64)]
+    big = np.unique(rng.integers(0, 1 << 62, 900_000).astype(np.uint64))
+    other = np.r_[big[:700_000], rng.integers(0, 1 << 62, 9).astype(np.uint64)]
     n = np.array([len(big), len(other)])
-    points = jaccard.points_of([jaccard.counted(big).tobytes(), jaccard.counted(other).tobytes()], n)
-    assert np.minimum(points[0], points[1]).sum() >= 250_000 and (points.sum(axis=1) >= n).all()
+    points = jaccard.points_of([jaccard.counted(big), jaccard.counted(other)])
+    assert np.minimum(points[0], points[1]).sum() >= 700_000 and (points.sum(axis=1) >= n).all()
