@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 from labelspark import queries as Q
+from labelspark.operators import sketches as K
 
 # --- shared pieces ---------------------------------------------------------
 
@@ -435,6 +436,19 @@ def oracle_sql() -> dict[str, str]:
       round(avg(value), 6) AS time_avg_ms_per_seq, round(quantile_cont(value, 0.5), 6) AS time_median_ms_per_seq,
       round(stddev_pop(value), 6) AS time_std_ms_per_seq, round(quantile_cont(value, 0.95), 6) AS time_p95_ms_per_seq
       FROM events GROUP BY 1, 2"""
+    sql["distinct_rollup"] = f"""WITH {CORPUS}, w AS (SELECT split, source, unnest({LOWER_TOKENS}) AS word FROM corpus)
+      SELECT split, source, count(*) AS n_rows, count(DISTINCT word) AS n_exact, true AS close FROM w GROUP BY ROLLUP (split, source)"""
+    sql["latency_sketch"] = """SELECT event_type, (user_id % 4)::VARCHAR AS length, count(value) AS num_iter, round(avg(value), 6) AS mean,
+      round(stddev_pop(value), 6) AS deviation, true AS median_close, true AS p95_close FROM events GROUP BY 1, 2"""
+    weight = " + ".join(f"(d >= {cut})::INT" for cut in K.POISSON)
+    sql["mean_intervals"] = f"""WITH b AS (SELECT unnest(range({K.REPLICATES})) AS b),
+      d AS (SELECT event_type AS model, value, b, ('0x' || substr(md5('bootstrap:' || b // 4 || ':' || event_id), 8 * (b % 4) + 1, 8))::BIGINT AS d
+        FROM events, b WHERE value IS NOT NULL),
+      s AS (SELECT model, b, sum(value * ({weight})) AS s, sum({weight}) AS k FROM d GROUP BY 1, 2),
+      m AS (SELECT model, list_sort(list(s / k) FILTER (k > 0)) AS m FROM s GROUP BY 1)
+      SELECT model, round(avg(value), 6) AS mean, round(any_value(m[greatest(ceil(len(m) * 0.05::DOUBLE), 1)::INT]), 6) AS low,
+        round(any_value(m[greatest(ceil(len(m) * 0.95::DOUBLE), 1)::INT]), 6) AS high
+      FROM m JOIN events ON event_type = model GROUP BY 1"""
     sql["mean_by_group"] = """SELECT (user_id % 3)::VARCHAR AS device, (user_id % 4)::VARCHAR AS length, event_type AS model,
       round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2, 3"""
     sql["named_models"] = """SELECT CASE event_type WHEN 'click' THEN 'large' WHEN 'view' THEN 'base' END AS model, count(*) AS n
@@ -574,6 +588,9 @@ def oracle_sql() -> dict[str, str]:
       FROM orders GROUP BY ALL"""
     sql["labelled_lines_file"] = f"""WITH {LABELLED} SELECT array_to_string(list_transform(labels, lambda l: '__label__' || l), ' ') AS labels,
       count(*) AS n, sum(length({BAG_TEXT}))::BIGINT AS n_chars FROM labelled GROUP BY 1"""
+    sql["labelled_lines_format"] = sql["labelled_lines_file"]
+    sql["replaced_table"] = """SELECT version, o_orderstatus, count(*) AS n, sum(o_orderkey)::BIGINT AS keys
+      FROM orders, (SELECT unnest(['old', 'new']) AS version) WHERE version = 'old' OR o_orderstatus <> 'O' GROUP BY ALL"""
     sql["tokenised_source"] = f"""WITH t AS (SELECT lang AS source, {SPLIT.format('doc_id')} AS split, string_split(text, ' ') AS ws FROM documents)
       SELECT source, split, count(*) AS n, sum(len(ws))::BIGINT AS n_tokens,
         sum(list_sum(list_transform(ws, lambda w: length(w) % 4)))::BIGINT AS tags FROM t GROUP BY ALL"""
@@ -604,5 +621,7 @@ def oracle_sql() -> dict[str, str]:
     sql["annotate_stream"] = """SELECT doc_id, md5('### Analysis' || chr(10) || chr(10) || length(text) || chr(10) || chr(10) || '### Result' ||
       chr(10) || chr(10) || 'Brand#' || length(text) % 30) AS output_md5 FROM documents d
       WHERE NOT EXISTS (FROM documents e WHERE e.text = d.text AND e.doc_id % 3 < d.doc_id % 3)"""
+    sql["first_arrivals"] = """SELECT min_by(event_id, (ts, event_id)) AS event_id, text
+      FROM (SELECT *, event_type || ' ' || user_id % 50 AS text FROM events) GROUP BY text"""
     sql["stream_dedup"] = "SELECT DISTINCT md5(text) AS text_md5 FROM documents"
     return sql

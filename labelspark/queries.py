@@ -21,6 +21,7 @@ from labelspark.operators import profile as P
 from labelspark.operators import prompt as Q
 from labelspark.operators import reshape as R
 from labelspark.operators import sample as SA
+from labelspark.operators import sketches as K
 from labelspark.operators import weights as WE
 from labelspark.plans import flows
 from labelspark.plans.order import first_rows
@@ -326,6 +327,51 @@ def latency_summary(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("event_type", "length", "num_iter", *[r6(c, c) for c in names])
 
 
+# What the sketches promise: relative error of counts, error of ranks.
+DISTINCT_ERROR, RANK_ERROR = 0.04, 0.01
+
+
+@query
+def distinct_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of words by source and split, rolled up twice, against exact counts."""
+    rows = D.corpus(spark, sf).select("source", "split", F.explode(T.word_tokens(F.lower("text"))).alias("word"))
+    stored = settle(K.sketches(rows, ["split", "source"], distinct=["word"]), "sketches")
+    found = K.every_level(stored, ["split", "source"]).select("split", "source", "n_rows", K.distinct_count("word"))
+    words = settle(rows.distinct(), "words")
+    exact = [
+        words.groupBy(*keys).agg(F.count_distinct("word").alias("n_exact")).select(
+            *[F.col(c) if c in keys else F.lit(None).cast("string").alias(c) for c in ("split", "source")], "n_exact"
+        )
+        for keys in (["split", "source"], ["split"], [])
+    ]
+    exact = exact[0].unionAll(exact[1]).unionAll(exact[2]).withColumnsRenamed({"split": "_split", "source": "_source"})
+    met = found.join(exact, F.col("split").eqNullSafe(F.col("_split")) & F.col("source").eqNullSafe(F.col("_source")))
+    close = F.abs(F.col("n_word") - F.col("n_exact")) <= DISTINCT_ERROR * F.col("n_exact")
+    return met.select("split", "source", "n_rows", "n_exact", close.alias("close"))
+
+
+@query
+def latency_sketch(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles without a sort, and whether their exact ranks are close."""
+    by = ["event_type", "length"]
+    calls = D.table(spark, sf, "events").withColumn("length", (F.col("user_id") % 4).cast("string"))
+    marks = {"median": 0.5, "p95": 0.95}
+    found = settle(K.sketched_summary(calls, "value", by, marks), "summary")
+    out = found.select(*by, F.col("n").alias("num_iter"), r6("mean", "mean"), r6("deviation", "deviation"))
+    for name, share in marks.items():
+        ranks = K.rank_share(calls, "value", found, name, by)
+        close = (F.col("below") <= share + RANK_ERROR) & (F.col("upto") >= share - RANK_ERROR)
+        out = out.join(ranks.select(*by, close.alias(f"{name}_close")), by)
+    return out
+
+
+@query
+def mean_intervals(spark: SparkSession, sf: str) -> DataFrame:
+    calls = D.table(spark, sf, "events").select("event_id", F.col("event_type").alias("model"), "value")
+    found = K.mean_intervals(calls, "value", "event_id", ["model"])
+    return found.select("model", *[r6(c, c) for c in ("mean", "low", "high")])
+
+
 @query
 def mean_by_group(spark: SparkSession, sf: str) -> DataFrame:
     calls = D.table(spark, sf, "events").select(
@@ -826,6 +872,35 @@ def labelled_lines_file(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def labelled_lines_format(spark: SparkSession, sf: str) -> DataFrame:
+    """As ``labelled_lines_file``, written and read as a data source."""
+    from labelspark.sources import formats
+
+    formats.register(spark)
+    folder = new_folder(spark, "lines-format")
+    rows = D.labelled_documents(spark, sf).select("labels", T.normalize_bag(F.col("text")).alias("text"))
+    rows.write.format("labelled_lines").mode("append").save(folder)
+    back = spark.read.format("labelled_lines").load(folder)
+    return back.groupBy(F.array_join("labels", " ").alias("labels")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("n_chars")
+    )
+
+
+@query
+def replaced_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A table replaced from its own content, while a reader holds the old version."""
+    from labelspark.sources import versions
+
+    path = new_folder(spark, "replaced")
+    versions.replace(D.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), path)
+    before = versions.read(spark, path)
+    versions.replace(before.filter("o_orderstatus <> 'O'"), path)
+    after = versions.read(spark, path)
+    sides = before.withColumn("version", F.lit("old")).unionByName(after.withColumn("version", F.lit("new")))
+    return sides.groupBy("version", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query
 def appended_rows(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "append")
@@ -1009,9 +1084,34 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("text string").parquet(f"{folder}/out").select(F.md5("text").alias("text_md5"))
 
 
+@query
+def first_arrivals(spark: SparkSession, sf: str) -> DataFrame:
+    """First event of each kind by arrival, with state that outlives no lifetime."""
+    from labelspark.streaming import annotate as A
+
+    folder = new_folder(spark, "arrivals")
+    events = D.table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.concat_ws(" ", "event_type", F.col("user_id") % 50).alias("text"))
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, A.STATE_STORE)
+    try:
+        for half in range(2):
+            middle = events.agg(F.percentile_approx(F.unix_micros("ts"), 0.5)).scalar()
+            late = F.unix_micros("ts") > middle
+            events.filter(late if half else ~late).write.mode("append").parquet(f"{folder}/in")
+            stream = A.file_stream(spark, f"{folder}/in", events.schema, "parquet")
+            found = A.first_arrivals(stream, "ts", "10000 days")
+            A.append_stream(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(events.schema).parquet(f"{folder}/out").select("event_id", "text")
+
+
 # --- models ----------------------------------------------------------------
 
 DOC_LABELS = ["de", "en", "es", "fr", "quality", "toxic"]
+# A fit ends at this gradient norm, long before so many passes.
+FIT_TOL, FIT_PASSES = 1e-4, 100
 
 
 def _ready(spark: SparkSession, sf: str):
@@ -1052,7 +1152,7 @@ def ovr_tuned(spark: SparkSession, sf: str) -> DataFrame:
     from labelspark.operators.models import load_one_vs_rest, save_one_vs_rest
 
     words = T.word_tokens(F.col("text"))
-    _, model, ready = flows.classical_model(_ready(spark, sf), words, DOC_LABELS, "lr", 10.0, max_iter=3)
+    _, model, ready = flows.classical_model(_ready(spark, sf), words, DOC_LABELS, "lr", 10.0, FIT_PASSES, tol=FIT_TOL)
     folder = new_folder(spark, "model")
     save_one_vs_rest(model, spark, folder)
     wide = flows.tuned_classifier(load_one_vs_rest(spark, folder), ready, "tfidf_lr", tests=["train", "test"])
@@ -1074,9 +1174,9 @@ def ngram_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
     words = T.word_tokens(F.col("text"))
     chars = F.flatten(F.transform(words, lambda w: X.char_ngrams(w)))
-    ready = X.hashed_vectors(_ready(spark, sf), F.concat(X.word_ngrams(words, 2), chars))
+    ready = X.hashed_vectors(_ready(spark, sf), F.concat(X.word_ngrams(words), chars))
     ready = settle(ready.drop("text"), "vectors")
-    model = OneVsRest(DOC_LABELS, "lr", 1.0).fit(ready.filter("split = 'train'"), X.BUCKETS)
+    model = OneVsRest(DOC_LABELS, "lr", 1.0, FIT_PASSES, tol=FIT_TOL).fit(ready.filter("split = 'train'"), X.BUCKETS)
     return rounded_metrics(evaluate_splits(model, ready), "split")
 
 
@@ -1087,19 +1187,18 @@ GRID_C = [100.0, 10.0, 1.0, 0.1, 0.01]
 @query
 def param_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Micro f1 on validation: the first best of every setting, strictly better."""
-    from labelspark.operators.models import OneVsRest, evaluate_splits, parameter_grid, search
+    from labelspark.operators.models import OneVsRest, evaluate_models, parameter_grid, search
 
     vocabulary, ready = flows.classical_features(_ready(spark, sf), T.word_tokens(F.col("text")))
-    width, models, found = vocabulary.count(), {}, {}
+    width, models = vocabulary.count(), []
     for kind in ("lr", "svm"):
-        fitted = OneVsRest(DOC_LABELS, kind).fit_strengths(ready.filter("split = 'train'"), width, GRID_C)
-        models |= {(kind, model.c): model for model in fitted}
+        model = OneVsRest(DOC_LABELS, kind, max_iter=FIT_PASSES, tol=FIT_TOL)
+        models += model.fit_strengths(ready.filter("split = 'train'"), width, GRID_C)
+    scored = evaluate_models(models, ready.filter("split = 'validation'")).collect()  # a row a setting
+    found = {(models[r["model"]].kind, models[r["model"]].c): r for r in scored}
 
     def run(setting: dict) -> float:
-        model = models[setting["kind"], setting["c"]]
-        row = evaluate_splits(model, ready.filter("split = 'validation'")).first()
-        found[setting["kind"], setting["c"]] = row
-        return row["f1"]
+        return found[setting["kind"], setting["c"]]["f1"]
 
     best, _ = search(parameter_grid({"kind": ["lr", "svm"], "c": GRID_C}), run)
     if best is None:
@@ -1117,6 +1216,6 @@ def ratio_search(spark: SparkSession, sf: str) -> DataFrame:
     train = ready.filter("split = 'train'")
     out = flows.ratio_search(
         train.filter(~english), train.filter(english), ready.filter("split = 'validation'"),
-        DOC_LABELS, vocabulary.count(), "row_id", 10.0, max_iter=50,
+        DOC_LABELS, vocabulary.count(), "row_id", 10.0, FIT_PASSES, FIT_TOL,
     )
     return rounded_metrics(out, "multiplier")
