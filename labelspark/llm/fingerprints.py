@@ -4,9 +4,10 @@ A text is a multiset of paragraphs. Each paragraph is hashed into a wide vector
 and the vectors are summed, each lane modulo a power of two, so that the order
 of paragraphs does not matter and a paragraph can be added or taken away later.
 
-Vector layout (array of bigint): WORDS words of four lanes, 15 bits apart, that
-count how often each hash bit is set (modulo 2**14, so that a sum of two lanes
-never runs into the next or into the sign), then the number of paragraphs and three wide sums, modulo 2**60.
+Vector layout (array of bigint): WORDS words of two lanes, 31 bits apart, that
+count how often each hash bit is set (modulo 2**30, so that a sum of two lanes
+never runs into the next or into the sign), then the number of paragraphs and three
+wide sums, modulo 2**60. Likeness holds for texts of less than 2**30 paragraphs.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from labelspark.session import settle
 # A paragraph ends with its line; the sentences of a line count as paragraphs of
 # their own, as many documents are one line.
 PARAGRAPH = r"\n+|(?<=[.!?])[ \t]+"
-WORDS = 15
-APART = 15  # bits between lanes
-BIT = sum(1 << APART * k for k in range(4))
-LANE = (1 << 14) - 1
+WORDS = 30
+LANES = 2  # in a word
+APART = 31  # bits between lanes
+BIT = sum(1 << APART * k for k in range(LANES))
+LANE = (1 << 30) - 1
 KEEP = LANE * BIT
 WIDE = (1 << 60) - 1
 # Documents in order are cut into blocks of this many ids; a window holds one.
@@ -84,7 +86,7 @@ def as_text(vec: Column) -> Column:
 
 
 def _balance(vec: Column) -> Column:
-    """Per lane: set minus unset bits, as a number around zero (modulo 2**15)."""
+    """Per lane: set minus unset bits, as a number around zero (modulo 2**31)."""
     count = F.element_at(vec, WORDS + 1)
 
     def lane(word: Column, k: int) -> Column:
@@ -92,7 +94,7 @@ def _balance(vec: Column) -> Column:
         return (F.pmod(set_ * 2 - count + (LANE + 1), F.lit(2 * LANE + 2)) - (LANE + 1)).cast("double")
 
     def of(word: Column) -> Column:
-        return F.array(*[lane(word, k) for k in range(4)])
+        return F.array(*[lane(word, k) for k in range(LANES)])
 
     return F.flatten(F.transform(F.slice(vec, 1, WORDS), of))
 

@@ -18,6 +18,8 @@ from labelspark.session import settle
 # Rows of one input partition are cut into blocks of at most this many, so that
 # no window ever holds more.
 BLOCK_BITS = 16
+# numpy draws from the hypergeometric law for fewer rows than this.
+SAMPLER_ROWS = 1_000_000_000
 
 
 def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.ndarray:
@@ -28,19 +30,16 @@ def communication_matrix(blocks: list[int], shards: list[int], seed: int) -> np.
     out = np.zeros((len(blocks), len(shards)), np.int64)
     for b, size in enumerate(blocks):
         need, rest = size, int(left.sum())
-        for s in range(len(shards)):
-            rest -= int(left[s])
-            # numpy's sampler wants both colours below 10**9; a share of a larger
-            # pool is drawn from its binomial limit, cut to what is possible
-            if need == 0:
-                break
-            if left[s] + rest < 1_000_000_000:
-                k = int(rng.hypergeometric(int(left[s]), rest, need)) if left[s] else 0
-            else:
-                k = int(rng.binomial(need, left[s] / (left[s] + rest)))
-                k = min(max(k, need - rest), int(left[s]))
-            out[b, s] = k
-            need -= k
+        if rest >= SAMPLER_ROWS:
+            # beyond numpy's sampler: the law itself, by drawing the rows; a block
+            # has few of them
+            drawn = rng.choice(rest, need, replace=False, shuffle=False)
+            out[b] = np.bincount(np.searchsorted(np.cumsum(left), drawn, "right"), minlength=len(shards))
+        else:
+            for s in range(len(shards)):
+                rest -= int(left[s])
+                out[b, s] = rng.hypergeometric(int(left[s]), rest, need) if need and left[s] else 0
+                need -= int(out[b, s])
         left -= out[b]
     return out
 

@@ -79,6 +79,29 @@ def test_the_matrix_has_its_margins_and_the_right_spread():
     assert abs(counts[:, 0, 0].var() - 40 * 0.34 * 0.66 * 60 / 99) < 0.8
 
 
+def test_large_tables_follow_the_same_law(monkeypatch):
+    """Drawn rows and numpy's sampler have the same margins, mean and variance; very
+    many rows can be drawn from."""
+    monkeypatch.setattr(sharding, "SAMPLER_ROWS", 0)
+    counts = np.array([sharding.communication_matrix([40, 0, 25, 35], [34, 33, 33], seed) for seed in range(2000)])
+    assert (counts.sum(axis=1) == [34, 33, 33]).all() and (counts.sum(axis=2) == [40, 0, 25, 35]).all()
+    assert abs(counts[:, 0, 0].mean() - 13.6) < 0.3
+    assert abs(counts[:, 0, 0].var() - 40 * 0.34 * 0.66 * 60 / 99) < 0.8
+    vast = sharding.communication_matrix([65_536] * 3, [10**15, 3 * 10**15], 5)
+    assert (vast.sum(axis=1) == 65_536).all() and abs(vast[:, 0].mean() - 16_384) < 400
+
+
+@pytest.mark.parametrize("lines", [400, 4_000, 40_000])
+def test_likeness_does_not_depend_on_length(spark, lines):
+    """Texts that share three quarters of their lines, short or long."""
+    own = [f"line {i}" for i in range(lines)]
+    other = own[: 3 * lines // 4] + [f"other {i}" for i in range(lines // 4)]
+    table = spark.createDataFrame([("\n".join(own), "\n".join(other), "\n".join(f"x{i}" for i in range(lines)))], "a string, b string, c string")
+    v = {c: fingerprints.vector(F.col(c)) for c in "abc"}
+    near, far = table.select(fingerprints.likeness(v["a"], v["b"]), fingerprints.likeness(v["a"], v["c"])).first()
+    assert 0.6 < near < 0.9 and far < 0.35
+
+
 def test_edited_texts(edge_rows, spark):
     rows = [r for r in edge_rows if r[0] is not None]
     rows = list({r[0]: r for r in rows}.values())  # ids once
