@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import string
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelspark.functions.text import fill_template
 from labelspark.schemas import GEN_CONFIGS
 
 Predict = Callable[[Sequence[str]], np.ndarray]
@@ -68,6 +70,47 @@ def generate_texts(df: DataFrame, load: Callable[[], Generate], decoding: Decodi
             yield part.assign(**{output: answers, "_prompt": prompts})[[f.name for f in schema.fields]]
 
     generated = df.drop(output, "gen_configs").mapInPandas(run, schema)
-    settings = {"prompt": F.col("_prompt"), **{k: F.lit(v) for k, v in asdict(decoding).items()}}
-    configs = F.struct(*[settings[f.name].cast(f.dataType).alias(f.name) for f in GEN_CONFIGS.fields])
-    return generated.withColumn("gen_configs", configs).drop("_prompt")
+    return generated.withColumn("gen_configs", _configs(F.col("_prompt"), decoding)).drop("_prompt")
+
+
+def _configs(prompt: Column, decoding: Decoding) -> Column:
+    settings = {"prompt": prompt, **{k: F.lit(v) for k, v in asdict(decoding).items()}}
+    return F.struct(*[settings[f.name].cast(f.dataType).alias(f.name) for f in GEN_CONFIGS.fields])
+
+
+def filled(template: str, field: str, constants: Mapping[str, str]) -> Callable[[str | None], str | None]:
+    """A function that puts a text in the place of ``{field}``, everything else being
+    filled in already; doubled braces are single ones."""
+    parts: list[str] = [""]
+    for literal, name, *_ in string.Formatter().parse(template):
+        parts[-1] += literal
+        if name == field:
+            parts.append("")
+        elif name is not None:
+            parts[-1] += constants[name]
+    return lambda text: None if text is None else text.join(parts)
+
+
+def generate_filled(df: DataFrame, load: Callable[[], Generate], decoding: Decoding, template: str, text: str = "text",
+                    field: str = "input_text", constants: Mapping[str, str] | None = None, output: str = "output",
+                    batch_size: int = 1024) -> DataFrame:
+    """As ``generate_texts`` for prompts that are one template with a text of the row.
+
+    What all prompts share travels once, with the task; rows bring their own columns
+    alone to the model, and the prompt in ``gen_configs`` is filled in by Spark
+    where a later step reads it. A null text makes a null prompt.
+    """
+    shared = dict(constants or {})
+    kept = [f for f in df.schema.fields if f.name not in {output, "gen_configs"}]
+    schema = T.StructType([*kept, T.StructField(output, T.StringType())])
+    broadcast = df.sparkSession.sparkContext.broadcast((template, field, shared))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generate, fill = load(), filled(*broadcast.value)
+        for part in _slices(frames, batch_size):
+            answers = [a.strip() for a in generate([fill(t) for t in part[text]])]
+            yield part.assign(**{output: answers})[[f.name for f in schema.fields]]
+
+    generated = df.drop(output, "gen_configs").mapInPandas(run, schema)
+    prompt = fill_template(template, **{k: F.lit(v) for k, v in shared.items()}, **{field: F.col(text)})
+    return generated.withColumn("gen_configs", _configs(prompt, decoding))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelspark.functions.text import opened
+from labelspark.functions.text import let, opened
 from labelspark.plans.joins import hot_salted_join, salted_join
 from labelspark.plans.order import number_rows, number_rows_within
 from labelspark.session import settle
@@ -88,10 +88,22 @@ def label_ids(encoded: DataFrame, row_id: str) -> DataFrame:
 
 
 def multi_hot(ids: Column, n_classes: Column | int) -> Column:
-    """Dense 0/1 array of the ids present."""
-    last = (F.lit(n_classes) if isinstance(n_classes, int) else n_classes) - 1
-    positions = F.sequence(F.lit(0).cast("bigint"), last.cast("bigint"))
-    return F.transform(positions, lambda i: F.array_contains(ids, i).cast("int"))
+    """Dense 0/1 array of the ids present; ids that are no class are left out.
+
+    Runs of zeros between the sorted ids are joined, so a row costs its classes plus
+    its ids, not their product.
+    """
+    n = (F.lit(n_classes) if isinstance(n_classes, int) else n_classes).cast("int")
+
+    def of(size: Column) -> Column:
+        known = F.array_sort(F.array_distinct(F.filter(ids.cast("array<int>"), lambda i: (i >= 0) & (i < size))))
+        before = F.concat(F.array(F.lit(-1)), known)
+        after = F.concat(known, F.array(size))
+        zeros = F.zip_with(before, after, lambda a, b: F.array_repeat(F.lit(0), b - a - 1))
+        ones = F.transform(F.sequence(F.lit(0), F.size(known)), lambda i: F.when(i < F.size(known), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")))
+        return F.flatten(F.zip_with(zeros, ones, lambda z, o: F.concat(z, o)))
+
+    return let(n, of)
 
 
 def decode_multi_hot(hot: Column, names: Column) -> Column:

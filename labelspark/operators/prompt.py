@@ -28,13 +28,29 @@ def context_text(dictionary: DataFrame, order_by: str = "ord", max_chars: int |
     that no model could take into an error before any prompt is made.
     """
     if max_chars is not None:
-        chars = dictionary.agg(F.sum(F.length(code_line()) + 1)).first()[0] or 0
-        if chars > max_chars:
-            raise ValueError(f"a context of {chars} characters does not fit in a prompt")
+        check_context(dictionary, max_chars)
     lines = F.array_sort(F.collect_list(F.struct(F.col(order_by).alias("ord"), code_line().alias("line"))))
     return dictionary.agg(F.array_join(F.transform(lines, lambda l: l["line"]), "\n").alias("context")).scalar()
 
 
+# Characters of a context that a prompt may have; no model takes more.
+MAX_CONTEXT = 8_000_000
+
+
+def check_context(dictionary: DataFrame, max_chars: int) -> None:
+    chars = dictionary.agg(F.sum(F.length(code_line()) + 1)).first()[0] or 0
+    if chars > max_chars:
+        raise ValueError(f"a context of {chars} characters does not fit in a prompt")
+
+
+def context_value(dictionary: DataFrame, order_by: str = "ord", max_chars: int = MAX_CONTEXT) -> str:
+    """The context as a setting of the driver, which tasks get once each. Its size is
+    checked first; the lines are sorted by Spark."""
+    check_context(dictionary, max_chars)
+    rows = dictionary.select(order_by, code_line().alias("line")).orderBy(order_by, "line").filter(F.col("line").isNotNull())
+    return "\n".join(r["line"] for r in rows.toLocalIterator())
+
+
 def labelling_prompts(df: DataFrame, dictionary: DataFrame, template: str, text: str = "text",
                       order_by: str = "ord") -> DataFrame:
     """Adds ``pre_query_str``: instructions, the whole dictionary, the text."""

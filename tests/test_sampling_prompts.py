@@ -152,3 +152,29 @@ def test_draws_follow_successive_sampling(ids, table):
             want = len(pairs) * weights[x] / 10 * weights[y] / (10 - weights[x])
             chi += (pairs.count((x, y)) - want) ** 2 / want
     assert len(pairs) > 1500 and chi < 31.3  # 11 degrees of freedom, one in a thousand
+
+
+def test_prompts_filled_in_the_task_are_those_of_the_columns(spark):
+    from labelspark.operators import infer as I
+    from labelspark.operators import prompt as Q
+
+    codes = spark.createDataFrame([("B", "beta {x}", 1), ("A", "alpha", 0), ("C", None, 2)], "code string, description string, ord int")
+    rows = spark.createDataFrame([(1, "one {context} }}"), (2, ""), (3, "two\nlines")], "row_id int, text string").repartition(2)
+    template = "{{codes}}\n{context}\n--\n{input_text} and {input_text}"
+    value = Q.context_value(codes)
+    assert value == "A: alpha\nB: beta {x}"
+    sent = []
+
+    def load():
+        return lambda prompts: [f" {len(p)}|{p} " for p in prompts]
+
+    want = Q.labelling_prompts(rows, codes, template)
+    whole = I.generate_texts(want, load, I.Decoding("m"))
+    found = I.generate_filled(rows, load, I.Decoding("m"), template, constants={"context": value})
+    read = lambda df: sorted((r.row_id, r.text, r.output, *r.gen_configs) for r in df.collect())
+    assert read(found) == read(whole) and not sent
+    # only the rows' own columns go to Python
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "beta" not in plan.split("MapInPandas")[-1]
+    with pytest.raises(ValueError):
+        Q.context_value(codes, max_chars=5)
