@@ -19,14 +19,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from labelspark.llm.common import map_arrow, text_blocks
+from labelspark.llm.common import fields_of, map_arrow, text_blocks
 from labelspark.llm.components import components
 from labelspark.session import settle
 
 WORDS, PERCENT = 4, 85
-GROUPS = 256  # coordinates of a point
+GROUPS = 1_024  # coordinates of a point
+LIKELY = 2  # shingles under which a set looks for its likeliest partner
 LEAF, FANOUT = 16, 16
 # A shingle with more sets than this is cut into blocks of about half as many.
 TREE_ROWS = 4_096
@@ -124,8 +126,7 @@ def counted(found: np.ndarray) -> bytes:
 def points_of(stored: list[bytes]) -> np.ndarray:
     """(sets, GROUPS) coordinates from their stored form."""
     held = np.frombuffer(b"".join(stored), np.uint8).reshape(-1, GROUPS + 1)
-    points = held[:, 1:].astype(np.int32)
-    return points << held[:, :1] if held[:, 0].any() else points
+    return held[:, 1:].astype(np.int32) << held[:, :1] if held[:, 0].any() else held[:, 1:]
 
 
 class CountTree:
@@ -156,7 +157,7 @@ class CountTree:
         step = max(1, PAIR_CELLS // GROUPS)
         for at in range(0, len(place), step):
             own = place[at : at + step]
-            bound = np.minimum(self.points[query[own]], self.upper[level][node[own]]).sum(axis=1)
+            bound = np.minimum(self.points[query[own]], self.upper[level][node[own]]).sum(axis=1, dtype=np.int64)
             out[own] = bound >= least_overlap(size[own], least[own], self.percent)
         return out
 
@@ -212,7 +213,7 @@ def likeness(points: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) ->
     step = max(1, PAIR_CELLS // GROUPS)
     for at in range(0, len(a), step):
         own = slice(at, at + step)
-        most[own] = np.minimum(points[a[own]], points[b[own]]).sum(axis=1)
+        most[own] = np.minimum(points[a[own]], points[b[own]]).sum(axis=1, dtype=np.int64)
     most = np.minimum(most, np.minimum(n[a], n[b]))
     return most, most / (n[a] + n[b] - most)
 
@@ -339,26 +340,41 @@ def shingle_heat(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """``docs`` with n_shingles, set_key (16 bytes of a hash, null if the set is
-    empty) and points in place of text."""
+    """``docs`` with n_shingles and set_key (16 bytes of a hash, null if the set is
+    empty) in place of text."""
     others = [c for c in docs.columns if c != "text"]
     at = docs.columns.index("text")
 
     def run(batches):
         shingler = Shingler(words)
         for batch in batches:
-            n, keys, points = [], [], []
+            n, keys = [], []
             for found in shingler.sets(batch.column(at)):
                 n.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
+            kept = [c for i, c in enumerate(batch.columns) if i != at]
+            yield pa.RecordBatch.from_arrays(
+                [*kept, pa.array(n, pa.int64()), pa.array(keys, pa.binary())], [*others, "n_shingles", "set_key"]
+            )
+
+    return map_arrow(docs, run, fields_of(docs.select(*others)) + ", n_shingles long, set_key binary")
+
+
+def count_points(texts: DataFrame, words: int) -> DataFrame:
+    """(node, n_shingles, points) of (node, text)."""
+
+    def run(batches):
+        shingler = Shingler(words)
+        for batch in batches:
+            n, points = [], []
+            for found in shingler.sets(batch.column(1)):
+                n.append(len(found))
                 points.append(counted(found))
             yield pa.RecordBatch.from_arrays(
-                [*[c for i, c in enumerate(batch.columns) if i != at], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(points, pa.binary())],
-                [*others, "n_shingles", "set_key", "points"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(points, pa.binary())], ["node", "n_shingles", "points"]
             )
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema)
-    return map_arrow(docs, run, f"{kinds}, n_shingles long, set_key binary, points binary")
+    return map_arrow(texts.select("node", "text"), run, "node long, n_shingles long, points binary")
 
 
 def postings(texts: DataFrame, words: int, percent: int, heat: np.ndarray) -> DataFrame:
@@ -444,27 +460,29 @@ def _meetings(texts: DataFrame, words: int, percent: int, heat: np.ndarray) -> D
     return settle(members.join(kept, "token"), "meetings").select("token", "node", "k")
 
 
-def _likely_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(u, v): the likeliest partner of each set, as far as trees of bounded size
-    show it. Crowded shingles are cut into blocks at random; what that misses is left
-    to ``_open_links``."""
+def _likely_links(meetings: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """(u, v): the likeliest partner of each set, as far as a few trees of bounded
+    size show it: those of the LIKELY shingles that most sets share with it. Crowded
+    shingles are cut into blocks at random; what that misses is left to ``_open_links``."""
+    widest = F.row_number().over(W.partitionBy("node").orderBy(F.desc("k"), "token"))
+    rows = meetings.withColumn("_rank", widest).filter(F.col("_rank") <= LIKELY)
     blocks = F.ceil(F.col("k") / (TREE_ROWS // 2)).cast("int")
     tile = F.when(F.col("k") > TREE_ROWS, F.pmod(F.xxhash64("node", "token"), blocks)).otherwise(F.lit(0)).cast("int")
-    rows = meetings.withColumn("tile", tile).join(sets.select("node", "n_shingles", "points"), "node")
+    rows = rows.withColumn("tile", tile).select("token", "tile", "node").join(points, "node")
     found = _grouped(rows.withColumns({"label": F.lit(0).cast("long"), "major": F.lit(False)}), False, percent)
     ends = found.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "likeness")
     best = ends.groupBy("node").agg(F.max(F.struct("likeness", (-F.col("u")).alias("u"), (-F.col("v")).alias("v"))).alias("best"))
     return best.select((-F.col("best.u")).alias("u"), (-F.col("best.v")).alias("v")).distinct()
 
 
-def _open_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_links(meetings: DataFrame, points: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """(u, v): all candidates between different labels, under all prefix shingles.
 
     Shingles whose sets have one label are left out by minimum and maximum. In a
     crowded one, sets of the commonest label need not meet: each goes to one block,
     the others to all, so rows are its sets plus the others times the blocks.
     """
-    labelled = settle(meetings.join(sets.select("node", "label"), "node"), "labelled")
+    labelled = settle(meetings.join(labels, "node"), "labelled")
     open_ = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     members = settle(labelled.join(open_.filter(F.col("low") != F.col("high")).select("token"), "token"), "open")
     crowded = members.filter(F.col("k") > TREE_ROWS).groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("k"))
@@ -478,8 +496,7 @@ def _open_links(meetings: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(major, own).otherwise(every)
     rows = members.join(crowded, "token", "left").select("token", "node", "label", major.alias("major"), F.explode(tiles).alias("tile"))
-    rows = rows.join(sets.select("node", "n_shingles", "points"), "node")
-    return _grouped(rows, True, percent).select("u", "v").distinct()
+    return _grouped(rows.join(points, "node"), True, percent).select("u", "v").distinct()
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -512,24 +529,24 @@ def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
         rows = settle(docs.select("doc_id", "text"), "documents").select("doc_id", "text", *place)
     marked = settle(signatures(rows, words), "signatures")
     chosen = F.min(F.struct(*names)).alias("place")
-    one = F.any_value("points").alias("points"), F.max("n_shingles").alias("n_shingles")
-    distinct = marked.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), chosen, *one)
-    sets = distinct.select("set_key", "first_doc", "place.*", "n_shingles", "points").withColumn("node", F.monotonically_increasing_id())
-    sets = settle(sets, "sets")
+    distinct = marked.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min("doc_id").alias("first_doc"), chosen)
+    sets = settle(distinct.select("set_key", "first_doc", "place.*").withColumn("node", F.monotonically_increasing_id()), "sets")
     texts = settle(rows.select("text", *names).join(sets.select("node", *names), names).select("node", "text"), "texts")
     meetings = _meetings(texts, words, percent, shingle_heat(texts, words))
-    texts = settle(texts.join(meetings.select("node").distinct(), "node"), "texts")
-    linked = components(_verified(settle(_likely_links(meetings, sets, percent), "pairs"), texts, words, percent))
-    sets = sets.join(linked, "node", "left").select("node", "set_key", "first_doc", "n_shingles", "points", F.coalesce("root", "node").alias("label"))
-    sets = settle(sets, "labelled")
-    more = _verified(settle(_open_links(meetings, sets, percent), "pairs"), texts, words, percent)
-    of = sets.select("node", "label")
-    edges = more.join(of.select(F.col("node").alias("u"), F.col("label").alias("a")), "u").join(
-        of.select(F.col("node").alias("v"), F.col("label").alias("b")), "v"
+    # from here on only sets that meet another one
+    met = meetings.select("node").distinct()
+    texts = settle(texts.join(met, "node"), "met")
+    points = settle(count_points(texts, words), "points")
+    linked = components(_verified(settle(_likely_links(meetings, points, percent), "pairs"), texts, words, percent))
+    labels = settle(met.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("label")), "labels")
+    more = _verified(settle(_open_links(meetings, points, labels, percent), "pairs"), texts, words, percent)
+    edges = more.join(labels.select(F.col("node").alias("u"), F.col("label").alias("a")), "u").join(
+        labels.select(F.col("node").alias("v"), F.col("label").alias("b")), "v"
     )
     roots = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnRenamed("node", "label")
-    rooted = sets.select("set_key", "first_doc", "label").join(roots, "label", "left").select(
-        "set_key", "first_doc", F.coalesce("root", "label").alias("root")
+    whole = labels.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+    rooted = sets.select("set_key", "first_doc", "node").join(whole, "node", "left").select(
+        "set_key", "first_doc", F.coalesce("root", "node").alias("root")
     )
     firsts = rooted.groupBy("root").agg(F.min("first_doc").alias("component"))
     named = settle(rooted.join(firsts, "root").select("set_key", "component"), "named")
