@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 
 from labelspark import queries as Q
+from labelspark.operators import features as X
 from labelspark.operators import sketches as K
 
 # --- shared pieces ---------------------------------------------------------
@@ -565,6 +566,28 @@ def oracle_sql() -> dict[str, str]:
       SELECT substr(w, i, k) AS gram, sum(m)::BIGINT AS n FROM g CROSS JOIN (SELECT unnest([3, 4, 5, 6]) AS k)
       WHERE i + k - 1 <= length(w) GROUP BY 1"""
 
+    sql["hashed_ngrams"] = f"""WITH t AS (SELECT doc_id AS row_id, {LOWER_TOKENS} AS ws FROM documents),
+      w AS (SELECT row_id, ws, i, n FROM (SELECT row_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM t) CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS n)),
+      c AS (SELECT row_id, w, unnest(range(1, length(w) + 1)) AS i FROM (SELECT row_id, '<' || unnest(ws) || '>' AS w FROM t)),
+      g AS (SELECT row_id, array_to_string(ws[i:i + n - 1], ' ') AS gram FROM w WHERE i + n - 1 <= len(ws)
+        UNION ALL SELECT row_id, substr(w, i, k) FROM c CROSS JOIN (SELECT unnest([3, 4, 5, 6]) AS k) WHERE i + k - 1 <= length(w))
+      SELECT ('0x' || substr(md5(gram), 1, 8))::BIGINT % {X.BUCKETS} AS bucket, count(DISTINCT row_id) AS n_docs, count(*) AS n FROM g GROUP BY 1"""
+
+    # fitted models: what the rows say themselves, and that the fit beats the most frequent label
+    facts = f"""WITH {LABELLED}, top AS (SELECT label FROM (SELECT unnest(labels) AS label FROM labelled WHERE split = 'train')
+        GROUP BY 1 ORDER BY count(*) DESC, label LIMIT 1),
+      f AS (SELECT split, count(*) AS n, sum(len(labels))::BIGINT AS n_true, count_if(list_contains(labels, (SELECT label FROM top))) AS tp
+        FROM labelled GROUP BY split),
+      facts AS (SELECT split, n_true, n * {len(Q.DOC_LABELS)} AS n_cells, round(2 * tp / (n + n_true)::DOUBLE, 6) AS baseline, true AS better FROM f)"""
+    sql["ngram_classifier"] = f"{facts} SELECT * FROM facts"
+    sql["ovr_tuned"] = f"{facts} SELECT 'tfidf_lr' AS model_name, * FROM facts WHERE split IN ('train', 'test')"
+    sql["param_grid"] = f"""{facts} SELECT kind, c, true AS within, * FROM facts, (SELECT unnest(['lr', 'svm']) AS kind),
+      (SELECT unnest({Q.GRID_C}::DOUBLE[]) AS c) WHERE split = 'validation'"""
+    sql["ratio_search"] = f"""{facts}, n AS (SELECT count_if(NOT list_contains(labels, 'en')) AS t, count_if(list_contains(labels, 'en')) AS s
+        FROM labelled WHERE split = 'train'),
+      m AS (SELECT unnest(list_concat([0.0::DOUBLE, 0.5::DOUBLE], list_transform(range(1, ceil(s / t)::BIGINT + 1), lambda i: i::DOUBLE))) AS multiplier FROM n)
+      SELECT multiplier, n_true, n_cells, baseline FROM facts, m WHERE split = 'validation'"""
+
     # weights and losses
     sql["class_counts"] = f"WITH {CLASSES} SELECT label_id, n FROM pos"
     for name, column in (("weights_pos", "w_pos"), ("weights_inv_sqrt", "w_inv"), ("weights_cb", "w_cb")):

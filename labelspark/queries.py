@@ -738,12 +738,12 @@ def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def hashed_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    """Texts and n-grams per hash bucket."""
-    grams = X.gram_rows(_docs(spark, sf), T.word_tokens(F.lower("text")), "row_id", n=2)
-    counts = X.hashed_counts(grams, "row_id")
-    return counts.groupBy(F.col("bucket").cast("bigint").alias("bucket")).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n")
-    )
+    """Texts and n-grams per hash bucket: word runs of one to five words, and the
+    character n-grams of each word."""
+    docs = _docs(spark, sf).repartition("row_id")
+    grams = X.gram_rows(docs, T.word_tokens(F.lower("text")), "row_id")
+    counts = X.hashed_counts(grams, "row_id", bucket=X.portable_bucket)
+    return counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n"))
 
 
 # --- weights and losses ----------------------------------------------------
@@ -1146,17 +1146,41 @@ def tfidf_features(spark: SparkSession, sf: str) -> DataFrame:
     return cells.join(vocabulary, "index").select("row_id", "term", "index", F.col("df").alias("n_docs"), "weight")
 
 
+def _facts(spark: SparkSession, sf: str, scored: DataFrame, *keys: str) -> DataFrame:
+    """What SQL can follow of a fit that it cannot: true labels and cells of each
+    split, the score of naming the most frequent training label always, and whether
+    the fitted model does better."""
+    rows = _ready(spark, sf).select("split", "labels")
+    train = rows.filter("split = 'train'").select(F.explode("labels").alias("label"))
+    parts = []
+    for split in ("train", "validation", "test"):
+        grid = M.most_frequent_baseline(train, rows.filter(F.col("split") == split), F.lit(len(DOC_LABELS)), 1)
+        parts.append(grid.filter("k = 1").select(F.lit(split).alias("split"), F.col("f1").alias("baseline")))
+    baseline = settle(parts[0].unionAll(parts[1]).unionAll(parts[2]), "baseline")
+    met = scored.join(F.broadcast(baseline), "split")  # three rows
+    return met.select(
+        *keys, "split", (F.col("tp") + F.col("fn")).alias("n_true"), (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n_cells"),
+        r6("baseline", "baseline"), (F.col("f1") > F.col("baseline")).alias("better"),
+    )
+
+
 @query
 def ovr_tuned(spark: SparkSession, sf: str) -> DataFrame:
-    """Fit, save, reload; search the threshold on validation; one wide row."""
+    """Fit, save, reload; search the threshold on validation, score the other splits."""
     from labelspark.operators.models import load_one_vs_rest, save_one_vs_rest
 
     words = T.word_tokens(F.col("text"))
     _, model, ready = flows.classical_model(_ready(spark, sf), words, DOC_LABELS, "lr", 10.0, FIT_PASSES, tol=FIT_TOL)
     folder = new_folder(spark, "model")
     save_one_vs_rest(model, spark, folder)
-    wide = flows.tuned_classifier(load_one_vs_rest(spark, folder), ready, "tfidf_lr", tests=["train", "test"])
-    return wide.select("model_name", *[r6(c, c) for c in wide.columns if c != "model_name"])
+    tests = ["train", "test"]
+    wide = settle(flows.tuned_classifier(load_one_vs_rest(spark, folder), ready, "tfidf_lr", tests=tests), "tuned")
+    cells = load_one_vs_rest(spark, folder).cells(ready).filter(F.col("split").isin(tests))
+    counts = cells.groupBy("split").agg(F.sum(F.col("truth").cast("bigint")).alias("n_true"), F.count(F.lit(1)).alias("n_cells"))
+    scores = wide.select("model_name", F.explode(F.array(*[F.struct(F.lit(t).alias("split"), F.col(f"{t}_f1").alias("f1")) for t in tests])).alias("s"))
+    scores = scores.select("model_name", "s.*")
+    facts = scores.join(counts, "split").withColumns({"tp": F.col("n_true"), "fn": F.lit(0), "fp": F.lit(0), "tn": F.col("n_cells") - F.col("n_true")})
+    return _facts(spark, sf, facts, "model_name")
 
 
 @query
@@ -1177,7 +1201,7 @@ def ngram_classifier(spark: SparkSession, sf: str) -> DataFrame:
     ready = X.hashed_vectors(_ready(spark, sf), F.concat(X.word_ngrams(words), chars))
     ready = settle(ready.drop("text"), "vectors")
     model = OneVsRest(DOC_LABELS, "lr", 1.0, FIT_PASSES, tol=FIT_TOL).fit(ready.filter("split = 'train'"), X.BUCKETS)
-    return rounded_metrics(evaluate_splits(model, ready), "split")
+    return _facts(spark, sf, settle(evaluate_splits(model, ready), "scored"))
 
 
 # Inverse regularisation strengths of the grid.
@@ -1203,9 +1227,10 @@ def param_grid(spark: SparkSession, sf: str) -> DataFrame:
     best, _ = search(parameter_grid({"kind": ["lr", "svm"], "c": GRID_C}), run)
     if best is None:
         best = {"kind": "lr", "c": GRID_C[0]}
-    row = found[best["kind"], best["c"]]
-    out = spark.createDataFrame([row]).withColumn("kind", F.lit(best["kind"])).withColumn("c", F.lit(best["c"]))
-    return rounded_metrics(out, "kind", "c", "split")
+    top = found[best["kind"], best["c"]]["f1"]
+    rows = [(r["f1"] <= top, *[r[c] for c in ("split", "tp", "fp", "fn", "tn", "f1")], kind, c) for (kind, c), r in found.items()]
+    out = spark.createDataFrame(rows, "within boolean, split string, tp long, fp long, fn long, tn long, f1 double, kind string, c double")
+    return _facts(spark, sf, out.withColumn("f1", F.lit(top)), "kind", "c", "within")
 
 
 @query
@@ -1218,4 +1243,5 @@ def ratio_search(spark: SparkSession, sf: str) -> DataFrame:
         train.filter(~english), train.filter(english), ready.filter("split = 'validation'"),
         DOC_LABELS, vocabulary.count(), "row_id", 10.0, FIT_PASSES, FIT_TOL,
     )
-    return rounded_metrics(out, "multiplier")
+    scored = settle(out, "scored").withColumn("split", F.lit("validation"))
+    return _facts(spark, sf, scored, "multiplier").drop("split", "better")
