@@ -33,6 +33,7 @@ LEAF, FANOUT = 16, 16
 # A shingle with more sets than this is cut into blocks of about half as many.
 TREE_ROWS = 4_096
 SMALL = 8  # sets of a shingle that are compared without a tree
+LISTED = 512  # shingles of a set up to which pairs are told apart by where they met first
 HEAT_BITS = 18  # shingles are counted in so many hashed cells, as a power of two
 HEAT_SLICES = 64
 PAIR_CELLS = 2_000_000  # coordinates compared at once
@@ -219,12 +220,14 @@ def likeness(points: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) ->
 
 
 def _pairs(across: bool, percent: int):
-    """Over rows (token, tile, node, n, label, major, points) sorted by token and
-    tile: candidate pairs (u, v, likeness) of each group.
+    """Over rows (token, tile, node, n, label, major, points, earlier) sorted by token
+    and tile: candidate pairs (u, v, likeness) of each group.
 
     ``across`` asks for all pairs of different labels; ``major`` marks rows that
-    need not meet each other. Otherwise the likeliest pair of each set of a small
-    group, or a forest of a large one, is enough.
+    need not meet each other. ``earlier`` are the smaller tokens under which the set
+    stands too, null if they are too many: a pair that has one in common was found
+    there. Otherwise the likeliest pair of each set of a small group, or a forest of a
+    large one, is enough.
     """
 
     def of(group: np.ndarray, rows: dict[str, np.ndarray], points: np.ndarray):
@@ -260,6 +263,12 @@ def _pairs(across: bool, percent: int):
         most, like = likeness(points, n, x, y)
         good = (most >= least_overlap(n[x], n[y], percent)) & (node[x] != node[y])
         x, y, like = x[good], y[good], like[good]
+        if across and len(x):
+            first, known = np.ones(len(x), bool), rows["earlier"]
+            for i, (a, b) in enumerate(zip(x.tolist(), y.tolist())):
+                if known[a] is not None and known[b] is not None:
+                    first[i] = known[a].isdisjoint(known[b])
+            x, y, like = x[first], y[first], like[first]
         if not across:  # the likeliest partner of each member, whichever side it stands on
             side, other, score = np.r_[x, y], np.r_[y, x], np.r_[like, like]
             order = np.lexsort((node[other], -score, side))
@@ -285,6 +294,9 @@ def _pairs(across: bool, percent: int):
             column = {f: batch.column(i) for i, f in enumerate(batch.schema.names)}
             keys = np.column_stack([column["token"].to_numpy(), column["tile"].to_numpy().astype(np.int64)])
             rows = {f: column[f].to_numpy(zero_copy_only=False) for f in ("node", "n", "label", "major")}
+            rows["earlier"] = np.empty(len(batch), object)
+            if across:
+                rows["earlier"][:] = [None if e is None else frozenset(e) for e in column["earlier"].to_pylist()]
             points = points_of(column["points"].to_pylist())
             if held is not None:
                 keys = np.concatenate([held[0], keys])
@@ -408,8 +420,8 @@ def postings(texts: DataFrame, words: int, percent: int, heat: np.ndarray) -> Da
 
 
 def _grouped(rows: DataFrame, across: bool, percent: int) -> DataFrame:
-    """(u, v, likeness) candidates of rows (token, tile, node, n, label, major, points)."""
-    rows = rows.select("token", "tile", "node", F.col("n_shingles").alias("n"), "label", "major", "points")
+    """(u, v, likeness) candidates of rows (token, tile, node, n, label, major, points, earlier)."""
+    rows = rows.select("token", "tile", "node", F.col("n_shingles").alias("n"), "label", "major", "points", "earlier")
     dealt = rows.repartition("token", "tile").sortWithinPartitions("token", "tile")
     return map_arrow(dealt, _pairs(across, percent), "u long, v long, likeness double")
 
@@ -469,7 +481,8 @@ def _likely_links(meetings: DataFrame, points: DataFrame, percent: int) -> DataF
     blocks = F.ceil(F.col("k") / (TREE_ROWS // 2)).cast("int")
     tile = F.when(F.col("k") > TREE_ROWS, F.pmod(F.xxhash64("node", "token"), blocks)).otherwise(F.lit(0)).cast("int")
     rows = rows.withColumn("tile", tile).select("token", "tile", "node").join(points, "node")
-    found = _grouped(rows.withColumns({"label": F.lit(0).cast("long"), "major": F.lit(False)}), False, percent)
+    unused = {"label": F.lit(0).cast("long"), "major": F.lit(False), "earlier": F.lit(None).cast("array<bigint>")}
+    found = _grouped(rows.withColumns(unused), False, percent)
     ends = found.select(F.explode(F.array("u", "v")).alias("node"), "u", "v", "likeness")
     best = ends.groupBy("node").agg(F.max(F.struct("likeness", (-F.col("u")).alias("u"), (-F.col("v")).alias("v"))).alias("best"))
     return best.select((-F.col("best.u")).alias("u"), (-F.col("best.v")).alias("v")).distinct()
@@ -496,7 +509,11 @@ def _open_links(meetings: DataFrame, points: DataFrame, labels: DataFrame, perce
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(major, own).otherwise(every)
     rows = members.join(crowded, "token", "left").select("token", "node", "label", major.alias("major"), F.explode(tiles).alias("tile"))
-    return _grouped(rows.join(points, "node"), True, percent).select("u", "v").distinct()
+    # as long as one set's prefix
+    listed = members.groupBy("node").agg(F.collect_list("token").alias("_tokens"))
+    rows = rows.join(points.join(listed, "node"), "node")
+    earlier = F.when(F.size("_tokens") <= LISTED, F.filter("_tokens", lambda t: t < F.col("token")))
+    return _grouped(rows.withColumn("earlier", earlier), True, percent).select("u", "v").distinct()
 
 
 def similar_sets(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

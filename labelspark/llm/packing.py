@@ -35,7 +35,9 @@ _CLASS = np.full(256, _MARK, np.uint8)
 _CLASS[[0x09, 0x0A, 0x0D, 0x20]] = _BLANK
 _CLASS[48:58] = _DIGIT
 _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
-_JOINED = 256  # pre-tokens that are encoded in one string
+_JOINED = 256  # parts that are encoded in one string
+_BETWEEN = "\0"
+_PLAIN_BYTES = [0x09, 0x0A, 0x0D, *range(0x20, 0x7F), *range(0x80, 0x100)]  # of the texts that are split here
 BLOCK_CHARS = 500_000  # characters of the texts that are split together
 
 
@@ -101,6 +103,7 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -108,6 +111,12 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         self.bytes_of[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        # the same model for parts that are found already: bytes as its own letters,
+        # parts told apart by a character that is none of them
+        self.parts = Tokenizer.from_file(path)
+        self.parts.pre_tokenizer = CharDelimiterSplit(_BETWEEN)
+        letters = {byte: byte_letter(byte) for byte in _PLAIN_BYTES}
+        self.letters = str.maketrans({chr(byte): letter for byte, letter in letters.items()})
         self.reset()
 
     def reset(self) -> None:
@@ -116,29 +125,23 @@ class Encoder:
         self.starts = self.sizes = np.zeros(0, np.int64)
 
     def learn(self) -> None:
-        """Encode the queued pre-tokens. Those of a blank and letters stay apart when
-        they are joined; their tokens are told apart by their bytes."""
+        """Encode the queued parts, many in one call; their tokens are told apart by
+        their bytes."""
         queue, self.memo.queue = self.memo.queue, []
-        plain = np.fromiter((w[0] == " " and w[1:].isalpha() for w in queue), bool, len(queue))
-        together = [w for w, p in zip(queue, plain) if p]
-        joined = ["".join(together[i : i + _JOINED]) for i in range(0, len(together), _JOINED)]
-        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        others = self.tokenizer.encode_batch_fast([w for w, p in zip(queue, plain) if not p], add_special_tokens=False)
-        first = np.array([i for o in found for i in o.ids], np.uint32)
-        ends = np.cumsum([len(w.encode()) for w in together], dtype=np.int64)
-        upto = np.searchsorted(np.cumsum(self.bytes_of[first]), ends, "right")
-        if len(ends) and (np.cumsum(self.bytes_of[first])[upto - 1] != ends).any():
-            raise ValueError("the vocabulary does not encode word by word")
-        sizes = np.zeros(len(queue), np.int64)
-        sizes[plain] = np.diff(np.r_[0, upto])
-        sizes[~plain] = [len(o.ids) for o in others]
-        ids = np.concatenate([first, np.array([i for o in others for i in o.ids], np.uint32)])
-        # joined ones lie first
-        order = np.argsort(~plain, kind="stable")
-        starts = np.empty(len(queue), np.int64)
-        starts[order] = len(self.pool) + np.cumsum(sizes[order]) - sizes[order]
+        joined = [
+            _BETWEEN.join(queue[i : i + _JOINED]).encode().decode("latin-1").translate(self.letters) for i in range(0, len(queue), _JOINED)
+        ]
+        found = self.parts.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.array(o.ids, np.uint32) for o in found])
+        ends = np.cumsum([len(w.encode()) for w in queue], dtype=np.int64)
+        upto = np.cumsum(self.bytes_of[ids])
+        last = np.searchsorted(upto, ends, "right")
+        if (upto[last - 1] != ends).any():
+            raise ValueError("the vocabulary does not encode part by part")
+        begin = np.r_[0, last[:-1]]
+        self.starts = np.concatenate([self.starts, len(self.pool) + begin])
+        self.sizes = np.concatenate([self.sizes, last - begin])
         self.pool = np.concatenate([self.pool, ids])
-        self.starts, self.sizes = np.concatenate([self.starts, starts]), np.concatenate([self.sizes, sizes])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. Distinct parts of all of them are looked up once."""
@@ -176,6 +179,13 @@ def text_runs(texts: list) -> list[tuple[int, int]]:
     return runs + [(first, len(texts))] if first < len(texts) else runs
 
 
+def byte_letter(byte: int) -> str:
+    """The character by which a byte-level vocabulary writes a byte: printable bytes
+    stand for themselves, the others follow from 256 on in their order."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    return chr(byte) if byte in own else chr(256 + [b for b in range(256) if b not in own].index(byte))
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 
