@@ -508,6 +508,8 @@ def oracle_sql() -> dict[str, str]:
         f"list_transform(list_filter({TOKENS.format(BAG_TEXT)}, lambda w: NOT list_contains({STOP}, w)), lambda w: {STEM.format('w')})")
     sql["stem_terms"] = f"""SELECT row_id, {STEM.format('term')} AS term, count(*) AS tf
       FROM (SELECT doc_id AS row_id, unnest({LOWER_TOKENS}) AS term FROM documents) GROUP BY 1, 2"""
+    sql["french_stems"] = f"""WITH t AS (SELECT doc_id AS row_id, unnest({LOWER_TOKENS}) AS term FROM documents WHERE lang = 'fr')
+      SELECT row_id, count(*) AS n_words, count(DISTINCT term) AS n_terms, true AS merged, true AS shorter FROM t GROUP BY 1"""
     sql["labelled_line"] = f"""WITH {LABELLED} SELECT row_id,
       array_to_string(list_transform(labels, lambda l: '__label__' || l), ' ') || ' ' || {BAG_TEXT} AS line FROM labelled"""
     sql["parse_labelled_line"] = f"""WITH {LABELLED} SELECT row_id,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from labelspark import schemas
 from labelspark.functions import scores as S
+from labelspark.functions import stem as ST
 from labelspark.functions import text as T
 from labelspark.functions.hashing import hash_hex, uniform_int
 from labelspark.operators import corpus as C
@@ -565,6 +566,17 @@ def stem_terms(spark: SparkSession, sf: str) -> DataFrame:
     return X.stem_terms(counts, stub_stem, "row_id")
 
 
+@query
+def french_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems of the French texts' words, and what always holds of them."""
+    docs = D.table(spark, sf, "documents").filter("lang = 'fr'").select(F.col("doc_id").alias("row_id"), F.lower("text").alias("text"))
+    counts = settle(X.term_counts(docs, T.word_tokens(F.col("text")), "row_id"), "terms")
+    stemmed = settle(X.stem_terms(counts, ST.french_stem, "row_id"), "stems")
+    sums = stemmed.groupBy("row_id").agg(F.sum("tf").alias("n_words"), F.count(F.lit(1)).alias("n_stems"), F.sum(F.length("term") * F.col("tf")).alias("size"))
+    own = counts.groupBy("row_id").agg(F.count(F.lit(1)).alias("n_terms"), F.sum(F.length("term") * F.col("tf")).alias("whole"))
+    return sums.join(own, "row_id").select("row_id", "n_words", "n_terms", (F.col("n_stems") <= F.col("n_terms")).alias("merged"), (F.col("size") <= F.col("whole")).alias("shorter"))
+
+
 @query
 def labelled_line(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.labelled_documents(spark, sf)
