@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 from bisect import bisect_right, insort
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +26,7 @@ TIERS = (128, 256, 512, 1024)
 END_ID = 0
 GROUP_TOKENS = 65_536  # tokens of one step group
 POOL = 2_048  # rests that a task holds before it packs them
-MEMO_WORDS = 400_000  # pre-tokens a worker remembers before it starts anew
+MEMO_WORDS = 700_000  # pre-tokens a worker remembers before it starts anew
 EMIT_TOKENS = 500_000
 
 # Byte-level BPE splits a text first and encodes each part alone. Parts are found here
@@ -186,16 +188,19 @@ def byte_letter(byte: int) -> str:
     return chr(byte) if byte in own else chr(256 + [b for b in range(256) if b not in own].index(byte))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    """The worker's own encoder. Workers outlive tasks, so the words that one task
-    met need not be encoded again by the next; MEMO_WORDS bounds what is kept."""
-    if path not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """The worker's own encoder. Workers outlive tasks, so the parts that one task
+    met need not be encoded again by the next; MEMO_WORDS bounds what is kept.
+
+    This module's code comes with every task, so what is to stay is held by a
+    module of the worker's own.
+    """
+    state = sys.modules.setdefault("_labelspark_worker", ModuleType("_labelspark_worker"))
+    held = state.__dict__.setdefault("encoders", {})
+    if path not in held:
+        held.clear()
+        held[path] = Encoder(path)
+    return held[path]
 
 
 class Packer:
