@@ -224,10 +224,10 @@ def _pairs(across: bool, percent: int):
     and tile: candidate pairs (u, v, likeness) of each group.
 
     ``across`` asks for all pairs of different labels; ``major`` marks rows that
-    need not meet each other. ``earlier`` are the smaller tokens under which the set
-    stands too, null if they are too many: a pair that has one in common was found
-    there. Otherwise the likeliest pair of each set of a small group, or a forest of a
-    large one, is enough.
+    need not meet each other. ``earlier`` are the smaller tokens under which
+    the set stands too, null if they are too many or the group is small: a pair that
+    has one in common was found there. Otherwise the likeliest pair of each set of a
+    small group, or a forest of a large one, is enough.
     """
 
     def of(group: np.ndarray, rows: dict[str, np.ndarray], points: np.ndarray):
@@ -508,11 +508,11 @@ def _open_links(meetings: DataFrame, points: DataFrame, labels: DataFrame, perce
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     tiles = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).when(major, own).otherwise(every)
-    rows = members.join(crowded, "token", "left").select("token", "node", "label", major.alias("major"), F.explode(tiles).alias("tile"))
-    # as long as one set's prefix
+    rows = members.join(crowded, "token", "left").select("token", "node", "label", "k", major.alias("major"), F.explode(tiles).alias("tile"))
+    # as long as one set's prefix; in small groups a pair may as well come again
     listed = members.groupBy("node").agg(F.collect_list("token").alias("_tokens"))
     rows = rows.join(points.join(listed, "node"), "node")
-    earlier = F.when(F.size("_tokens") <= LISTED, F.filter("_tokens", lambda t: t < F.col("token")))
+    earlier = F.when((F.size("_tokens") <= LISTED) & (F.col("k") > SMALL), F.filter("_tokens", lambda t: t < F.col("token")))
     return _grouped(rows.withColumn("earlier", earlier), True, percent).select("u", "v").distinct()
 
 
