@@ -15,8 +15,6 @@ SESSION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # one-vs-rest fits run as concurrent jobs
-    "spark.scheduler.mode": "FAIR",
 }
 
 
