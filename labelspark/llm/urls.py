@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelspark.session import new_folder
+
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 14
 RIDGE = 0.01
@@ -99,14 +101,20 @@ def grams(host: Column, path: Column) -> Column:
 
 
 def fit(spark: SparkSession, blocked: list[str] = BLOCKED, allowed: list[str] = ALLOWED) -> PipelineModel:
-    """Fit the model on a small labelled table, which fits one partition."""
+    """Fit the model on a small labelled table, which fits one partition.
+
+    It is saved and loaded again: a model that was just fitted holds on to the tables of
+    its fit, which must not travel with the tasks that score.
+    """
     rows = [(u, 1.0) for u in blocked] + [(u, 0.0) for u in allowed]
     table = spark.createDataFrame(rows, "url string, label double").coalesce(1)
     table = table.select(grams(host_of(F.col("url")), path_of(F.col("url"))).alias("_grams"), "label")
     hashed = HashingTF(inputCol="_grams", outputCol="_vector", numFeatures=BUCKETS, binary=True)
     linear = LogisticRegression(featuresCol="_vector", labelCol="label", probabilityCol="_chances", rawPredictionCol="_raw",
                                 predictionCol="_class", regParam=RIDGE, standardization=False, maxIter=100)
-    return Pipeline(stages=[hashed, linear]).fit(table)
+    path = new_folder(spark, "url-model")
+    Pipeline(stages=[hashed, linear]).fit(table).save(path)
+    return PipelineModel.load(path)
 
 
 def judge(pages: DataFrame, rules: list[Rule], model: PipelineModel) -> DataFrame:
