@@ -47,3 +47,22 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Session())
+
+
+def test_tasks_of_a_large_table_are_bounded(spark, tmp_path):
+    spark.range(4_000).selectExpr("id AS row_id", "md5(string(id)) AS text").coalesce(1).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    size = session.file_bytes(table)
+    for parts in (1, 30):
+        dealt = session.spread(table, "row_id", task_bytes=size // parts)
+        assert dealt.rdd.getNumPartitions() >= max(4, parts) and dealt.count() == 4_000
+    # many scan tasks are dealt anew where each of them is too large
+    many = table.repartition(12)
+    many.write.parquet(str(tmp_path / "m"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    try:
+        held = spark.read.parquet(str(tmp_path / "m"))
+        assert session.spread(held, "row_id").rdd.getNumPartitions() == held.rdd.getNumPartitions() == 12
+        assert session.spread(held, "row_id", task_bytes=session.file_bytes(held) // 40).rdd.getNumPartitions() >= 40
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
