@@ -82,21 +82,25 @@ def rank_share(df: DataFrame, value: str, marks: DataFrame, mark: str, by: Seque
     )
 
 
+def _weight(digits: Column) -> Column:
+    """The Poisson(1) number of eight hex digits, which sort as the numbers they are."""
+    cuts = [f"{cut:08x}" for cut in POISSON]
+    found = F.when(digits < cuts[0], 0)
+    for k, cut in enumerate(cuts[1:], 1):
+        found = found.when(digits < cut, k)
+    return found.otherwise(len(cuts))
+
+
 def poisson_weights(row_id: Column | str, replicates: int, seed: str = "bootstrap") -> Column:
     """``replicates`` Poisson(1) numbers that depend on the row's id alone.
 
     One hash gives four of them: 32 bits each.
     """
     row = F.col(row_id) if isinstance(row_id, str) else row_id
-
-    def weight(digits: Column) -> Column:
-        draw = F.conv(digits, 16, 10).cast("bigint")
-        return sum(((draw >= F.lit(cut)).cast("int") for cut in POISSON[1:]), (draw >= F.lit(POISSON[0])).cast("int"))
-
     parts = []
     for block in range(-(-replicates // 4)):
         hashed = F.array(hash_hex(seed, F.lit(block), row))
-        parts.append(F.flatten(F.transform(hashed, lambda h: F.array(*[weight(F.substring(h, 8 * j + 1, 8)) for j in range(4)]))))
+        parts.append(F.flatten(F.transform(hashed, lambda h: F.array(*[_weight(F.substring(h, 8 * j + 1, 8)) for j in range(4)]))))
     return F.slice(F.concat(*parts), 1, replicates)
 
 
@@ -110,12 +114,18 @@ def mean_intervals(df: DataFrame, value: str, row_id: str, by: Sequence[str], re
     the same. The ends are order statistics, the value at or above the wanted share. Null
     values are left out. A replicate without any row of a group says nothing about it.
     """
-    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), poisson_weights(row_id, replicates, seed).alias("_w"))
-    drawn = known.select(*by, "_v", F.posexplode("_w").alias("_b", "_k"))
-    # a row for each group and replicate from every task, whatever a group's size
-    sums = drawn.groupBy(*by, "_b").agg(
-        F.sum(F.col("_k") * F.col("_v")).alias("_s"), F.sum("_k").alias("_k"), F.sum("_v").alias("_all"), F.count(F.lit(1)).alias("_n")
-    )
+    row = F.col(row_id) if isinstance(row_id, str) else row_id
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-replicates // 4) - 1)))
+    known = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("_v"), row.alias("_row"))
+    # four numbers come from one hash, as in ``poisson_weights``; a line for each hash, not for each replicate
+    hashed = known.select(*by, "_v", "_row", blocks.alias("_block")).select(*by, "_v", "_block", hash_hex(seed, "_block", "_row").alias("_h"))
+    digits = hashed.select(*by, "_v", "_block", *[F.substring("_h", 8 * j + 1, 8).alias(f"_h{j}") for j in range(4)])
+    drawn = digits.select(*by, "_v", "_block", *[_weight(F.col(f"_h{j}")).alias(f"_k{j}") for j in range(4)])
+    # a row for each group and four replicates from every task, whatever a group's size
+    added = [F.sum(F.col(f"_k{j}") * F.col("_v")).alias(f"_s{j}") for j in range(4)] + [F.sum(f"_k{j}").alias(f"_k{j}") for j in range(4)]
+    fours = drawn.groupBy(*by, "_block").agg(*added, F.sum("_v").alias("_all"), F.count(F.lit(1)).alias("_n"))
+    each = F.array(*[F.struct((4 * F.col("_block") + j).alias("_b"), F.col(f"_s{j}").alias("_s"), F.col(f"_k{j}").alias("_k")) for j in range(4)])
+    sums = fours.select(*by, "_all", "_n", F.inline(each)).filter(F.col("_b") < replicates)
     means = F.array_sort(F.filter(F.collect_list(F.when(F.col("_k") > 0, F.col("_s") / F.col("_k"))), lambda m: m.isNotNull()))
     found = sums.groupBy(*by).agg(F.max(F.when(F.col("_b") == 0, F.col("_all") / F.col("_n"))).alias("mean"), means.alias("_means"))
 

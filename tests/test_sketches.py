@@ -88,3 +88,12 @@ def test_no_rows(spark):
     assert K.mean_intervals(empty, "value", "id", ["model"]).count() == 0
     assert K.sketched_summary(empty, "value", ["model"], {"m": 0.5}).count() == 0
     assert K.every_level(K.sketches(empty, ["model"], ["value"]), ["model"]).filter("n_rows > 0").count() == 0
+
+
+def test_an_interval_takes_a_line_for_each_hash(spark):
+    """Not one for each replicate, and no number is parsed from its digits."""
+    frame = spark.range(40).selectExpr("id", "'a' AS model", "cast(id AS double) AS value")
+    plan = K.mean_intervals(frame, "value", "id", ["model"], 6)._jdf.queryExecution().optimizedPlan().toString()
+    assert "conv(" not in plan and "posexplode" not in plan
+    rows = [r.w for r in spark.range(40).select(K.poisson_weights("id", 6).alias("w")).collect()]
+    assert rows == [plain_weights(i, 6) for i in range(40)]
