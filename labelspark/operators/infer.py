@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,6 +37,13 @@ def _slices(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]
             yield frame.iloc[start : start + size]
 
 
+def _parts(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches: only a slice's texts are Python strings at one time."""
+    for batch in batches:
+        for start in range(0, len(batch), size):
+            yield batch.slice(start, size)
+
+
 def score_texts(df: DataFrame, load: Callable[[], Predict], text: str = "text", output: str = "pred_probs",
                 batch_size: int = 32) -> DataFrame:
     """Append an array of class probabilities; other columns pass through.
@@ -59,17 +67,21 @@ def score_texts(df: DataFrame, load: Callable[[], Predict], text: str = "text",
 def generate_texts(df: DataFrame, load: Callable[[], Generate], decoding: Decoding, output: str = "output",
                    batch_size: int = 1024, chat: Callable[[str], str] | None = None) -> DataFrame:
     """Send ``pre_query_str`` to a model; adds the trimmed output and settings."""
-    kept = [f for f in df.schema.fields if f.name not in {output, "gen_configs", "pre_query_str"}]
+    sent = df.drop(output, "gen_configs")
+    kept = [f for f in sent.schema.fields if f.name != "pre_query_str"]
     schema = T.StructType([*kept, T.StructField(output, T.StringType()), T.StructField("_prompt", T.StringType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         generate = load()
-        for part in _slices(frames, batch_size):
-            prompts = [chat(p) if chat else p for p in part["pre_query_str"]]
+        for part in _parts(batches, batch_size):
+            texts = part.column(part.schema.get_field_index("pre_query_str")).to_pylist()
+            prompts = [chat(p) if chat else p for p in texts]
             answers = [a.strip() for a in generate(prompts)]
-            yield part.assign(**{output: answers, "_prompt": prompts})[[f.name for f in schema.fields]]
+            own = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+            made = [pa.array(answers, pa.string()), pa.array(prompts, pa.string())]
+            yield pa.RecordBatch.from_arrays([*own, *made], names=[f.name for f in schema.fields])
 
-    generated = df.drop(output, "gen_configs").mapInPandas(run, schema)
+    generated = sent.mapInArrow(run, schema)
     return generated.withColumn("gen_configs", _configs(F.col("_prompt"), decoding)).drop("_prompt")
 
 

@@ -29,7 +29,10 @@ from labelspark import schemas
 
 MARK = "__label__"
 PART_BYTES = 32 * 2**20
+# Lines that are read, and rows that are written, at one time.
 BATCH_LINES = 10_000
+BATCH_BYTES = 2**20
+WRITE_ROWS = 256
 MANIFEST = "_manifest"
 
 
@@ -105,15 +108,15 @@ def read_lines(root: str, part: FileRange) -> Iterator[list[bytes]]:
         if part.start:
             text.readline()  # the line that the byte before the range belongs to
         lines: list[bytes] = []
-        at = text.tell()
+        at = begun = text.tell()
         for line in iter(text.readline, b""):
             if at >= part.end:
                 break
             at += len(line)
             lines.append(line.rstrip(b"\r\n"))
-            if len(lines) == BATCH_LINES:
+            if len(lines) == BATCH_LINES or at - begun >= BATCH_BYTES:
                 yield lines
-                lines = []
+                lines, begun = [], at
         if lines:
             yield lines
 
@@ -207,6 +210,12 @@ class _StreamOfFiles(ds.DataSourceStreamReader):
         return self.reader.read(partition)
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), WRITE_ROWS):
+            yield batch.slice(at, WRITE_ROWS)
+
+
 class _LineWriter:
     """Writes part files; nothing counts until a manifest names it."""
 
@@ -219,7 +228,7 @@ class _LineWriter:
         files.create_dir(root, recursive=True)
         name, rows = f"part-{uuid.uuid4().hex}.txt", 0
         with files.open_output_stream(posixpath.join(root, name)) as out:
-            for batch in iterator:
+            for batch in _pieces(iterator):
                 for labels, text in zip(batch.column("labels").to_pylist(), batch.column("text").to_pylist()):
                     if labels is None or text is None:
                         continue  # a line needs both, as the column function makes null of them

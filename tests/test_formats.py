@@ -97,3 +97,17 @@ def test_records_are_found_as_by_the_reader(known, tmp_path, rows_of):
     read = known.read.format("evaluation_records").load(str(tmp_path))
     assert rows_of(read.select(*columns)) == rows_of(readers.read_evaluations(known, str(tmp_path)).select(*columns))
     assert read.filter(F.col("file").startswith("teacher")).rdd.getNumPartitions() == 1
+
+
+def test_lists_of_lines_are_bounded_by_bytes(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    lines = [b"x" * 400 for _ in range(30)]
+    (tmp_path / "a.txt").write_bytes(b"\n".join(lines) + b"\n")
+    monkeypatch.setattr(formats, "BATCH_BYTES", 1000)
+    size = (tmp_path / "a.txt").stat().st_size
+    found = list(formats.read_lines(str(tmp_path), formats.FileRange(str(tmp_path / "a.txt"), 0, size)))
+    assert sum(found, []) == lines and max(map(len, found)) == 3
+    monkeypatch.setattr(formats, "WRITE_ROWS", 7)
+    pieces = list(formats._pieces(iter([pa.RecordBatch.from_pydict({"a": list(range(20))})])))
+    assert [len(p) for p in pieces] == [7, 7, 6] and sum((p.column(0).to_pylist() for p in pieces), []) == list(range(20))

@@ -178,3 +178,19 @@ def test_prompts_filled_in_the_task_are_those_of_the_columns(spark):
     assert "beta" not in plan.split("MapInPandas")[-1]
     with pytest.raises(ValueError):
         Q.context_value(codes, max_chars=5)
+
+
+def test_generation_passes_other_columns_as_they_are(spark):
+    """Slices of Arrow batches go to the model; an integer beside a null stays one."""
+    rows = [(i, f"text {i}", None if i % 3 else 2**53 + i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "row_id long, pre_query_str string, own long").coalesce(1)
+
+    def load():
+        def run(prompts):
+            return [f" {len(prompts)} " for _ in prompts]
+
+        return run
+
+    out = I.generate_texts(frame, load, I.Decoding("m"), batch_size=8).collect()
+    assert sorted((r["row_id"], r["own"]) for r in out) == [(i, own) for i, _, own in rows]
+    assert max(int(r["output"]) for r in out) == 8 and all(r["gen_configs"]["prompt"] == f"text {r['row_id']}" for r in out)

@@ -119,3 +119,16 @@ def test_tags(spark, table):
     df = table([([0, 1],), ([0, 2],), ([],)], "t array<int>")
     got = sorted((r[0], r[1]) for r in df.select("t", T.any_tag_contains(F.col("t"), names)).collect())
     assert got == [([], False), ([0, 1], True), ([0, 2], False)]
+
+
+def test_unicode_forms_take_a_batch_in_small_parts(monkeypatch):
+    import unicodedata
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(T, "TEXTS_AT_ONCE", 2)
+    texts = ["é ﬁ", None, "", "ｗide", "plain"]
+    for form in ("NFKD", "NFKC"):
+        got = T._normalized(pa.array(texts, pa.string()), form)
+        assert got.to_pylist() == [t if t is None else unicodedata.normalize(form, t) for t in texts]
+        assert T._normalized(pa.array([], pa.string()), form).to_pylist() == []
