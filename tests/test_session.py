@@ -66,3 +66,18 @@ def test_tasks_of_a_large_table_are_bounded(spark, tmp_path):
         assert session.spread(held, "row_id", task_bytes=session.file_bytes(held) // 40).rdd.getNumPartitions() >= 40
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_write_bounds_the_batches_of_its_python_steps(spark):
+    import pyarrow as pa
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int32())})
+
+    wide = spark.range(0, 400, 1, 1).selectExpr("array_repeat(id, 1000) AS a")
+    before = spark.conf.get(session.ARROW_BYTES)
+    whole = session.settle(wide.mapInArrow(sizes, "n int")).collect()
+    small = session.settle(wide.mapInArrow(sizes, "n int"), batch_bytes=100_000).collect()
+    assert sum(r.n for r in whole) == sum(r.n for r in small) == 400
+    assert max(r.n for r in small) < 50 < max(r.n for r in whole) and spark.conf.get(session.ARROW_BYTES) == before
