@@ -9,6 +9,8 @@ from labelspark.functions import text as T
 from labelspark.operators import features as X
 from labelspark.operators import metrics as M
 from labelspark.operators import weights as W
+from labelspark.plans.joins import KEY_BYTES, frequent_join
+from labelspark.session import settle
 
 RNG = np.random.default_rng(5)
 N, C = 40, 6
@@ -124,6 +126,55 @@ def test_tfidf(spark):
     assert not got
 
 
+def moved(df):
+    """Rows that the shuffles of a plan wrote, by what they were dealt by."""
+    df.collect()
+    found, nodes = {}, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            nodes.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            nodes.append(node.plan())
+        else:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+            if name == "ShuffleExchangeExec":
+                key = re.sub(r"#\d+L?", "", node.outputPartitioning().toString())
+                found[key] = found.get(key, 0) + node.metrics().apply("shuffleRecordsWritten").value()
+    return found
+
+
+def test_frequent_join_moves_rare_keys_only(spark, rows_of):
+    long = "x" * (KEY_BYTES + 1)
+    keys = ["a"] * 20 + ["b"] * 10 + ["c", "c", "d", "new", "new", None, long, long, long]
+    left = settle(spark.createDataFrame(list(enumerate(keys)), "id int, k string").repartition(3))
+    right = settle(spark.createDataFrame([("a", 20, 1), ("b", 10, 2), ("c", 2, 3), ("d", 1, 4), ("none", 1, 5), (None, 9, 6), (long, 30, 7)], "k string, n bigint, v int"))
+    got = frequent_join(left, right, "k", "n", frequent_keys=8)
+    assert rows_of(got.select("id", "k", "n", "v")) == rows_of(left.join(right, "k").select("id", "k", "n", "v"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        # five rare left rows with a match, two without, three of the long key; four rare right rows
+        assert sum(moved(frequent_join(left, right, "k", "n", frequent_keys=8)).values()) <= 8 + 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_tfidf_moves_a_frequent_term_once(spark):
+    df = spark.createDataFrame([(i, f"le chat {i % 3}0 dort") for i in range(60)] + [(None, "le chat")], "row_id int, text string").repartition(3, "row_id")
+    counts = settle(X.term_counts(df, T.word_tokens(F.col("text")), "row_id"))
+    frequencies = settle(X.document_frequency(counts))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights = X.tfidf_weights(counts, frequencies, F.lit(61), "row_id")
+        # by row, and never by term
+        assert sum(moved(weights).values()) == counts.count() == weights.count() == 242
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_grams(spark):
     df = spark.createDataFrame([(["ab", "c", "ab"],), ([],), (["a"],)], "w array<string>")
     got = sorted(r[0] for r in df.select(X.word_ngrams(F.col("w"), 3)).collect())
