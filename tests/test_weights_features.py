@@ -9,6 +9,7 @@ from labelspark.functions import text as T
 from labelspark.operators import features as X
 from labelspark.operators import metrics as M
 from labelspark.operators import weights as W
+from labelspark.plans import flows
 from labelspark.plans.joins import KEY_BYTES, frequent_join
 from labelspark.session import settle
 
@@ -175,6 +176,25 @@ def test_tfidf_moves_a_frequent_term_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_classical_features_move_no_vectors(spark, monkeypatch):
+    rows = [(i, f"le chat {i % 3}0 dort", "train") for i in range(60)] + [(60, "", "test"), (60, "", "test")]
+    df = spark.createDataFrame(rows, "row_id int, text string, split string").repartition(7, "row_id")
+    plans = {}
+    real = flows.settle
+    monkeypatch.setattr(flows, "settle", lambda df, purpose="table", **kw: plans.update({purpose: df}) or real(df, purpose, **kw))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        vocabulary, ready = flows.classical_features(df, T.word_tokens(F.col("text")))
+        # every cell once and every row once
+        assert sum(moved(plans["features"]).values()) <= 4 * 60 + len(rows)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert vocabulary.count() == 6 and ready.count() == len(rows)
+    assert ready.filter("row_id = 60 and size(indices) = 0 and size(values) = 0").count() == 2
+    assert ready.filter("indices = array_sort(indices)").count() == len(rows)
+
+
 def test_grams(spark):
     df = spark.createDataFrame([(["ab", "c", "ab"],), ([],), (["a"],)], "w array<string>")
     got = sorted(r[0] for r in df.select(X.word_ngrams(F.col("w"), 3)).collect())
