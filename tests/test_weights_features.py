@@ -210,6 +210,17 @@ def test_grams(spark):
     assert hashed.agg(F.sum("n")).first()[0] == rows.count()
 
 
+def test_gram_rows_open_places_in_compiled_code(spark):
+    texts = [["ab", "c", "ab"], [], None, ["a"], ["x", None, "y", "z"], ["é d", "e"]]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, w array<string>").repartition(3)
+    for n in (1, 3, 5):
+        rows = X.gram_rows(df, F.col("w"), "row_id", n=n, chars=False)
+        want = [(i, " ".join(t[at : at + k])) for i, t in enumerate(texts) for k in range(1, n + 1) for at in range(len(t or []) - k + 1) if None not in t[at : at + k]]
+        assert sorted(tuple(r) for r in rows.collect()) == sorted(want)
+    # an array function over all of a text's runs would be interpreted, element by element
+    assert not re.search("zip_with|lambda", rows._jdf.queryExecution().executedPlan().toString())
+
+
 def test_stems_merge(spark, rows_of):
     df = spark.createDataFrame([(1, "chats", 2), (1, "chat", 1), (2, "chats", 5)], "row_id int, term string, tf bigint")
     assert rows_of(X.stem_terms(df, lambda c: F.regexp_replace(c, "s$", ""), "row_id")) == [(1, "chat", 3), (2, "chat", 5)]
